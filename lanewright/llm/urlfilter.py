@@ -67,18 +67,18 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """Labelled urls (url, label 1: block) built by rule from two word lists; every suffix occurs in both classes."""
-    schemes, suffixes, n = ("http://", "https://"), ("com", "net", "org"), 0
+    """Labelled urls (url, label 1: block) built by rule from two word lists; every suffix occurs in both classes.
+
+    Hosts of bad words are joined by hyphens, one url each; hosts of one or two good words have three urls each.
+    """
+    hosts = [(f"{a}-{b}", 1) for a in BAD_WORDS for b in BAD_WORDS if a != b]
+    hosts += [(a if a == b else a + b, 0) for a in GOOD_WORDS for b in GOOD_WORDS for _ in range(3 if a != b else 12)]
+    tails, subs, languages = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"), ("", "www.", "blog.", "m."), ("en", "de", "fr", "es")
     rows = []
-    for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
-        for i, a in enumerate(words):
-            for j, b in enumerate(words):
-                if i != j:
-                    n += 1
-                    name = f"{a}-{b}" if label else f"{a}{b}"
-                    tail = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")[n % 6]
-                    sub = ("", "www.", "blog.", "m.")[n % 4]
-                    rows.append((f"{schemes[n % 2]}{sub}{name}.example.{suffixes[n % 3]}/{('en', 'de', 'fr', 'es')[n // 4 % 4]}/{n * 37 % 50000}{tail}", label))
+    for n, (host, label) in enumerate(hosts):
+        at = n * 7919
+        url = f"http{'s' * (at % 2)}://{subs[at // 2 % 4]}{host}.example.{('com', 'net', 'org')[n % 3]}/{languages[at // 8 % 4]}/{at % 50000}{tails[at // 32 % 6]}"
+        rows.append((url, label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -105,7 +105,7 @@ class UrlModel:
         return scored.select(*kept, "score")
 
 
-def train(labelled: DataFrame, max_rows: int = 8000, max_suffixes: int = 50, trees: int = 20, depth: int = 4) -> UrlModel:
+def train(labelled: DataFrame, max_rows: int = 8000, max_suffixes: int = 50, trees: int = 12, depth: int = 3) -> UrlModel:
     """Fit on url, label (1: block): at most ``max_rows`` urls, those with the smallest hash, so any size trains alike.
 
     Suffix statistics: the smoothed block rate of the ``max_suffixes`` commonest suffixes among them.
