@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import bpe, chat, neardup, quality, sharding, urlfilter
+from lanewright.llm import bpe, chat, decontam, neardup, quality, sharding, urlfilter
 from lanewright.llm.common import table, text_or_empty
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -28,6 +28,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents, neardup.NearDup(words=3, percent=85))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -66,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_near_dedup, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
+    f.__name__: f for f in (op1_chat_formatting, op3_near_dedup, op4_decontamination, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +90,30 @@ ORACLE_SQL: dict[str, str] = {
                         + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,
+    "op4_decontamination": r"""
+        WITH docs AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM documents
+        ), items AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM benchmark
+        ), doc_words AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
+        ), item_words AS (
+            SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM items WHERE len(words) >= 8
+        ), equal AS (
+            SELECT DISTINCT doc_id, item_id, n, d.pos - i.pos AS shift, i.pos AS pos FROM doc_words d JOIN item_words i USING (word)
+        ), likely AS (
+            SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS matched FROM equal
+            QUALIFY matched * 100 >= least(13, n) * 80
+        ), spread AS (
+            SELECT doc_id, item_id, n, shift, matched, pos - o AS start FROM likely, range(0, 13) t(o)
+        ), windows AS (
+            SELECT doc_id, item_id, n, shift, matched, start FROM spread
+            WHERE start >= 1 AND start + least(13, n) - 1 <= n
+            GROUP BY ALL HAVING count(*) * 100 >= least(13, n) * 80
+        )
+        SELECT w.doc_id, w.item_id, max(w.n) AS item_words, max(w.matched) AS matched, count(*) AS windows
+        FROM windows w JOIN docs d ON d.doc_id = w.doc_id
+        WHERE w.start + w.shift >= 1 AND w.start + w.shift + least(13, w.n) - 1 <= len(d.words)
+        GROUP BY w.doc_id, w.item_id
+    """,
 }
