@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import bpe, chat, decontam, neardup, quality, sharding, urlfilter
+from lanewright.llm import bpe, chat, decontam, linededup, neardup, quality, sharding, urlfilter
 from lanewright.llm.common import table, text_or_empty
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -32,6 +32,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.drop_boilerplate(documents)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -70,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_near_dedup, op4_decontamination, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
+    f.__name__: f for f in (op1_chat_formatting, op3_near_dedup, op4_decontamination, op5_line_dedup, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +121,25 @@ ORACLE_SQL: dict[str, str] = {
         WHERE w.start + w.shift >= 1 AND w.start + w.shift + least(13, w.n) - 1 <= len(d.words)
         GROUP BY w.doc_id, w.item_id
     """,
+    "op5_line_dedup": """
+        WITH pages AS (
+            SELECT row_number() OVER () AS page, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+        ), counted AS (
+            SELECT DISTINCT page, source, trim(line) AS line FROM (SELECT page, source, unnest(lines) AS line FROM pages) WHERE trim(line) <> ''
+        ), totals AS (
+            SELECT source, count(*) AS total FROM pages GROUP BY source
+        ), bad AS (
+            SELECT c.source, c.line FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+            GROUP BY c.source, c.line, t.total HAVING count(*) >= 5 AND count(*) > t.total * CAST(0.05 AS DOUBLE)
+        ), of_host AS (
+            SELECT source, list(line) AS lines FROM bad GROUP BY source
+        ), kept AS (
+            SELECT p.doc_id, p.source, p.text, p.lines,
+                   CASE WHEN h.lines IS NULL THEN p.lines ELSE list_filter(p.lines, lambda x: NOT list_contains(h.lines, trim(x))) END AS kept
+            FROM pages p LEFT JOIN of_host h ON p.source IS NOT DISTINCT FROM h.source
+        )
+        SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END AS text,
+               CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped
+        FROM kept
+    """,
 }
