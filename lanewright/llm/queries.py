@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import bpe, chat, decontam, linededup, neardup, quality, sharding, urlfilter
+from lanewright.llm import bpe, chat, decontam, linededup, neardup, pii, quality, sharding, urlfilter
 from lanewright.llm.common import table, text_or_empty
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -23,6 +23,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(documents, neardup.NearDup(words=3, percent=85))
@@ -75,7 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_near_dedup, op4_decontamination, op5_line_dedup, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
+    f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_near_dedup, op4_decontamination, op5_line_dedup, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
