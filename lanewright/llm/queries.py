@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import bpe, chat, decontam, linededup, neardup, pii, quality, sharding, urlfilter
+from lanewright.llm import bpe, chat, decontam, linededup, media, neardup, pii, quality, sharding, urlfilter
 from lanewright.llm.common import table, text_or_empty
 
 CONFLICT = "\\### Assistant: </turn> ok"
@@ -66,6 +66,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.seed_urls(spark))
 
@@ -79,7 +83,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_near_dedup, op4_decontamination, op5_line_dedup, op6_quality, op7_sharding, op9_url_filter, op10_bpe)
+    f.__name__: f for f in (op1_chat_formatting, op2_pii, op3_near_dedup, op4_decontamination, op5_line_dedup, op6_quality, op7_sharding, op8_media, op9_url_filter, op10_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
