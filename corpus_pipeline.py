@@ -1,16 +1,63 @@
-"""The corpus pipeline: stages over documents, each one of the llm operators."""
+"""The corpus pipeline: five stages over documents, each calling one of the llm operators.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents. Empty inputs pass through as empty; null texts count as empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanewright.llm import bpe, decontam, linededup, neardup, quality
+from lanewright.llm.common import table
+from lanewright.llm.queries import vocabulary_text
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject; it learns from three quarters of the labels."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labels = labels.where("label IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
+    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return quality.with_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that its source repeats; n_chars follows the text."""
+    cut = linededup.drop_boilerplate(docs).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates: five words a shingle, similarity 0.8."""
+    judged = neardup.near_duplicates(docs, neardup.NearDup(words=5, percent=80))
+    return docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, their number, and digests of ids and of the text decoded from them."""
+    return bpe.encode_documents(docs, vocabulary_text(), with_ids=True).drop("text")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_boilerplate),
+    ("near-duplicates", keep_first_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding", encode),
+]
+#: SQL has no compression and no BPE; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -1,14 +1,14 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from labelled text, one from good and one from bad. A text is compressed with
-each, block by block over its whole length; the difference of the two sizes, divided by the text's bytes, becomes a
-probability by logistic calibration on labelled texts that the dictionaries have not seen.
+each, block by block over its whole length; the difference of the two sizes, divided by the text's bytes (and a few
+more), becomes a probability by logistic calibration on labelled texts that the dictionaries have not seen.
 
 Fitting reads a bounded sample of labelled rows (``max_rows`` a class, those with the smallest hash of their text);
 scoring reads every whole text. Only the text enters a score.
 
-Null or empty text: the score of a difference of 0. Equal texts, equal scores. Without labels of both classes every
-score is the share of label 1 (0.5 if there are none). Empty tables give no rows. Extra columns stay as they are,
+Null or empty text: the share of label 1 among labelled rows. Equal texts, equal scores. Without labels of both classes
+every score is that share, lightly smoothed. Empty tables give no rows. Extra columns stay as they are,
 but for ``score`` and ``predicted``, which are replaced.
 """
 
@@ -24,33 +24,35 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEVEL, BLOCK = 3, 2048
+LEVEL, BLOCK, FEW = 6, 2048, 100
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries and the calibration: score = 1 / (1 + exp(-(slope * difference + offset)))."""
+    """Dictionaries and calibration: the log odds are slope * difference + weight * share + prior, where share is
+    bytes / (bytes + FEW), so a short text stays near the prior odds."""
 
     good: bytes
     bad: bytes
     slope: float
-    offset: float
+    weight: float
+    prior: float
 
     def scorer(self):
         """A function from texts to scores; each process makes its own compressors."""
-        difference = _difference(self.good, self.bad)
+        measure = _measure(self.good, self.bad)
 
         def score(texts: list[str | None]) -> np.ndarray:
-            x = np.array([difference(t or "") for t in texts], float)
-            return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -30, 30)))
+            x = np.array([measure(t or "") for t in texts], float).reshape(-1, 2)
+            return 1 / (1 + np.exp(-np.clip(x @ (self.slope, self.weight) + self.prior, -30, 30)))
 
         return score
 
 
-def _difference(good: bytes, bad: bytes):
-    """A function from a text to (size with the bad dictionary - size with the good one) / bytes."""
+def _measure(good: bytes, bad: bytes):
+    """A function from a text to (size with the bad dictionary - size with the good one) / (bytes + FEW), and share."""
     if not good or not bad:
-        return lambda text: 0.0
+        return lambda text: (0.0, 0.0)
     ways = []
     for raw in (bad, good):
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -58,55 +60,70 @@ def _difference(good: bytes, bad: bytes):
         ways.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
     from_bad, from_good = ways
 
-    def difference(text: str) -> float:
+    def measure(text: str) -> tuple[float, float]:
         data = text.encode()
-        total = 0
+        difference = 0
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
-            total += len(from_bad(block)) - len(from_good(block))
-        return total / max(1, len(data))
+            difference += len(from_bad(block)) - len(from_good(block))
+        return difference / (len(data) + FEW), len(data) / (len(data) + FEW)
 
-    return difference
+    return measure
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    """Pieces of all texts in turn, up to ``size`` bytes: as many voices as fit."""
+def _dictionary(texts: list[str], common: set[str], size: int) -> bytes:
+    """A piece of the middle of each text, up to ``size`` bytes in all: as many voices as fit.
+
+    Lines in ``common``, which both classes have, tell nothing and are left out.
+    """
+    texts = ["\n".join(x for x in t.split("\n") if x not in common) for t in texts]
     piece = max(256, size // max(1, len(texts)))
-    return b"".join(t.encode()[at : at + piece] for t in texts for at in (max(0, (len(t.encode()) - piece) // 2),))[-size:]
+    data = [t.encode() for t in texts]
+    return b"\n".join(d[max(0, (len(d) - piece) // 2) :][:piece] for d in data)[-size:]
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one standardised feature, by Newton's method with a little shrinkage."""
-    mean, scale = x.mean(), x.std() or 1.0
-    z, w, b = (x - mean) / scale, 0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+def _calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float) -> np.ndarray:
+    """Logistic regression without intercept, as the prior is given: Newton's method with a little shrinkage."""
+    scale = x.std(0) + 1e-9
+    z, w = x / scale, np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(w * z + b, -30, 30)))
-        r, v = p - y, p * (1 - p)
-        g = np.array([(r * z).sum() + 0.01 * w, r.sum()])
-        h = np.array([[(v * z * z).sum() + 0.01, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-9]])
+        p = 1 / (1 + np.exp(-np.clip(z @ w + prior, -30, 30)))
+        g = z.T @ (weights * (p - y)) + 0.01 * w
+        h = (z * (weights * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w, b = w - step[0], b - step[1]
+        w = w - step
         if abs(step).max() < 1e-9:
             break
-    return w / scale, b - w * mean / scale
+    return w / scale
 
 
-def fit(labelled: DataFrame, max_rows: int = 1500, dictionary_bytes: int = 256 << 10) -> CompressionModel:
-    """Fit on text, label (1: good) with at most ``max_rows`` rows a class: two thirds for dictionaries, a third to calibrate."""
+def fit(labelled: DataFrame, max_rows: int = 2000, dictionary_bytes: int = 1 << 20) -> CompressionModel:
+    """Fit on text, label (1: good) with at most ``max_rows`` rows a class: two thirds for dictionaries, a third to
+    calibrate. The prior odds are those of all labelled rows, lightly smoothed."""
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull()).select("text", F.col("label").cast("int"))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
     groups = []
     for label in (1, 0):
-        rows = labelled.where((F.col("label") == label) & F.col("text").isNotNull()).select("text")
-        rows = rows.orderBy(F.xxhash64(F.lit(5), "text"), F.col("text")).limit(max_rows).collect()
+        rows = known.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(5), "text"), F.col("text")).limit(max_rows).collect()
         groups.append([r.text for r in rows])
-    good, bad = groups
+    return fit_texts(*groups, prior, dictionary_bytes)
+
+
+def fit_texts(good: list[str], bad: list[str], prior: float, dictionary_bytes: int = 1 << 20) -> CompressionModel:
+    """The model of two lists of texts."""
     if not good or not bad:
-        return CompressionModel(b"", b"", 0.0, math.log((len(good) + 1) / (len(bad) + 1)) if good or bad else 0.0)
-    built = [_dictionary([t for i, t in enumerate(g) if i % 3] or g, dictionary_bytes) for g in groups]
-    difference = _difference(*built)
-    held = [[difference(t) for i, t in enumerate(g) if i % 3 == 0] for g in groups]
+        return CompressionModel(b"", b"", 0.0, 0.0, prior)
+    groups = [good, bad]
+    common = set.intersection(*({line for t in g for line in t.split("\n")} for g in groups))
+    built = [_dictionary([t for i, t in enumerate(g) if i % 3] or g, common, dictionary_bytes) for g in groups]
+    measure = _measure(*built)
+    held = [[measure(t) for i, t in enumerate(g) if i % 3 == 0] for g in groups]
     x, y = np.array(held[0] + held[1]), np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
-    slope, offset = _calibrate(x, y)
-    return CompressionModel(*built, slope, offset)
+    share = 1 / (1 + math.exp(-prior))
+    weights = np.where(y == 1, share / len(held[0]), (1 - share) / len(held[1])) * len(y)
+    slope, weight = _calibrate(x, y, weights, prior).tolist()
+    return CompressionModel(*built, slope, weight, prior)
 
 
 def score(df: DataFrame, model: CompressionModel, text: str = "text") -> Column:
