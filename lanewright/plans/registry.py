@@ -1,6 +1,9 @@
-"""Queries over the driver tables and the DuckDB SQL with the same result."""
+"""Every query over the driver tables, and the DuckDB SQL with the same result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lanewright.plans import polylines
+
+_MODULES = (polylines,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
