@@ -226,7 +226,10 @@ def interpolate_curve(anchors: ColumnLike, controls: ColumnLike, n: int = 10) ->
 
 
 def composite_bezier(pts: ColumnLike, tension: float = 0.33, n: int = 20) -> Column:
-    """A smooth curve through the points: handles along differences of neighbours; ``n`` points a segment."""
+    """A smooth curve through the points: handles along differences of neighbours; ``n`` points a segment.
+
+    Built in three passes over the segments, so that each expression stays small. Null for fewer than two points.
+    """
     pts = _c(pts)
     last = F.size(pts) - 1
 
@@ -234,16 +237,22 @@ def composite_bezier(pts: ColumnLike, tension: float = 0.33, n: int = 20) -> Col
         a, b = F.get(pts, F.greatest(i - 1, F.lit(0))), F.get(pts, F.least(i + 1, last))
         return point(b["x"] - a["x"], b["y"] - a["y"])
 
-    def piece(i: Column) -> Column:
-        p, q, t0, t1 = F.get(pts, i), F.get(pts, i + 1), tangent(i), tangent(i + 1)
-        size = distance(p, q) * tension
-        n0, n1 = (F.greatest(length_of(t["x"] + 1e-12, t["y"] + 1e-12), F.lit(1e-300)) for t in (t0, t1))
-        c1 = point(p["x"] + t0["x"] * size / n0, p["y"] + t0["y"] * size / n0)
-        c2 = point(q["x"] - t1["x"] * size / n1, q["y"] - t1["y"] * size / n1)
-        steps = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (i == 0) | (j > 0))
-        return F.transform(steps, lambda j: cubic_bezier(p, c1, c2, q, j.cast("double") / (n - 1)))
+    def ends(i: Column) -> Column:
+        p, q = F.get(pts, i), F.get(pts, i + 1)
+        return F.struct(i.alias("i"), p.alias("p"), q.alias("q"), tangent(i).alias("t0"), tangent(i + 1).alias("t1"), (distance(p, q) * tension).alias("h"))
+
+    def handles(e: Column) -> Column:
+        k0, k1 = (e["h"] / F.greatest(length_of(e[t]["x"] + 1e-12, e[t]["y"] + 1e-12), F.lit(1e-300)) for t in ("t0", "t1"))
+        c1 = point(e["p"]["x"] + e["t0"]["x"] * k0, e["p"]["y"] + e["t0"]["y"] * k0)
+        c2 = point(e["q"]["x"] - e["t1"]["x"] * k1, e["q"]["y"] - e["t1"]["y"] * k1)
+        return F.struct(e["i"].alias("i"), e["p"].alias("p"), c1.alias("c1"), c2.alias("c2"), e["q"].alias("q"))
+
+    def samples(h: Column) -> Column:
+        steps = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: (h["i"] == 0) | (j > 0))
+        return F.transform(steps, lambda j: cubic_bezier(h["p"], h["c1"], h["c2"], h["q"], j.cast("double") / (n - 1)))
 
-    return F.when(last >= 1, F.flatten(F.transform(F.sequence(F.lit(0), last - 1), piece)))
+    segments = F.transform(F.transform(F.sequence(F.lit(0), last - 1), ends), handles)
+    return F.when(last >= 1, F.flatten(F.transform(segments, samples)))
 
 
 def resample(verts: ColumnLike, step: float) -> Column:
