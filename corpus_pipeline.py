@@ -18,7 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from three quarters of the labels."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     labels = labels.where("label IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit(docs, labels)
     return quality.with_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 

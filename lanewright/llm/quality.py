@@ -4,7 +4,7 @@ Two zstandard dictionaries are built from labelled text, one from good and one f
 each, block by block over its whole length; the difference of the two sizes, divided by the text's bytes (and a few
 more), becomes a probability by logistic calibration on labelled texts that the dictionaries have not seen.
 
-Fitting reads a bounded sample of labelled rows (``max_rows`` a class, those with the smallest hash of their text);
+Fitting reads a bounded sample of labelled rows (``max_rows`` a class, those with the smallest hash of their id);
 scoring reads every whole text. Only the text enters a score.
 
 Null or empty text: the share of label 1 among labelled rows. Equal texts, equal scores. Without labels of both classes
@@ -97,17 +97,21 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float)
     return w / scale
 
 
-def fit(labelled: DataFrame, max_rows: int = 2000, dictionary_bytes: int = 1 << 20) -> CompressionModel:
-    """Fit on text, label (1: good) with at most ``max_rows`` rows a class: two thirds for dictionaries, a third to
-    calibrate. The prior odds are those of all labelled rows, lightly smoothed."""
-    known = labelled.where(F.col("label").isin(0, 1) & F.col("text").isNotNull()).select("text", F.col("label").cast("int"))
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, dictionary_bytes: int = 1 << 20) -> CompressionModel:
+    """Fit on documents (doc_id, text) and labels (doc_id, label, 1: good).
+
+    Of each class the ``max_rows`` ids with the smallest hash are taken, so what is broadcast to find their texts and
+    what reaches the driver is bounded, and no text is shuffled. Two thirds make the dictionaries, a third calibrates.
+    The prior odds are those of all labels, lightly smoothed.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
-    groups = []
-    for label in (1, 0):
-        rows = known.where(F.col("label") == label).orderBy(F.xxhash64(F.lit(5), "text"), F.col("text")).limit(max_rows).collect()
-        groups.append([r.text for r in rows])
-    return fit_texts(*groups, prior, dictionary_bytes)
+    rank = F.xxhash64(F.lit(5), "doc_id")
+    good, bad = (known.where(F.col("label") == k).distinct().orderBy(rank, "doc_id").limit(max_rows) for k in (1, 0))
+    sample = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(good.union(bad)), "doc_id")
+    rows = sample.orderBy(rank, "doc_id", "text").limit(2 * max_rows).collect()
+    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], prior, dictionary_bytes)
 
 
 def fit_texts(good: list[str], bad: list[str], prior: float, dictionary_bytes: int = 1 << 20) -> CompressionModel:

@@ -52,7 +52,7 @@ def quality_model(spark: SparkSession, sf_dir: str, learn: F.Column | None = Non
     """Fitted on the labelled documents for which ``learn`` holds."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("label IS NOT NULL")
     labels = labels if learn is None else labels.where(learn)
-    return quality.fit(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
