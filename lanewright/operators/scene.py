@@ -1,7 +1,8 @@
 """Scene trees to flat objects: transforms and names go down the tree, boxes and styles come up it.
 
-A tree is an adjacency list of nodes, so any depth is handled by one join a level; all levels of all scenes move
-together. Document order (``ord``) is carried everywhere and decides ties.
+A node carries the path of its ancestors, so transforms and names of any depth come from one join and one grouping.
+Trees that are mere adjacency lists go level by level (:func:`compose_down`). Document order (``ord``) is carried
+everywhere and decides ties.
 """
 
 from __future__ import annotations
@@ -61,20 +62,14 @@ def placed_nodes(nodes: DataFrame, config: SceneConfig) -> DataFrame:
     local = F.when(own, local_transform(config)).otherwise(geom.identity())
     name = F.nullif(F.col("attrs")["nam"], F.lit(""))
     rows = both.withColumnsRenamed({"node_id": "node", "parent_id": "parent"}).withColumn("local", local).withColumn("name", name)
-    world = compose_down(rows, ["scene_id"])
-    return world if config.profile == "rs" else _inherit_names(world)
-
-
-def _inherit_names(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
-    done = nodes.where("parent IS NULL")
-    level = done
-    for _ in range(most_levels):
-        above = level.select("scene_id", F.col("node").alias("parent"), F.col("name").alias("_name"))
-        level = nodes.join(above, ["scene_id", "parent"]).withColumn("name", F.coalesce("name", "_name")).drop("_name").select(nodes.columns).persist()
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError(f"a tree is deeper than {most_levels} levels")
+    own_rows = rows.select("scene_id", F.col("node").alias("above"), "depth", "local", F.col("name").alias("_name"))
+    down = rows.select("scene_id", "node", F.explode("path").alias("above")).join(own_rows, ["scene_id", "above"])
+    steps = F.sort_array(F.collect_list(F.struct("depth", "local")))
+    placed = down.groupBy("scene_id", "node").agg(steps.alias("_s"), F.max(F.when(F.col("_name").isNotNull(), F.struct("depth", "_name"))).alias("_n"))
+    world = F.aggregate("_s", geom.identity(), lambda m, s: geom.compose(m, s["local"]))
+    placed = placed.select("scene_id", "node", world.alias("world"), F.col("_n._name").alias("_nearest"))
+    out = rows.join(placed, ["scene_id", "node"])
+    return (out if config.profile == "rs" else out.withColumn("name", F.col("_nearest"))).drop("_nearest")
 
 
 def primitives(placed: DataFrame, config: SceneConfig) -> DataFrame:
@@ -139,14 +134,9 @@ def symbols(placed: DataFrame, parts: DataFrame, config: SceneConfig) -> DataFra
     """
     own = placed.where("type = 'symbol'").select("scene_id", "node", "parent", "ord", "name", "layer", "depth", "in_symbol", F.col("world").alias("transform"), _flag(F.col("attrs")["vehicle2d"], config.profile == "rs").alias("vehicle2d"))
     sides = ("xmin", "ymin", "xmax", "ymax")
-    held = parts.where("in_symbol").select("scene_id", F.col("parent").alias("holder"), *(F.col(f"bbox.{k}").alias(k) for k in sides), "dashed")
-    up = own.where("in_symbol").select("scene_id", "node", F.col("parent").alias("above"))
-    level, every = held, held
-    for _ in range(64):
-        level = level.join(up.withColumnRenamed("node", "holder"), ["scene_id", "holder"]).select("scene_id", F.col("above").alias("holder"), *sides, "dashed")
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
+    held = parts.where("in_symbol").select("scene_id", "node", *(F.col(f"bbox.{k}").alias(k) for k in sides), "dashed")
+    up = placed.where("tag = 'item' AND type <> 'symbol'").select("scene_id", "node", F.explode("path").alias("holder"))
+    every = held.join(up, ["scene_id", "node"])
     boxes = every.groupBy("scene_id", F.col("holder").alias("node")).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.bool_or("dashed").alias("dashed"))
     both = own.join(boxes, ["scene_id", "node"], "inner" if config.profile == "rs" else "left")
     inf = float("inf")
@@ -176,8 +166,8 @@ def classified_symbols(found: DataFrame, cache: DataFrame, config: SceneConfig,
 
 def _from_nested(found: DataFrame, config: SceneConfig) -> DataFrame:
     """Undecided symbols are vehicles if one that they hold is; deepest first, the first in document order names the class."""
-    deepest = found.agg(F.max("depth")).first()[0] or 0
-    for depth in range(deepest, 0, -1):
+    deepest = found.where("in_symbol").agg(F.max("depth")).first()[0] or 0
+    for depth in range(deepest, 2, -1):  # a symbol in a symbol lies below scene and layer
         inner = found.where((F.col("depth") == depth) & F.col("is_vehicle") & F.col("in_symbol"))
         best = inner.groupBy("scene_id", F.col("parent").alias("node")).agg(F.min(F.struct("ord", "predicted_class", "predicted_probability")).alias("_b"))
         take = F.col("is_vehicle").isNull() & F.col("_b").isNotNull()

@@ -12,26 +12,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NODES = "scene_id string, node_id long, parent_id long, depth int, ord long, tag string, type string, layer string, attrs map<string,string>, lndata map<string,string>, error string"
+NODES = "scene_id string, node_id long, parent_id long, depth int, path array<long>, ord long, tag string, type string, layer string, attrs map<string,string>, lndata map<string,string>, error string"
 
 
 def scene_nodes(content: bytes, scene_id: str) -> list[tuple]:
-    """The scene's layers and items as rows, parents before children, numbered in document order."""
+    """The scene's layers and items as rows, parents before children, numbered in document order.
+
+    ``path``: the numbers from the scene down to the node itself, so that what goes down a tree needs no loop.
+    """
     root = ElementTree.fromstring(content)
     scene = root if root.tag == "scene" else root.find("scene")
     if scene is None:
         raise ValueError("no scene element")
     rows: list[tuple] = []
-    stack = [(scene, None, 0, None)]
+    stack = [(scene, [], None)]
     while stack:
-        element, parent, depth, layer = stack.pop()
+        element, above, layer = stack.pop()
         if element.tag == "layer":
             layer = element.get("n")
         number = len(rows)
         data = element.find("lndata")
-        rows.append((scene_id, number, parent, depth, number, element.tag, element.get("type"), layer, dict(element.attrib), None if data is None else dict(data.attrib), None))
+        path = [*above, number]
+        rows.append((scene_id, number, above[-1] if above else None, len(above), path, number, element.tag, element.get("type"), layer, dict(element.attrib), None if data is None else dict(data.attrib), None))
         inner = [c for c in element if c.tag == "item" or (c.tag != "lndata" and element.tag != "item")]
-        stack += [(c, number, depth + 1, layer) for c in reversed(inner)]
+        stack += [(c, path, layer) for c in reversed(inner)]
     return rows
 
 
@@ -46,7 +50,7 @@ def parse_scenes(files: DataFrame, id_column: str = "path", content_column: str
                 try:
                     rows += scene_nodes(content, scene)
                 except (ElementTree.ParseError, ValueError) as e:
-                    rows.append((scene, None, None, None, None, None, None, None, None, None, str(e)))
+                    rows.append((scene, *[None] * 10, str(e)))
             out = pd.DataFrame(rows, columns=names).astype(object)
             yield out.where(out.notna(), None)
 
