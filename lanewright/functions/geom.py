@@ -418,3 +418,9 @@ def cosine(a: ColumnLike, b: ColumnLike) -> Column:
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+def patch_of(x: ColumnLike, y: ColumnLike, scale: float, columns: int, rows: int) -> Column:
+    """The number of the image patch that holds a pixel; null outside the image."""
+    px, py = F.floor(_c(x) * scale), F.floor(_c(y) * scale)
+    return F.when(px.between(0, columns - 1) & py.between(0, rows - 1), (py * columns + px).cast("long"))
