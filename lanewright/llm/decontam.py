@@ -6,8 +6,8 @@ and item are aligned, and the aligned words around it are compared one by one. A
 ``window`` aligned words in a row (the whole item if it is shorter), at least ``percent`` per cent are equal.
 
 With these two masks at every third place, any 2 substituted words of 13 leave a seed whole, wherever the passage
-stands (a test tries all cases): at the default window and percentage no overlap is lost. Items of fewer than 8 words
-(the masks' length) have no seeds and are never found.
+stands (a test tries all cases): at the default window and percentage no overlap is lost. Of shorter items those are
+found that keep a seed whole; items of fewer than 8 words say too little and are left out.
 
 Words: runs of letters and digits, in lower case. Null or empty texts and items have no words. Repeated rows give one
 result; rows with equal ids are one document. Rows with a null id count as one document without id. Empty tables
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Places that each mask keeps (fixed values).
 MASKS = ((0, 1, 2, 4), (0, 2, 3, 7))
-SPAN, STRIDE = 8, 3
+LEAST, STRIDE = 8, 3
 
 
 def words_of(text: str = "text") -> Column:
@@ -29,12 +29,17 @@ def words_of(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def _places(n: str, mask: tuple[int, ...], stride: int) -> Column:
+    """Every ``stride``-th place where the mask still fits into ``n`` words."""
+    last = F.col(n) - (mask[-1] + 1)
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
 def _seeds(n: str, stride: int) -> Column:
     """The seeds of the first mask at places 0, stride, ..., then those of the second."""
-    places = F.when(F.col(n) >= SPAN, F.sequence(F.lit(0), F.col(n) - SPAN, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
     def seeds(k: int) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(k), *(F.get("words", i + at) for at in MASKS[k])))
+        return F.transform(_places(n, MASKS[k], stride), lambda i: F.xxhash64(F.lit(k), *(F.get("words", i + at) for at in MASKS[k])))
 
     return F.concat(*map(seeds, range(len(MASKS))))
 
@@ -42,8 +47,8 @@ def _seeds(n: str, stride: int) -> Column:
 def _seeded(df: DataFrame, stride: int) -> DataFrame:
     """Words, their number, and a row for each seed: seed, at (its place)."""
     rows = df.withColumn("n", F.size("words")).select("*", F.posexplode(_seeds("n", stride)).alias("_i", "seed"))
-    places = F.floor((F.col("n") - SPAN) / stride).cast("int") + 1
-    return rows.withColumn("at", F.when(F.col("_i") < places, F.col("_i")).otherwise(F.col("_i") - places) * stride).drop("_i")
+    first = F.greatest(F.lit(0), F.floor((F.col("n") - (MASKS[0][-1] + 1)) / stride).cast("int") + 1)
+    return rows.withColumn("at", F.when(F.col("_i") < first, F.col("_i")).otherwise(F.col("_i") - first) * stride).drop("_i")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -51,7 +56,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: i
 
     The benchmark's seeds are broadcast if there are ``most_broadcast`` at most (about 50 MB); else they are shuffled.
     """
-    items = benchmark.select("item_id", words_of().alias("words")).distinct()
+    items = benchmark.select("item_id", words_of().alias("words")).where(F.size("words") >= LEAST).distinct()
     item_seeds = _seeded(items, 1).select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
     if item_seeds.count() <= most_broadcast:
         item_seeds = F.broadcast(item_seeds)
