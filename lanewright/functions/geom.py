@@ -259,13 +259,16 @@ def resample(verts: ColumnLike, step: float) -> Column:
     """Points at most ``step`` apart: longer edges are cut into equal parts, shorter ones keep their end."""
     verts = _c(verts)
 
+    def counted(e: Column) -> Column:
+        return F.struct(e["p"].alias("p"), e["q"].alias("q"), F.greatest(F.lit(1), F.ceil(distance(e["p"], e["q"]) / step).cast("int")).alias("n"))
+
     def parts(e: Column) -> Column:
-        d = distance(e["p"], e["q"])
-        n = F.greatest(F.lit(1), F.ceil(d / step).cast("int"))
+        n = e["n"]
         lerp = lambda k, j: F.when(j == n, e["q"][k]).otherwise(e["p"][k] + (e["q"][k] - e["p"][k]) * j / n)
         return F.transform(F.sequence(F.lit(1), n), lambda j: point(lerp("x", j), lerp("y", j)))
 
-    return F.when(F.size(verts) < 2, verts).otherwise(F.concat(F.slice(verts, 1, 1), F.flatten(F.transform(pairs(verts), parts))))
+    cut = F.flatten(F.transform(F.transform(pairs(verts), counted), parts))
+    return F.when(F.size(verts) < 2, verts).otherwise(F.concat(F.slice(verts, 1, 1), cut))
 
 
 def mean_curvature(verts: ColumnLike) -> Column:

@@ -69,7 +69,7 @@ def bezier_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = polylines(spark, sf_dir).where(F.size("verts") >= 2)
     third = lambda e, w: geom.point(e["p"]["x"] + (e["q"]["x"] - e["p"]["x"]) * w + 1, e["p"]["y"] + (e["q"]["y"] - e["p"]["y"]) * w)
     controls = F.flatten(F.transform(geom.pairs("verts"), lambda e: F.array(third(e, 0.25), third(e, 0.75))))
-    c = p.select("id", geom.interpolate_curve("verts", controls, 10).alias("v"))
+    c = p.withColumn("controls", controls).select("id", geom.interpolate_curve("verts", "controls", 10).alias("v"))
     total = lambda k: F.aggregate("v", F.lit(0.0), lambda s, x: s + x[k])
     return c.select("id", F.size("v").cast("long").alias("points"), q(total("x"), 10).alias("sx"), q(total("y"), 10).alias("sy"))
 
