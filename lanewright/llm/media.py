@@ -7,7 +7,8 @@ chunks, rebuilds it from the store, and the SHA-256 of what is read back is held
 A payload is one of two kinds. If every chunk of it is its own, its chunks are stored beside its manifest and read
 back there. Payloads that share a chunk with another go through the shared store: digests are joined to drop repeated
 chunks, and manifests are joined to what was stored. A fixed bitmap of shared digests tells the kinds apart; where it
-errs, a payload takes the longer way to the same result. So bytes are moved only where something is shared.
+errs, a payload takes the longer way to the same result. So bytes are moved only where something is shared, and moved
+chunks are compressed first.
 
 The stored form of a payload is its manifest followed by its chunks: header ``CDC1``, number of chunks, unpadded length
 (big-endian, 4 and 8 bytes), then a digest (32 bytes) and a length (4 bytes) for each chunk, then the chunks' bytes.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,9 +162,10 @@ def media_features(docs: DataFrame, digest_bits: int = 24) -> DataFrame:
             yield _batch(rows, _PACKED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack_chunk = zstandard.ZstdCompressor(level=3).compress
         for b in _rows(batches):
-            rows = [pair for *_, chunks, digests in _payloads(b) if sent.value.has(_heads(digests)).any() for pair in zip(digests, chunks, strict=True)]
-            yield _batch(rows, _CHUNK)
+            shared = ((d, c) for *_, chunks, digests in _payloads(b) if sent.value.has(_heads(digests)).any() for d, c in zip(digests, chunks, strict=True))
+            yield _batch([(d, pack_chunk(c)) for d, c in shared], _CHUNK)
 
     packs = materialize(texts.mapInArrow(pack, "doc_id long, manifest binary, sha256 binary, solo boolean, chunks array<binary>"), "packs")
     store = materialize(texts.select("text").mapInArrow(emit, "digest binary, chunk binary").dropDuplicates(["digest"]), "chunks")
@@ -194,6 +197,7 @@ def _rebuilt(payloads: DataFrame, store: DataFrame) -> DataFrame:
     schema = pa.schema([("sha256", pa.binary()), *list(_RESULT)[1:]])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         now, stored, parts = None, None, {}
         for b in _rows(batches, 5000):
             rows = []
@@ -203,7 +207,7 @@ def _rebuilt(payloads: DataFrame, store: DataFrame) -> DataFrame:
                         rows.append((now, *read_back(stored, parts, now)))
                     now, parts = sha, {}
                 stored = stored if seq else given
-                parts[digest] = chunk
+                parts[digest] = unpack(chunk)
             yield _batch(rows, schema)
         if now is not None:
             yield _batch([(now, *read_back(stored, parts, now))], schema)
