@@ -150,6 +150,15 @@ def natural_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*KEYS, "k", q(F.col("x"), 100).alias("x"), q(F.col("y"), 100).alias("y"))
 
 
+def spline_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method of the spline lab over every run of ten poses: its samples, or how often it fails."""
+    from lanewright.operators import splines
+
+    runs = _runs(spark, sf_dir, 10).withColumn("scene_id", F.concat_ws("-", "user_id", "run"))
+    found = splines.compare(runs, samples=40)
+    return found.groupBy("method").agg(F.count("x").alias("samples"), F.count("error").alias("errors"))
+
+
 # ---------------------------------------------------------------- lanes: the polylines of a supplier's scene
 
 
@@ -244,7 +253,7 @@ _ENDS = f"""WITH {VERTICES}, r AS (SELECT *, count(*) OVER (PARTITION BY id) AS
     crossed AS (SELECT scene_id, i FROM balls GROUP BY ALL HAVING count(DISTINCT lane_idx) > 1),
     at_ AS (SELECT DISTINCT scene_id, j AS id FROM balls JOIN crossed USING (scene_id, i))"""
 
-QUERIES = {f.__name__: f for f in (delaunay, triangle_neighbours, vertex_cluster, triangle_class, obb_corners, obb_collisions, first_collision_per_vehicle, first_collision_global, tsp_order, tsp_2opt, walk_connect, clothoid_path, hybrid_path, natural_spline, lane_endpoints, intersection_clusters, connection_validate, scene_objects)}
+QUERIES = {f.__name__: f for f in (delaunay, triangle_neighbours, vertex_cluster, triangle_class, obb_corners, obb_collisions, first_collision_per_vehicle, first_collision_global, tsp_order, tsp_2opt, walk_connect, clothoid_path, hybrid_path, natural_spline, spline_lab, lane_endpoints, intersection_clusters, connection_validate, scene_objects)}
 ORACLE_SQL = {
     "delaunay": f"{_DELAUNAY} SELECT id, t, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c FROM d",
     "triangle_neighbours": f"""{_DELAUNAY}, e AS (SELECT id, t, a AS i, b AS j FROM d UNION ALL SELECT id, t, b, c FROM d UNION ALL SELECT id, t, a, c FROM d)
