@@ -129,16 +129,14 @@ def train(labelled: DataFrame, max_rows: int = 8000, max_suffixes: int = 50, tre
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Each page's host, path, rule, verdict and score. Trained on ``labelled`` and the urls that a rule decides."""
+    """Each page's host, path, rule, verdict and score.
+
+    Trained on ``labelled`` (url, label 1: block), or without it on the urls that a rule decides.
+    """
     rule, verdict = fitting_rule(rules)
     split = with_parts(pages.select("page_id", "url")).select("*", rule.alias("rule"), verdict.alias("_said"))
     ruled = split.where("_said IS NOT NULL").select("url", (F.col("_said") == "block").cast("int").alias("label"))
-    model = train(ruled if labelled is None else _bounded(ruled).union(labelled.select("url", "label")))
+    model = train(ruled if labelled is None else labelled)
     scored = model.score(split)
     made = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_said", made).alias("verdict"), "score")
-
-
-def _bounded(ruled: DataFrame, rows: int = 2000) -> DataFrame:
-    """Of the urls that rules label, those with the smallest hash, so that they do not outnumber labelled ones."""
-    return ruled.distinct().orderBy(F.xxhash64("url", F.lit(13)), "url", "label").limit(rows)
