@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import materialize
 
 _ADDED = ("bucket", "place", "shard", "slot")
+MOST_BUCKETS = 1 << 20
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -39,16 +40,16 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 def external_shuffle(df: DataFrame, size: Column, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
     """All records with bucket and place (their rank in the bucket after the shuffle), written to the shared folder.
 
-    ``size`` is a record's bytes; buckets hold ``bucket_bytes`` of them on average.
+    ``size`` is a record's bytes; buckets hold ``bucket_bytes`` of them on average, more once there are MOST_BUCKETS.
     """
     df = df.drop(*_ADDED)
     total = df.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
     names = df.columns
     scattered = (
         df.withColumn("_at", F.monotonically_increasing_id())
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_at"), F.lit(buckets)).cast("int"))
-        .repartition(buckets, "bucket")
+        .repartitionById(buckets, "bucket")
         .sortWithinPartitions("bucket", "_at")
     )
     schema = scattered.select(*names, "bucket").withColumn("place", F.lit(0).cast("long")).schema
@@ -80,13 +81,16 @@ def external_shuffle(df: DataFrame, size: Column, seed: int = 7, bucket_bytes: i
 
 
 def assign_shards(shuffled: DataFrame, shards: int) -> DataFrame:
-    """Add shard and slot from bucket and place: the count of each bucket, a row a bucket, gives its offset."""
+    """Add shard and slot from bucket and place: the count of each bucket, a row a bucket, gives its offset.
+
+    There are MOST_BUCKETS offsets at most (some 20 MB), so they are broadcast and the records stay where they are.
+    """
     counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     rank = F.col("_offset") + F.col("place")
     return (
-        shuffled.join(offsets, "bucket")
+        shuffled.join(F.broadcast(offsets), "bucket")
         .withColumn("shard", F.pmod(rank, F.lit(shards)).cast("int"))
         .withColumn("slot", F.floor(rank / shards).cast("long"))
         .drop("_offset")
