@@ -10,6 +10,10 @@ labelled urls of both classes, what no rule decides is allowed. Extra columns ar
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+from operator import add
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,11 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words of the hosts in the seed set of labelled urls (fixed values).
-BAD_WORDS = ("casino", "pills", "bets", "adult", "spam", "ads", "track", "free", "win", "cheap", "farm", "poker", "loan", "xxx")
-GOOD_WORDS = ("news", "garden", "river", "school", "library", "museum", "kitchen", "travel", "music", "science", "history", "weather")
+#: Terms that spam hosts use more than others do, found anywhere in a host (fixed values); good hosts hold some too.
+TERMS = (
+    "adult", "ads", "bet", "bonus", "buy", "cash", "casino", "cheap", "cialis", "click", "coupon", "credit", "crypto", "deal", "diet", "discount", "dating", "earn", "escort", "free",
+    "gambl", "gift", "jackpot", "loan", "lottery", "lucky", "offer", "pharm", "pill", "poker", "porn", "prize", "profit", "promo", "rich", "sale", "sex", "slot", "spam", "track", "viagra", "win", "xxx",
+)
+#: Words of the hosts in the seed set of labelled urls (fixed values): plain ones, and everyday ones that hold a term.
+PLAIN = (
+    "news", "garden", "river", "school", "library", "museum", "kitchen", "travel", "music", "science", "history", "weather", "stone", "paper", "bridge", "north", "valley", "market", "health", "city",
+    "green", "studio", "house", "craft", "forest", "union", "data", "smith", "archive", "project", "photo", "tech", "lake", "academy", "trust", "sport", "church", "blog", "works", "group",
+)
+EVERYDAY = ("window", "roads", "alphabet", "winter", "tracks", "freedom", "richmond", "essex", "pharmacy", "giftshop", "creditunion", "learning", "ideal", "betty", "slotcar", "sales", "freelance", "profits")
+COMMON, ODD = ("com", "net", "org", "de", "fr", "io", "co", "edu"), ("xyz", "top", "click", "site", "online", "biz", "info")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._/?=&%:#"
-FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "host_digits", "terms", "digit_ratio", "entropy", "parameters", "suffix_rate")
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -59,6 +72,8 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
         count(F.col("path"), "/").cast("double").alias("depth"),
         count(F.col("host"), ".").cast("double").alias("labels"),
         count(F.col("host"), "-").cast("double").alias("hyphens"),
+        (F.length("host") - F.length(F.translate("host", "0123456789", ""))).cast("double").alias("host_digits"),
+        reduce(add, (F.contains("host", F.lit(t)).cast("int") for t in TERMS)).cast("double").alias("terms"),
         ((F.length(u) - F.length(F.translate(u, "0123456789", ""))) / n).alias("digit_ratio"),
         entropy.alias("entropy"),
         F.when(query == "", 0.0).otherwise(count(query, "&") + 1.0).alias("parameters"),
@@ -67,18 +82,61 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """Labelled urls (url, label 1: block) built by rule from two word lists; every suffix occurs in both classes.
+    """Labelled urls (url, label 1: block), made by rule from fixed words; no feature gives the label away.
 
-    Hosts of bad words are joined by hyphens, one url each; hosts of one or two good words have three urls each.
+    Good: plain hosts, with or without hyphens, some of them with one odd trait (a term, digits, an odd suffix, a long
+    query, a deep path). Bad: hosts with several terms, or two odd traits or more at once, hyphenated or not.
     """
-    hosts = [(f"{a}-{b}", 1) for a in BAD_WORDS for b in BAD_WORDS if a != b]
-    hosts += [(a if a == b else a + b, 0) for a in GOOD_WORDS for b in GOOD_WORDS for _ in range(3 if a != b else 12)]
-    tails, subs, languages = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"), ("", "www.", "blog.", "m."), ("en", "de", "fr", "es")
+    draw = random.Random(9)
+    some = lambda words, n: [draw.choice(words) for _ in range(n)]
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    sign = lambda: draw.choice(("", "-"))
+
+    def good() -> tuple[str, str, str, str]:
+        kind, join = draw.randrange(8), sign()
+        words = some(PLAIN, draw.choice((1, 2, 2, 3)))
+        host, suffix, path, query = join.join(words), draw.choice(COMMON), "", ""
+        if kind == 0:
+            host = join.join([draw.choice(EVERYDAY), *words[1:]])
+        elif kind == 1:
+            host = sign().join(draw.sample([draw.choice(TERMS), words[0]], 2))
+        elif kind == 2:
+            host += sign() + digits(draw.randrange(1, 5))
+        elif kind == 3:
+            suffix = draw.choice(ODD)
+        elif kind == 4:
+            query = "&".join(f"{w}={noise(draw.randrange(1, 20))}" for w in some(PLAIN, draw.randrange(3, 7)))
+        elif kind == 5:
+            path = "/".join(some(PLAIN, draw.randrange(3, 7)))
+        elif kind == 6:
+            host = "-".join(some(PLAIN, draw.choice((2, 3, 4))))
+        return host, suffix, path, query
+
+    def bad() -> tuple[str, str, str, str]:
+        kind, join = draw.randrange(5), sign()
+        host, suffix, path, query = "", draw.choice(COMMON), "", ""
+        if kind < 2:
+            host = join.join(draw.sample(TERMS, draw.choice((2, 2, 3))) + some(PLAIN, draw.choice((0, 0, 1))))
+        elif kind == 2:
+            host, suffix = join.join(draw.sample([draw.choice(TERMS), *some(PLAIN, draw.choice((0, 1)))], 1) + [draw.choice(TERMS)]), draw.choice(ODD)
+        elif kind == 3:
+            host, suffix = join.join([*some(PLAIN, draw.choice((0, 1))), draw.choice(TERMS), digits(draw.randrange(2, 6))]), draw.choice(COMMON + ODD)
+        else:
+            host, suffix = noise(draw.randrange(9, 20)), draw.choice(ODD)
+            query = draw.choice(("", "&".join(f"{w}={noise(draw.randrange(8, 24))}" for w in some(PLAIN, draw.randrange(2, 6)))))
+        if draw.random() < 0.2:
+            path = "/".join(some(PLAIN, draw.randrange(2, 6)))
+        return host, suffix, path, query
+
     rows = []
-    for n, (host, label) in enumerate(hosts):
-        at = n * 7919
-        url = f"http{'s' * (at % 2)}://{subs[at // 2 % 4]}{host}.example.{('com', 'net', 'org')[n % 3]}/{languages[at // 8 % 4]}/{at % 50000}{tails[at // 32 % 6]}"
-        rows.append((url, label))
+    for n in range(2400):
+        label = n % 2
+        host, suffix, path, query = (bad if label else good)()
+        sub, middle = draw.choice(("", "", "www.", "www.", "m.", "blog.", "shop.")), draw.choice(("", "", "", ".example", ".pages", ".co"))
+        path = path or draw.choice(("", "a", f"{digits(draw.randrange(1, 6))}", f"{draw.choice(PLAIN)}/{digits(4)}.html", "en/index.html", f"{draw.choice(PLAIN)}-{draw.choice(PLAIN)}"))
+        query = query or draw.choice(("", "", "page=2&ref=x", "utm_source=feed", f"id={digits(4)}"))
+        rows.append((f"http{draw.choice(('', 's'))}://{sub}{host}{middle}.{suffix}/{path}{'?' if query else ''}{query}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -277,6 +277,20 @@ def test_url_rules_and_model(spark):
     assert "Python" not in urlfilter.judge(pages, labelled)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_url_seeds_have_no_giveaway(spark):
+    labelled = urlfilter.seed_urls(spark)
+    model = urlfilter.train(labelled)
+    rows = urlfilter.lexical_features(urlfilter.with_parts(labelled)).withColumn("suffix_rate", model._suffix_rate()).toPandas()
+    for feature in urlfilter.FEATURES:
+        right = [np.mean((rows[feature] > cut) == (rows.label == 1)) for cut in rows[feature].unique()]
+        assert max(*right, *(1 - r for r in right)) < 0.85, feature
+    # written by hand, with hosts that the seed set does not have
+    allow = ["http://my-school.net/", "https://xn--mnchen-3ya.de/", "https://en.wikipedia.com/wiki/Casino", "https://www.stack-overflow.com/questions/1234", "https://old-town-bakery.co/menu?day=3"]
+    block = ["https://cheapviagraonline.com/", "http://win-free-iphone24.click/", "http://bestcasinobonus.net/en?ref=1", "http://loan4you-cash.biz/apply/now", "http://pokerslots777.com/"]
+    scored = model.score(urlfilter.with_parts(spark.createDataFrame([(u,) for u in allow + block], "url string"))).collect()
+    assert {r.url for r in scored if r.score >= 0.5} == set(block)
+
+
 # 10
 
 
