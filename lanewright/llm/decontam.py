@@ -2,12 +2,14 @@
 
 A seed is a hash of the words that a fixed mask keeps; the words that it ignores may have been substituted. Seeds at
 every third place of every text meet the seeds at every place of the benchmark items in a join; a hit fixes how text
-and item are aligned, and the aligned words around it are compared one by one. A text overlaps an item where, of
+and item are aligned, and the aligned words around it are compared one by one. An item shorter than the window must be
+there whole, so it is cut into blocks of three words instead, and these meet the three words at every place of a text. A text overlaps an item where, of
 ``window`` aligned words in a row (the whole item if it is shorter), at least ``percent`` per cent are equal.
 
-With these two masks at every third place, any 2 substituted words of 13 leave a seed whole, wherever the passage
-stands (a test tries all cases): at the default window and percentage no overlap is lost. Of shorter items those are
-found that keep a seed whole; items of fewer than 8 words say too little and are left out.
+At the default window and percentage no overlap is lost (a test tries all cases): with the two masks at every third
+place, any 2 substituted words of 13 leave a seed whole, wherever the passage stands; an item of 8 or 9 words has two
+blocks and may lack one word, one of 10 to 12 has three and may lack two. Items of fewer than 8 words say too little and
+are left out, as in the query's SQL. Texts are cut at every place only if there are items shorter than the window.
 
 Words: runs of letters and digits, in lower case. Null or empty texts and items have no words. Repeated rows give one
 result; rows with equal ids are one document. Rows with a null id count as one document without id. Empty tables
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Places that each mask keeps (fixed values).
 MASKS = ((0, 1, 2, 4), (0, 2, 3, 7))
+#: The mask of items shorter than the window.
+BLOCK = (0, 1, 2)
 LEAST, STRIDE = 8, 3
 
 
@@ -35,20 +39,19 @@ def _places(n: str, mask: tuple[int, ...], stride: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def _seeds(n: str, stride: int) -> Column:
-    """The seeds of the first mask at places 0, stride, ..., then those of the second."""
+def _seeds(n: str, *masks: tuple[tuple[int, ...], int]) -> Column:
+    """The seeds of each mask at places 0, stride, ...: seed, at (its place)."""
 
-    def seeds(k: int) -> Column:
-        return F.transform(_places(n, MASKS[k], stride), lambda i: F.xxhash64(F.lit(k), *(F.get("words", i + at) for at in MASKS[k])))
+    def seeds(mask: tuple[int, ...], stride: int) -> Column:
+        seed = lambda i: F.xxhash64(F.lit(str(mask)), *(F.get("words", i + at) for at in mask)).alias("seed")
+        return F.transform(_places(n, mask, stride), lambda i: F.struct(seed(i), i.alias("at")))
 
-    return F.concat(*map(seeds, range(len(MASKS))))
+    return F.concat(*(seeds(*m) for m in masks))
 
 
-def _seeded(df: DataFrame, stride: int) -> DataFrame:
+def _seeded(df: DataFrame, *masks: tuple[tuple[int, ...], int]) -> DataFrame:
     """Words, their number, and a row for each seed: seed, at (its place)."""
-    rows = df.withColumn("n", F.size("words")).select("*", F.posexplode(_seeds("n", stride)).alias("_i", "seed"))
-    first = F.greatest(F.lit(0), F.floor((F.col("n") - (MASKS[0][-1] + 1)) / stride).cast("int") + 1)
-    return rows.withColumn("at", F.when(F.col("_i") < first, F.col("_i")).otherwise(F.col("_i") - first) * stride).drop("_i")
+    return df.withColumn("n", F.size("words")).select("*", F.inline(_seeds("n", *masks)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -57,10 +60,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: i
     The benchmark's seeds are broadcast if there are ``most_broadcast`` at most (about 50 MB); else they are shuffled.
     """
     items = benchmark.select("item_id", words_of().alias("words")).where(F.size("words") >= LEAST).distinct()
-    item_seeds = _seeded(items, 1).select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
+    short = F.size("words") < window
+    item_seeds = _seeded(items.where(~short), *((m, 1) for m in MASKS)).unionByName(_seeded(items.where(short), (BLOCK, len(BLOCK))))
+    item_seeds = item_seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
+    cuts = [(m, STRIDE) for m in MASKS] + ([] if items.where(short).isEmpty() else [(BLOCK, 1)])
     if item_seeds.count() <= most_broadcast:
         item_seeds = F.broadcast(item_seeds)
-    hits = _seeded(docs.select("doc_id", words_of().alias("words")), STRIDE).join(item_seeds, "seed")
+    hits = _seeded(docs.select("doc_id", words_of().alias("words")), *cuts).join(item_seeds, "seed")
     shift = F.col("at") - F.col("item_at")
     start = F.greatest(F.lit(0), -shift)
     length = F.least(F.col("item_n"), F.col("n") - shift) - start

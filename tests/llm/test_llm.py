@@ -173,6 +173,24 @@ def test_decontamination(spark):
     assert decontam.overlaps(d, bench.limit(0)).count() == 0 == decontam.overlaps(d.limit(0), bench).count()
 
 
+def test_short_items_lose_nothing(spark):
+    rng = random.Random(21)
+    for n in range(8, 13):
+        blocks = [set(range(at, at + 3)) for at in range(0, n - 2, 3)]
+        assert all(any(not b & set(subs) for b in blocks) for subs in itertools.combinations(range(n), n - math.ceil(n * 0.8)))
+    items = {n: words(rng, n).split() for n in (7, 8, 9, 10, 11, 12)}
+    texts, want = [], {}
+    for n, item in items.items():
+        for phase, subs in itertools.product(range(3), [*itertools.combinations(range(n), n - math.ceil(n * 0.8)), range(n - math.ceil(n * 0.8) + 1)]):
+            said = ["changed" if i in subs else w for i, w in enumerate(item)]
+            if n > 7 and len(subs) <= n - math.ceil(n * 0.8):
+                want[len(texts)] = (n, n - len(subs))
+            texts.append(" ".join(["before"] * phase + said + ["behind"] * 5))
+    d, bench = docs(spark, *texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    for most in (1_000_000, 0):
+        assert {r.doc_id: (r.item_id, r.matched) for r in decontam.overlaps(d, bench, most_broadcast=most).collect()} == want
+
+
 # 5
 
 
