@@ -12,7 +12,8 @@ blocks and may lack one word, one of 10 to 12 has three and may lack two. Items
 are left out, as in the query's SQL. Texts are cut at every place only if there are items shorter than the window.
 
 Words: runs of letters and digits, in lower case. Null or empty texts and items have no words. Repeated rows give one
-result; rows with equal ids are one document. Rows with a null id count as one document without id. Empty tables
+result; rows with equal ids are one document. Rows with a null id count as one document without id. An item is an id
+with its words: texts that share an id, or have none, are compared one by one and reported under it. Empty tables
 give no rows. Extra columns are ignored.
 """
 
@@ -60,9 +61,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: i
     The benchmark's seeds are broadcast if there are ``most_broadcast`` at most (about 50 MB); else they are shuffled.
     """
     items = benchmark.select("item_id", words_of().alias("words")).where(F.size("words") >= LEAST).distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "words"))
     short = F.size("words") < window
     item_seeds = _seeded(items.where(~short), *((m, 1) for m in MASKS)).unionByName(_seeded(items.where(short), (BLOCK, len(BLOCK))))
-    item_seeds = item_seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
+    item_seeds = item_seeds.select("seed", "item", F.col("at").alias("item_at"), F.col("n").alias("item_n")).distinct()
     cuts = [(m, STRIDE) for m in MASKS] + ([] if items.where(short).isEmpty() else [(BLOCK, 1)])
     if item_seeds.count() <= most_broadcast:
         item_seeds = F.broadcast(item_seeds)
@@ -70,9 +72,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: i
     shift = F.col("at") - F.col("item_at")
     start = F.greatest(F.lit(0), -shift)
     length = F.least(F.col("item_n"), F.col("n") - shift) - start
-    aligned = hits.select("doc_id", "item_id", shift.alias("shift"), start.alias("start"), F.slice("words", start + shift + 1, length).alias("said"))
-    aligned = aligned.groupBy("doc_id", "item_id", "shift", "start", "said").agg(F.count(F.lit(1)).alias("hits"))
-    both = aligned.join(items.withColumnRenamed("words", "asked"), "item_id")
+    aligned = hits.select("doc_id", "item", shift.alias("shift"), start.alias("start"), F.slice("words", start + shift + 1, length).alias("said"))
+    aligned = aligned.groupBy("doc_id", "item", "shift", "start", "said").agg(F.count(F.lit(1)).alias("hits"))
+    both = aligned.join(items.withColumnRenamed("words", "asked"), "item")
     equal = F.zip_with(F.slice("asked", F.col("start") + 1, F.size("said")), "said", lambda a, b: (a == b).cast("int"))
     width = F.least(F.lit(window), F.size("asked"))
     judged = both.withColumn("equal", equal).withColumn("width", width).where(F.size("equal") >= F.col("width"))

@@ -191,6 +191,17 @@ def test_short_items_lose_nothing(spark):
         assert {r.doc_id: (r.item_id, r.matched) for r in decontam.overlaps(d, bench, most_broadcast=most).collect()} == want
 
 
+def test_items_without_id_count(spark):
+    rng = random.Random(22)
+    one, two, three = (words(rng, n) for n in (20, 15, 9))
+    bench = spark.createDataFrame([(None, one), (None, two), (4, two), (4, three)], "item_id long, text string")
+    d = docs(spark, words(rng, 9) + " " + one, two, three, words(rng, 60))
+    for most in (1_000_000, 0):
+        found = {(r.doc_id, r.item_id): (r.item_words, r.matched, r.windows) for r in decontam.overlaps(d, bench, most_broadcast=most).collect()}
+        assert found == {(0, None): (20, 20, 8), (1, None): (15, 15, 3), (1, 4): (15, 15, 3), (2, 4): (9, 9, 1)}
+    assert [r.doc_id for r in decontam.decontaminate(d, bench).collect()] == [3]
+
+
 # 5
 
 
