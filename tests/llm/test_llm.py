@@ -387,3 +387,20 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert set(kept) - {43} == set(range(40))
     _, v = None, bpe.Vocabulary(queries.vocabulary_text())
     assert kept[5].n_tokens == len(bpe.Encoder(v).encode([clean[5]])[0][0]) // 4 and kept[5].n_chars == len(clean[5])
+
+
+def test_first_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near = a.replace(a.split()[30], "edit")
+    rows = [(3, a), (None, near), (None, b), (None, b), (7, c), (7, c), (7, d), (8, d), (5, d), (9, e), (9, a), (None, ""), (None, ""), (1, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    kept = corpus_pipeline.keep_first_copies(spark, table, "")
+    assert kept.columns == table.columns
+    want = [(3, a), (None, b), (7, c), (5, d), (9, e), (None, ""), (None, ""), (1, None)]
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(repr, want))
+    unique = table.where("doc_id IN (3, 5, 8)")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_first_copies(spark, unique, "").collect()) == [3, 5]
+    assert corpus_pipeline.keep_first_copies(spark, table.limit(0), "").count() == 0
