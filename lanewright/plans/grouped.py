@@ -11,13 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Rows = Iterable[tuple]
+#: Rows and elements of their lists that are held before they are passed on.
+MOST_HELD = 20_000
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, dict[str, np.ndarray]], Rows], schema: str) -> DataFrame:
     """``work(key, columns)`` for each group, its rows in ``order``; it gives rows of ``schema``.
 
     One shuffle on the keys. A worker holds one group at a time, so memory is bounded by the largest group (a scene, a
-    vehicle), not by a partition. Null keys are a group.
+    vehicle), not by a partition; rows with long lists are passed on sooner. Null keys are a group.
     """
     names = df.columns
     target = to_arrow_schema(StructType.fromDDL(schema))
@@ -34,6 +36,17 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             return work(now, {c: whole[c].to_numpy() for c in names})
 
         rows: list[tuple] = []
+        held = 0
+
+        def add() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, held
+            for row in finish():
+                rows.append(row)
+                held += 1 + sum(len(v) for v in row if isinstance(v, list))
+                if len(rows) >= 5000 or held >= MOST_HELD:
+                    yield out(rows)
+                    rows, held = [], 0
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -41,15 +54,12 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
             edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if parts and ids[lo] != now:
-                    rows.extend(finish())
+                    yield from add()
                     parts = []
-                    if len(rows) >= 5000:
-                        yield out(rows)
-                        rows = []
                 now = ids[lo]
                 parts.append(b.slice(lo, hi - lo))
         if parts:
-            rows.extend(finish())
+            yield from add()
         yield out(rows)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

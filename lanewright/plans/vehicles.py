@@ -125,7 +125,7 @@ def walk_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clothoid_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clothoids through every run of five poses: points and the length walked."""
-    o = trajectories.connected(_runs(spark, sf_dir, 5).withColumnRenamed("ord", "pos"), KEYS, KINDS, samples=20)
+    o = trajectories.connected(_runs(spark, sf_dir, 5).withColumnRenamed("ord", "pos"), KEYS, KINDS)
     w = Window.partitionBy(*KEYS).orderBy("k")
     d = o.withColumn("d", geom.length_of(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")))
     return d.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("points"), q(F.coalesce(F.sum("d"), F.lit(0.0)), 10).alias("length"))
@@ -133,7 +133,7 @@ def clothoid_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driving and sliding segments fitted through every run of ten poses."""
-    s = trajectories.fit_paths(_runs(spark, sf_dir, 10).withColumnRenamed("ord", "pos"), KEYS, KINDS, "hybrid", dt=5.0)
+    s = trajectories.fit_paths(_runs(spark, sf_dir, 10).withColumnRenamed("ord", "pos"), KEYS, KINDS, "hybrid")
     return s.select(*KEYS, "start_idx", "end_idx", "phase", F.size("path").cast("long").alias("points"))
 
 
@@ -155,7 +155,7 @@ def spline_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanewright.operators import splines
 
     runs = _runs(spark, sf_dir, 10).withColumn("scene_id", F.concat_ws("-", "user_id", "run"))
-    found = splines.compare(runs, samples=40)
+    found = splines.compare(runs)
     return found.groupBy("method").agg(F.count("x").alias("samples"), F.count("error").alias("errors"))
 
 
