@@ -11,9 +11,10 @@ compares the recovered turn with the source; while they differ, conflicting cont
 first the control strings get a backslash, then backslashes are doubled as well. The last step always round-trips.
 
 Turns are rendered and checked where they lie; only then are they brought together by conversation, sorted by turn
-and folded as a stream, so a conversation of any length needs the memory of one batch.
+and folded as a stream, so a conversation of any length needs the memory of one batch. A conversation is one task's
+work, as the digest over its turns is sequential.
 
-Null text or role: empty. Null conv_id: one conversation of its own. Null turn: first. Equal turns: in the order of
+Null text or role: empty. Null conv_ids: all one conversation. Null turn: first. Equal turns: in the order of
 their rendered text; repeated rows all stay. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ": ", " </turn>\n"
-_CONTROL = re.compile(r"### |</turn>")
+#: What must not stand bare in a body; at its end ``###`` would take the blank of the end marker.
+_CONTROL = re.compile(r"###(?= |\Z)|</turn>")
 _SPECIAL = re.compile(r"\\(?:(.)|$)|### | ?</turn>\n?", re.DOTALL)
 _ROLE = re.compile(r"([\\:#<\n])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)

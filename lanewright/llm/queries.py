@@ -99,7 +99,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(15 + length(role) + length(text)
                         + (length(text) - length(replace(text, '\', '')))
-                        + (length(text) - length(replace(text, '### ', ''))) // 4
+                        + (length(text) - length(replace(text, '### ', ''))) // 4 + CAST(suffix(text, '###') AS INT)
                         + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id
     """,

@@ -6,10 +6,13 @@ import hashlib
 import itertools
 import json
 import math
+import pathlib
 import random
 import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -43,6 +46,45 @@ def test_chat_round_trip(text, role):
     assert re.sub(r"(?s)\\(.)", r"\1", rendered[start:end]) == text
 
 
+CONTROL_PIECES = ["###", "### ", "#", " ", "</turn>", " </turn>", " </turn>\n", "</turn", "\\", "\n", ": ", ":", "user", "a", "é"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(CONTROL_PIECES), max_size=40).map("".join), st.lists(st.sampled_from(CONTROL_PIECES), max_size=6).map("".join))
+def test_chat_round_trip_of_control_strings(text, role):
+    """Prefixes and suffixes of the grammar's own strings, at both ends of a text too."""
+    for body in (text, text + "###", "x ###", "###", "</turn> ###", " </turn>"):
+        rendered, start, end, step = chat.format_turn(role, body)
+        assert [t[:2] for t in chat.parse(rendered + rendered)] == [(role, body)] * 2
+        assert re.sub(r"(?s)\\(.)", r"\1", rendered[start:end]) == body
+        more = body.count("\\") + body.count("### ") + body.endswith("###") + body.count("</turn>")
+        assert end - start == len(body) + more and step == (2 if "\\" in body else 1 if more else 0)
+
+
+def same_rows(spark, path, name):
+    """Whether a query and its SQL give the same rows over the tables in a folder."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in sorted(pathlib.Path(path).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}/*.parquet')" if f.is_dir() else f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df = queries.QUERIES[name](spark, str(path))
+    got = Counter(repr(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
+    table = con.execute(queries.ORACLE_SQL[name])
+    order = sorted(range(len(table.description)), key=lambda i: table.description[i][0])
+    want = Counter(repr(tuple(r[i] for i in order)) for r in table.fetchall())
+    assert sorted(df.columns) == [table.description[i][0] for i in order]
+    return got == want
+
+
+def test_chat_query_and_its_sql(spark, tmp_path):
+    rng = random.Random(31)
+    texts = ["x ###", "###", "</turn> ###", "### ", "#### ", "\\", "a\\### b", None, "", "ok </turn>\n", "### ###", "é" * 30000 + "###"]
+    texts += ["".join(rng.choice(CONTROL_PIECES) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = [(i // 5, i % 5, rng.choice(["user", "assistant", "system"]), t, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert same_rows(spark, tmp_path, "op1_chat_formatting")
+
+
 def test_chat_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, "### x </turn>"), (None, 0, "user", "\\")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rendered string")
