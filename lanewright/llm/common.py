@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/lanewright/{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
+
+    ``gather``: for what comes out of a shuffle; its partitions are written by two tasks a core at most, one after the
+    other in each, so that rounds over many small partitions do not leave as many small files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lanewright/{uuid.uuid4().hex}/{label}"
+    ready = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)) if gather else df
+    ready.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(found)] = (weakref.ref(found), path)
+    return found
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` returned and that nothing reads any more."""
+    for df in tables:
+        ref, path = _WRITTEN.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes: Spark alone bounds them by rows, however long the texts are.
+
+    Sets the session's limit to 4 MB (a batch goes over it by one row at most) unless the session has one.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, None) is None:
+        conf.set(ARROW_BYTES, str(4 << 20))
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -43,6 +82,14 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no name in ``taken`` is equal to it, as Spark compares names."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 class KeyBitmap:
     """A set of 64-bit hashes folded into ``2**log2_bits`` bits: a filter without false negatives.
 

@@ -4,14 +4,22 @@
    of its first rows, and an odd sketch: every sample of the signature flips one bit of a bitmap, so the XOR of two
    bitmaps holds the parity of their differing samples and its population count tells a high similarity precisely.
 2. Documents with the same words in the same order form one class; classes meet in buckets of equal bands.
-3. In each bucket the least class is paired with the others (a row a member, never all pairs). Odd sketches drop pairs
-   that are far from similar, the full sets confirm the rest, and the links give first components.
-4. Only buckets that still hold several components are looked at again, in blocks of bounded size: within a block
-   sketches are compared as arrays, pairs already joined are skipped, and the full sets confirm. No candidate is
-   dropped and no list of all pairs is ever made. All links together give the components.
+3. In each bucket the least class (found by partial minima, so no bucket is gathered) is paired with the others, a row
+   a member, never all pairs. Odd sketches drop pairs that are far from similar, the full sets confirm the rest, and
+   the links give first components.
+4. Only buckets that still hold several components are looked at again. Their members are dealt to blocks of bounded
+   size: a component that fills blocks gets its own, the others share pooled ones, and only blocks that can hold two
+   components meet. So a large group of copies beside a few strangers costs as many block pairs as it has blocks.
+   Within a pair of blocks sketches are compared as arrays, pairs already joined are skipped, and the full sets
+   confirm. No candidate is dropped and no list of all pairs is ever made. These links join first components.
+
+Joins by bucket, class and component are sort-merge joins without an aggregation behind them in the same stage, so the
+adaptive planner splits a side that one key fills.
 
 Bands are chosen so that a pair at the threshold misses every bucket with a probability under one in 100,000; the
-sketch's cut lies five standard deviations below the threshold.
+sketch's cut lies five standard deviations below the threshold. Shingles and components are told apart by 64-bit hashes:
+among 30 GB of documents (some 15 million, 300 shingles each) the chance that any pair at the threshold is judged wrongly by a
+collision in its two sets is under 1 in 10,000 in all, and that any two components of one bucket look alike under 1 in 100,000.
 
 Words: maximal runs without ASCII white space, A-Z lower-cased. Null or empty texts have no words, are linked with
 nothing and are their own component. Repeated rows and equal texts are one class; of a class's documents the least
@@ -28,10 +36,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import KeyBitmap, materialize
+from lanewright.llm.common import KeyBitmap, discard, in_batches, materialize
 from lanewright.llm.components import components
 
 U64 = np.uint64
@@ -74,7 +82,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted distinct shingle hashes; keeps the hashes of up to a million words."""
+    """Texts to sorted distinct shingle hashes; keeps the hashes of up to 100,000 words of 64 bytes at most (15 MB)."""
+
+    MOST_WORDS, MOST_BYTES = 100_000, 64
 
     def __init__(self, words: int) -> None:
         self.words, self.known = words, {}
@@ -87,12 +97,14 @@ class Shingler:
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.empty(0, U64)
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), U64, len(words))
+        known, fresh = self.known, {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(self.known)}
+        if fresh:
+            h = np.fromiter((fresh[w] if w in fresh else known[w] for w in words), U64, len(words))
+            if len(known) + len(fresh) > self.MOST_WORDS:
+                known.clear()
+            known.update(x for x in fresh.items() if len(x[0]) <= self.MOST_BYTES and len(fresh) <= self.MOST_WORDS)
+        else:
+            h = np.fromiter(map(known.__getitem__, words), U64, len(words))
         k = min(self.words, len(h))
         n = len(h) - k + 1
         out = np.full(n, k, U64)
@@ -140,11 +152,13 @@ def _key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _longs(rows: np.ndarray) -> pa.Array:
-    """A matrix of 64-bit words as an array of lists of longs."""
+def _longs(rows: np.ndarray, at: list[int], n: int) -> pa.Array:
+    """``n`` lists of longs, the rows of a matrix of 64-bit words at the places ``at`` and null elsewhere."""
     rows = np.ascontiguousarray(rows).view(np.int64)
-    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+    here = np.zeros(n, bool)
+    here[at] = True
+    offsets = np.concatenate([[0], np.cumsum(here) * rows.shape[1]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), mask=pa.array(~here))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -153,62 +167,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+SLICE = 250
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+class _Seen:
+    """Keys that a task has met, the last 50,000 or more of them: most repeats are dropped before they are moved."""
+
+    def __init__(self) -> None:
+        self.keys: set[bytes] = set()
+
+    def new(self, key: bytes) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= 50_000:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
-    """A row per document: doc_id, key (null without words), n_shingles, bands, sketch."""
+    """A row per document: doc_id, key (null without words), n_shingles, head (the key's first 64 bits), bands, sketch.
+
+    Bands and sketch are null where the same task has given them for that key before.
+    """
+    docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(p.words), Signer(p)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                keys, counts, signed = [], [], np.zeros((b.num_rows, p.samples), np.uint32)
-                for i, text in enumerate(b["text"].to_pylist()):
-                    words = shingler.split(text)
+        shingler, signer, seen, sizes = Shingler(p.words), Signer(p), _Seen(), {}
+        for b in _slices(batches):
+            keys, counts, signed, at = [], [], [], []
+            for i, text in enumerate(b["text"].to_pylist()):
+                words = shingler.split(text)
+                key = _key(words) if words else None
+                keys.append(key)
+                if key is None or key not in seen.keys or key not in sizes:
                     shingles = shingler.hashes(words)
-                    keys.append(_key(words) if words else None)
                     counts.append(len(shingles))
-                    if words:
-                        signed[i] = signer.sign(shingles)
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), _longs(signer.bands(signed)), _longs(signer.sketches(signed))],
-                    names=["doc_id", "key", "n_shingles", "bands", "sketch"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>, sketch array<long>")
+                    if key is not None:
+                        if seen.new(key):
+                            at.append(i)
+                            signed.append(signer.sign(shingles))
+                        sizes = sizes if len(sizes) < 50_000 else {}
+                        sizes[key] = len(shingles)
+                else:
+                    counts.append(sizes[key])
+            matrix = np.array(signed, np.uint32).reshape(len(signed), p.samples)
+            heads = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(heads, pa.int64()),
+                 _longs(signer.bands(matrix), at, b.num_rows), _longs(signer.sketches(matrix), at, b.num_rows)],
+                names=["doc_id", "key", "n_shingles", "head", "bands", "sketch"],
+            )
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return in_batches(docs, run, f"doc_id {id_type}, key binary, n_shingles long, head long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
-    """key, shingles of the classes in ``wanted`` (key), from the whole texts; a fixed bitmap of the wanted keys goes
-    to the tasks, so that other texts are not moved, and a join makes it exact."""
-    sent = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(wanted.select(F.xxhash64("key").alias("h")), "h"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(p.words)
-        for b in batches:
-            keys = [_key(words) if (words := shingler.split(t)) else None for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b["text"]], names=["key", "text"])
+    """key, shingles of the classes in ``wanted`` (head), from the whole texts; a fixed bitmap of the wanted heads goes
+    to the tasks, so that other texts are not cut into shingles and not moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(wanted, "head"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bitmap, seen = Shingler(p.words), sent.value, set()
-        for b in batches:
-            pass_ = bitmap.has(b["h"].to_numpy())
-            keys, sets = [], []
-            for key, text, on in zip(b["key"].to_pylist(), b["text"].to_pylist(), pass_.tolist(), strict=True):
-                if on and key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(shingler.hashes(shingler.split(text)).view(np.int64))
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "shingles"])
+        shingler, seen = Shingler(p.words), _Seen()
+        for b in _slices(batches):
+            split = [shingler.split(t) for t in b["text"].to_pylist()]
+            found = [_key(words) if words else bytes(16) for words in split]
+            here = sent.value.has(np.frombuffer(b"".join(k[:8] for k in found), np.int64)).tolist()
+            rows = [(k, shingler.hashes(words).view(np.int64)) for k, words, on in zip(found, split, here, strict=True) if on and words and seen.new(k)]
+            offsets = np.cumsum([0, *(len(s) for _, s in rows)]).astype(np.int32)
+            flat = np.concatenate([s for _, s in rows]) if rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "shingles"])
 
-    found = (
-        docs.select("text").mapInArrow(keyed, "key binary, text string").where("key IS NOT NULL")
-        .select(F.xxhash64("key").alias("h"), "key", "text").mapInArrow(cut, "key binary, shingles array<long>")
-    )
-    return materialize(found.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    found = in_batches(docs.select("text"), cut, "key binary, shingles array<long>")
+    return materialize(found.repartition("key").dropDuplicates(["key"]), "sets", gather=True)
 
 
 def _similar(p: NearDup):
@@ -222,52 +260,81 @@ def _differing(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
 
 
-def links(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
-    """Links (a, b) between classes that join all that similar pairs join."""
-    classes = signed.where("key IS NOT NULL").select("key", "n_shingles", "bands", "sketch").dropDuplicates(["key"])
-    classes = materialize(classes, "classes")
-    ordered = Window.partitionBy("bucket").orderBy("key")
-    members = classes.select("key", F.explode("bands").alias("bucket")).withColumn("leader", F.first("key").over(ordered))
-    stars = materialize(members.where("key <> leader").select("bucket", "leader", "key"), "stars")
-
+def _first_links(docs: DataFrame, classes: DataFrame, members: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of each bucket's least class with the others, and the shingle sets of all that share a bucket."""
     sketch = classes.select("key", "sketch")
-    near = (
-        stars.select("leader", "key").distinct()
-        .join(sketch, "key")
-        .join(sketch.select(F.col("key").alias("leader"), F.col("sketch").alias("other")), "leader")
-        .where(_differing("sketch", "other") <= p.most_bits)
-        .select("leader", "key")
-    )
-    near = materialize(near, "near")
-    in_buckets = stars.select("key").union(stars.select("leader")).distinct()
-    sets = shingle_sets(docs, in_buckets, p)
-    first = (
+    leader = classes.select(F.col("head").alias("lo"), F.col("key").alias("leader"), F.col("sketch").alias("other"))
+    pairs = members.where("head <> lo").select("key", "lo").repartition("key").distinct()
+    near = pairs.join(sketch, "key").join(leader, "lo").where((F.col("key") != F.col("leader")) & (_differing("sketch", "other") <= p.most_bits))
+    near = materialize(near.select("leader", "key"), "near", gather=True)
+    sets = shingle_sets(docs, members.select("head"), p)
+    found = (
         near.join(sets, "key")
         .join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("other")), "leader")
         .where(_similar(p))
         .select(F.col("leader").alias("a"), F.col("key").alias("b"))
     )
-    first = materialize(first, "first")
-    return first.union(_second_look(stars, classes, sets, components(first), p))
-
-
-def _second_look(stars: DataFrame, classes: DataFrame, sets: DataFrame, joined: DataFrame, p: NearDup) -> DataFrame:
-    """Links across components within buckets that hold several."""
-    all_members = stars.select("bucket", "key").union(stars.select("bucket", F.col("leader").alias("key")).distinct())
-    known = all_members.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    known = materialize(known, "members")
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rows = known.join(mixed, "bucket", "left_semi").join(classes, "key")
-    size = rows.groupBy("bucket").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / p.block_rows), F.ceil(F.sum("n_shingles") * 8 / p.block_bytes)).cast("int").alias("blocks")
-    )
-    dealt = (
-        rows.join(size, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "component", "bands", "sketch")
-        .join(sets, "key")
-    )
+    found = materialize(found, "first", gather=True)
+    discard(near)
+    return found, sets
+
+
+def joined_classes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
+    """key, component of the classes that similar pairs join with others."""
+    classes = signed.where("bands IS NOT NULL").select("key", "n_shingles", "head", "bands", "sketch").dropDuplicates(["key"])
+    classes = materialize(classes, "classes", gather=True)
+    dealt = classes.select("key", "head", F.explode("bands").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.min("head").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(dealt.join(shared.select("bucket", "lo"), "bucket"), "members", gather=True)
+    links, sets = _first_links(docs, classes, members, p)
+    first = components(links).withColumnRenamed("node", "key")
+    again = _second_look(members, classes, sets, first, p)
+    discard(links, members, classes, sets)
+    if again is None:
+        return first
+    top = components(again).withColumnRenamed("component", "top")
+    discard(again)
+    ends = first.unionByName(top.select(F.col("node").alias("key"), F.col("node").alias("component")).join(first, "key", "left_anti"))
+    return ends.join(top, F.col("component") == F.col("node"), "left").select("key", F.coalesce("top", "component").alias("component"))
+
+
+def _second_look(members: DataFrame, classes: DataFrame, sets: DataFrame, first: DataFrame, p: NearDup) -> DataFrame | None:
+    """Links (a, b) between the components of buckets that hold several; None if there is no such bucket."""
+    known = members.select("bucket", "key").join(first, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    known = materialize(known.withColumn("c", F.xxhash64("component")), "known", gather=True)
+    mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    rows = known.join(mixed, "bucket", "left_semi").join(classes.select("key", "n_shingles"), "key")
+    rows = materialize(rows, "mixed", gather=True)
+    discard(known)
+    if rows.isEmpty():
+        discard(rows)
+        return None
+
+    bytes_ = F.sum("n_shingles") * 8
+    blocks = lambda n, size: F.greatest(F.ceil(n / p.block_rows), F.ceil(size / p.block_bytes)).cast("int")
+    parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), bytes_.alias("size")).withColumn("parts", blocks(F.col("n"), F.col("size")))
+    small = F.col("parts") == 1
+    pools = parts.where(small).groupBy("bucket").agg(blocks(F.sum("n"), F.sum("size")).alias("pools"))
+    parts = materialize(parts.join(pools, "bucket", "left").select("bucket", "c", "parts", F.coalesce("pools", F.lit(0)).alias("pools")), "parts", gather=True)
+    name = lambda c, i: F.xxhash64(F.col("bucket"), c, i)
+    own = parts.where(~small).select("bucket", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    pooled = parts.where(small).select("bucket", F.lit(None).cast("long").alias("c"), F.pmod("c", "pools").cast("int").alias("i")).distinct()
+    named = materialize(own.unionByName(pooled).select("bucket", "c", name(F.col("c"), F.col("i")).alias("block")), "blocks", gather=True)
+    x, y = named.select("bucket", "c", "block"), named.select("bucket", F.col("c").alias("d"), F.col("block").alias("with"))
+    meet = x.join(y, "bucket").where("block <= with AND NOT coalesce(c = d, false)").select("block", "with")
+    task = F.xxhash64("block", "with").alias("task")
+    ways = meet.select("block", task).union(meet.where("block <> with").select("with", task))
+    place = F.when(small, name(F.lit(None).cast("long"), F.pmod("c", "pools").cast("int"))).otherwise(name(F.col("c"), F.pmod(F.xxhash64("key"), "parts").cast("int")))
+    placed = rows.join(parts, ["bucket", "c"]).select("bucket", "key", "component", place.alias("block"))
+    dealt = placed.join(ways, "block").join(classes.select("key", "bands", "sketch"), "key").join(sets, "key")
+    dealt = dealt.select("task", "bucket", "block", "key", "component", "bands", "sketch", "shingles")
+    found = materialize(_compared(dealt, p), "second", gather=True)
+    discard(rows, parts, named)
+    return found
+
+
+def _compared(dealt: DataFrame, p: NearDup) -> DataFrame:
+    """Links (a, b) of components, from the rows of each task: one block, or two."""
     most, percent = p.most_bits, p.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,34 +345,35 @@ def _second_look(stars: DataFrame, classes: DataFrame, sets: DataFrame, joined:
 
         kept, now = [], None
         for b in batches:
-            ids = np.stack([b[k].to_numpy() for k in ("bucket", "i", "j")], 1)
-            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1), len(ids)]
+            ids = b["task"].to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi > lo:
-                    if kept and tuple(ids[lo]) != now:
+                    if kept and ids[lo] != now:
                         yield flush(kept)
                         kept = []
-                    now = tuple(ids[lo])
+                    now = ids[lo]
                     kept.append(b.slice(lo, hi - lo))
         if kept:
             yield flush(kept)
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a binary, b binary")
+    return in_batches(dealt.repartition("task").sortWithinPartitions("task"), run, "a binary, b binary")
 
 
 def _links_within(t: pa.Table, most: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that join the components of one block, or of two blocks with one another."""
-    keys, bucket = t["key"].to_pylist(), t["bucket"][0].as_py()
-    names = {c: n for n, c in enumerate(dict.fromkeys(t["component"].to_pylist()))}
-    at = np.array([names[c] for c in t["component"].to_pylist()])
+    """Links of components within one block, or of two blocks with one another."""
+    bucket, of = t["bucket"][0].as_py(), t["component"].to_pylist()
+    names = {c: n for n, c in enumerate(dict.fromkeys(of))}
+    at = np.array([names[c] for c in of])
     bands, sketches = _matrix(t["bands"].combine_chunks()), _matrix(t["sketch"].combine_chunks())
-    block, across = t["block"].to_numpy(), t["i"][0].as_py() != t["j"][0].as_py()
+    block = t["block"].to_numpy()
+    across = (block != block[0]).any()
     sets = t["shingles"].combine_chunks()
     sets = np.split(sets.flatten().to_numpy(), sets.offsets.to_numpy()[1:-1] - sets.offsets.to_numpy()[0])
     band = int(np.flatnonzero((bands == np.array(bucket, np.int64).view(U64)).all(0))[0])
     out = []
-    for x in range(len(keys) - 1):
-        rest = np.arange(x + 1, len(keys))
+    for x in range(len(of) - 1):
+        rest = np.arange(x + 1, len(of))
         ok = at[rest] != at[x]
         if across:
             ok &= block[rest] != block[x]
@@ -321,19 +389,20 @@ def _links_within(t: pa.Table, most: int, percent: int) -> list[tuple[bytes, byt
                 continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both * 100 >= (len(a) + len(b) - both) * percent:
-                out.append((keys[x], keys[y]))
+                out.append((of[x], of[y]))
                 at[at == at[y]] = at[x]
     return out
 
 
 def near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (the least id of its component), kept."""
+    """A row per document: doc_id (of any type that has an order), n_shingles, component_id (the least id of its
+    component), kept."""
     signed = materialize(signatures(docs, p), "signed")
-    joined = components(links(docs, signed, p)).select(F.col("node").alias("key"), "component")
+    joined = joined_classes(docs, signed, p)
     ids = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = ids.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_key = named.select("key", "component").join(least, "component").select("key", "component_id")
-    out = signed.select("doc_id", "key", "n_shingles").join(of_key, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = signed.where("key IS NOT NULL").select("key", "doc_id", "n_shingles").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
+    empty = signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
