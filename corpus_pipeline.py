@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.llm import bpe, decontam, linededup, neardup, quality
-from lanewright.llm.common import materialize, table
+from lanewright.llm.common import free_name, materialize, table
 from lanewright.llm.queries import vocabulary_text
 
 
@@ -34,19 +34,17 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Id and text say which row is which. Of a group that row stays which has the least id, then the least hash; a null id
     comes last. Texts without words are no copies of each other and all stay.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = neardup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), neardup.NearDup(words=5, percent=80))
-    found = found.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows"))
-    ids = keyed.select(F.col("_key").alias("key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("rank"))
-    groups = materialize(found, "groups")
-    ranked = ids.join(groups, F.col("key") == F.col("doc_id")).select("component_id", "rank")
-    first = materialize(ranked.groupBy("component_id").agg(F.min("rank")["_key"].alias("doc_id")), "first")
-    others = groups.join(first, ["component_id", "doc_id"], "left_anti").select(F.col("doc_id").alias("_key"))
-    repeated = groups.where("rows > 1").join(first, ["component_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("_key"))
+    key = free_name(docs.columns, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    found = neardup.near_duplicates(keyed.select(rank.alias("doc_id"), "text"), neardup.NearDup(words=5, percent=80))
+    found = found.where("n_shingles > 0").select(F.col("doc_id.key").alias(key), "kept")
+    found = materialize(found.groupBy(key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "copies", gather=True)
+    others, repeated = found.where("NOT kept").select(key), found.where("kept AND rows > 1").select(key)
     if repeated.isEmpty():
-        return keyed.join(others, "_key", "left_anti").select(*docs.columns)
-    once = keyed.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(others.unionByName(repeated), "_key", "left_anti").unionByName(once).select(*docs.columns)
+        return keyed.join(others, key, "left_anti").select(*docs.columns)
+    once = keyed.join(repeated, key, "left_semi").dropDuplicates([key])
+    return keyed.join(others.unionByName(repeated), key, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
