@@ -3,10 +3,11 @@
 A word is a row of symbols; leaf i of its tree holds the rank of the pair (i, next symbol), and each inner node the
 least key below it, a key being rank and place together. So the root names the leftmost pair of the lowest rank. A
 merge changes two pairs and removes one: three point updates of logarithmic depth. It goes on until the root holds no
-pair. Words of like length are advanced together as rows of one numpy array, a merge in each per step.
+pair. Many words of like length are advanced together as rows of one numpy array, a merge in each per step; a few, and
+so very long ones, have a tree each in plain lists, where a merge takes microseconds instead of an array call's price.
 
-Texts are normalised and cut into words as the vocabulary file says; a word's ids are kept in a table of bounded size
-for each worker, so a common word is merged once. Every whole text is encoded.
+Texts are normalised and cut into words as the vocabulary file says; the ids of up to 100,000 words of 64 characters at
+most (some 30 MB) are kept in a table for each worker, so a common word is merged once. Every whole text is encoded.
 
 Null text: empty, no ids. Repeated rows all stay; an empty table gives no rows. Extra columns stay as they are; those
 whose names clash with the added ones are replaced.
@@ -24,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+
+from lanewright.llm.common import in_batches
 
 NONE = np.int64(1) << 62
 ADDED = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -54,9 +58,11 @@ class Vocabulary:
         last = np.append(keys[1:] != keys[:-1], True)  # of a pair listed twice the later rank counts
         self.keys, self.ranks, self.made = keys[last], ranks[last], made[last]
         self.slots = _table(self.keys)
+        self._merges: dict[int, tuple[int, int]] = {}
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.narrow = _narrow(self.words.pattern)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.starts = sorted({t[0] for t in self.special})
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The index among the merges of each pair of ids, or -1."""
@@ -72,6 +78,12 @@ class Vocabulary:
             at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
         return found
 
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Rank and new id of each pair (left << 20 | right), for point updates; made when first asked for."""
+        if not self._merges:
+            self._merges = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        return self._merges
+
     def cut(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
         if not text.isascii():
@@ -88,7 +100,7 @@ class Vocabulary:
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text cut at special tokens, and whether a piece is one."""
         at = 0
-        for m in self.specials.finditer(text) if self.specials and "<|" in text else ():
+        for m in self.specials.finditer(text) if any(c in text for c in self.starts) else ():
             yield text[at : m.start()], False
             yield m[0], True
             at = m.end()
@@ -178,6 +190,50 @@ class PairForest:
             r = r[self.tree[r, 1] < NONE]
 
 
+def merge_one(v: Vocabulary, ids: np.ndarray) -> list[int]:
+    """The ids of one word after all merges, by a segment tree in lists."""
+    n, made, ranks = len(ids), ids.tolist(), v.merges()
+    width = max(2, 1 << (n - 1).bit_length())
+    found = v.pair(ids[:-1], ids[1:])
+    level = np.full(width, NONE, np.int64)
+    level[: n - 1] = np.where(found >= 0, v.ranks[found] * width + np.arange(n - 1), NONE)
+    levels = [level]
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    none = int(NONE)
+    tree = [none, *np.concatenate(levels[::-1]).tolist()]
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+
+    def update(at: int, key: int) -> None:
+        node = at + width
+        tree[node] = key
+        while node > 1:
+            other = tree[node ^ 1]
+            node >>= 1
+            least = key if key < other else other
+            if tree[node] == least:
+                return
+            tree[node] = key = least
+
+    while tree[1] < none:
+        at = tree[1] % width
+        taken = after[at]
+        made[at], made[taken] = ranks[made[at] << 20 | made[taken]][1], -1
+        after[at] = after[taken]
+        if after[at] >= 0:
+            before[after[at]] = at
+        update(taken, none)
+        for left in (at, before[at]):
+            if left >= 0:
+                pair = ranks.get(made[left] << 20 | made[after[left]]) if after[left] >= 0 else None
+                update(left, pair[0] * width + left if pair else none)
+    return [i for i in made if i >= 0]
+
+
+#: Words of like length that make an array call worth its price.
+FEW = 24
+
+
 def encode_words(v: Vocabulary, words: list[str], cells: int = 1 << 18) -> list[np.ndarray]:
     """The ids of each word (not empty)."""
     raw = [w.encode() for w in words]
@@ -187,6 +243,11 @@ def encode_words(v: Vocabulary, words: list[str], cells: int = 1 << 18) -> list[
         by_width.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append(i)
     for width, members in by_width.items():
         step = max(1, cells // width)
+        if min(len(members), step) <= FEW:
+            for i in members:
+                bytes_ = np.frombuffer(raw[i], np.uint8)
+                out[i] = np.array(merge_one(v, np.append(v.first[bytes_[:-1]], v.last[bytes_[-1]])), "<u4")
+            continue
         for at in range(0, len(members), step):
             some = members[at : at + step]
             lengths = np.array([len(raw[i]) for i in some])
@@ -207,9 +268,11 @@ def encode_words(v: Vocabulary, words: list[str], cells: int = 1 << 18) -> list[
 
 
 class Encoder:
-    """Encodes texts, with a table of about ``max_words`` words: beyond that, the older half goes before a new batch."""
+    """Encodes texts, with a table of ``max_words`` words: beyond that, the older half goes before a new batch."""
+
+    MOST_CHARS = 64
 
-    def __init__(self, vocabulary: Vocabulary, max_words: int = 600_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, max_words: int = 100_000) -> None:
         self.v, self.max_words = vocabulary, max_words
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
@@ -244,6 +307,9 @@ class Encoder:
                     ids.extend(map(of_ids, words))
                     decoded.extend(map(of_decoded, words))
             out.append((b"".join(ids), b" ".join(decoded)))
+        for w in missing:
+            if len(w) > self.MOST_CHARS:
+                del self.ids[w], self.decoded[w]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -251,16 +317,15 @@ class Encoder:
         return b" ".join(self.v.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()).decode()
 
 
-def encode_documents(df: DataFrame, vocabulary_text: str, with_ids: bool = False, max_words: int = 600_000) -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary_text: str, with_ids: bool = False, max_words: int = 100_000) -> DataFrame:
     """All columns of ``df`` with n_tokens and the digests of ids and decoded text, and ids if asked for.
 
     ``vocabulary_text``: the content of the vocabulary file (a few MB), read once by the driver and sent to executors.
     """
     spark: SparkSession = df.sparkSession
-    df = df.drop(*ADDED, "ids")
+    added = [StructField(ADDED[0], LongType()), *(StructField(a, StringType()) for a in ADDED[1:]), *([StructField("ids", BinaryType())] if with_ids else [])]
+    df = df.drop(*(f.name for f in added))
     sent = spark.sparkContext.broadcast(vocabulary_text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent, max_words)
@@ -280,7 +345,7 @@ def encode_documents(df: DataFrame, vocabulary_text: str, with_ids: bool = False
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, StructType([*df.schema.fields, *added]))
 
 
 _ENCODERS: dict[int, Encoder] = {}

@@ -386,6 +386,25 @@ def test_bpe_is_what_the_library_says(spark, tokenizer):
     assert [r.n_tokens for r in rows] == [2, 0] and rows[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_few_and_long_words_are_merged_as_many_are(tokenizer, monkeypatch):
+    library, v = tokenizer
+    rng = random.Random(61)
+    some = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 40))) for _ in range(400)] + ["é", "a", "日本"]
+    batched = [x.tolist() for x in bpe.encode_words(v, some)]
+    monkeypatch.setattr(bpe, "FEW", 10**9)
+    assert batched == [x.tolist() for x in bpe.encode_words(v, some)]
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(60000)), "z" * 50001]
+    assert [x.tolist() for x in bpe.encode_words(v, long)] == [library.encode(w, add_special_tokens=False).ids for w in long]
+
+
+def test_clashing_names_and_long_texts_of_bpe(spark, tokenizer):
+    library, _ = tokenizer
+    text = "word soup, " * 40000
+    df = docs(spark, text).withColumn("ids", F.lit(1)).withColumn("N_TOKENS", F.lit(2)).withColumn("odd name, x", F.lit(3))
+    row = bpe.encode_documents(df, queries.vocabulary_text()).first()
+    assert row["ids"] == 1 and row["odd name, x"] == 3 and row.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_pair_forest_takes_the_leftmost_least_rank(tokenizer):
     _, v = tokenizer
     merges = json.loads(queries.vocabulary_text())["model"]["merges"]
