@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.llm.common import in_batches
+
 HEAD, COLON, END = "### ", ": ", " </turn>\n"
 #: What must not stand bare in a body; at its end ``###`` would take the blank of the end marker.
 _CONTROL = re.compile(r"###(?= |\Z)|</turn>")
@@ -110,10 +112,8 @@ def format_conversations(df: DataFrame, learn_role: str = "assistant") -> DataFr
                 names=["conv_id", "turn", "rendered", "mask_start", "mask_end", "step"],
             )
 
-    return df.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).mapInArrow(run, "conv_id long, turn long, rendered string, mask_start long, mask_end long, step int")
+    turns = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_batches(turns, run, "conv_id long, turn long, rendered string, mask_start long, mask_end long, step int")
 
 
 _DIGEST = pa.schema(
@@ -152,8 +152,5 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST.names, row(), strict=True))], _DIGEST)
 
-    return (
-        formatted.repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "rendered")
-        .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, max_step int")
-    )
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
+    return in_batches(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, max_step int")

@@ -6,6 +6,7 @@ named by ``spark.checkpoint.dir``, which driver and executors share, so a lost e
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import weakref
@@ -35,15 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
+def tasks_for(source: DataFrame, times: float = 1.0) -> int:
+    """How many tasks write a table of ``times`` the bytes of ``source``: 16 MB each, and two a core at least.
+
+    The planner's estimate is exact for files and too large behind joins, which only means more tasks.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, max(8, 2 * source.sparkSession.sparkContext.defaultParallelism, math.ceil(size * times / (16 << 20))))
+
+
+def materialize(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
 
-    ``gather``: for what comes out of a shuffle; its partitions are written by two tasks a core at most, one after the
-    other in each, so that rounds over many small partitions do not leave as many small files.
+    ``tasks``: for what comes out of a shuffle, how many tasks write it at most (:func:`tasks_for`), each some partitions
+    one after the other, so that many small partitions do not leave as many small files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanewright/{uuid.uuid4().hex}/{label}"
-    ready = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)) if gather else df
+    ready = df.coalesce(tasks) if tasks else df
     ready.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(found)] = (weakref.ref(found), path)
@@ -66,14 +76,16 @@ def discard(*tables: DataFrame) -> None:
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches of bounded bytes: Spark alone bounds them by rows, however long the texts are.
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB (a batch goes over it by one row at most), unless the session says otherwise: Spark
+    alone bounds them by rows, however long the texts are."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
 
-    Sets the session's limit to 4 MB (a batch goes over it by one row at most) unless the session has one.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(ARROW_BYTES, None) is None:
-        conf.set(ARROW_BYTES, str(4 << 20))
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -90,6 +102,13 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def without_keys(df: DataFrame, keys: DataFrame, column: str, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is none of ``keys`` (distinct longs). Up to ``most_broadcast`` of them, counted
+    once they are written (some 50 MB), are broadcast, so that wide rows stay where they are; more are shuffled."""
+    keys = materialize(keys.select(column), "keys", tasks_for(df, 0.1))
+    return df.join(F.broadcast(keys) if keys.count() <= most_broadcast else keys, column, "left_anti")
+
+
 class KeyBitmap:
     """A set of 64-bit hashes folded into ``2**log2_bits`` bits: a filter without false negatives.
 

@@ -27,15 +27,15 @@ def _settled(edges: DataFrame) -> bool:
     return of_node.where("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, tasks: int | None = None, most_rounds: int | None = None) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b); ids of any type that has an order.
 
     A null id is no node, a link of a node with itself links nothing, repeated links count once. Each round is written
-    to the shared folder and the one before it deleted. The number of rounds grows with the logarithm of the longest
+    to the shared folder (by ``tasks`` tasks at most) and the one before it deleted. The number of rounds grows with the logarithm of the longest
     chain, so it has no limit unless the caller sets one. A hub's links are joined to its least neighbour by a
     sort-merge join whose large side the adaptive planner splits; minima are taken partially before they are moved.
     """
-    edges = materialize(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", gather=True)
+    edges = materialize(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", tasks)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     done = 0
@@ -45,7 +45,7 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
         both = edges.select(F.explode(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "ba")))).alias("e")).select("e.*")
         large = _hang(both, True).where("a <> b").distinct()
         small = _hang(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
-        before, edges = edges, materialize(small.where("a <> b").distinct(), "edges", gather=True)
+        before, edges = edges, materialize(small.where("a <> b").distinct(), "edges", tasks)
         discard(before)
         done += 1
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

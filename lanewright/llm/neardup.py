@@ -10,8 +10,9 @@
 4. Only buckets that still hold several components are looked at again. Their members are dealt to blocks of bounded
    size: a component that fills blocks gets its own, the others share pooled ones, and only blocks that can hold two
    components meet. So a large group of copies beside a few strangers costs as many block pairs as it has blocks.
-   Within a pair of blocks sketches are compared as arrays, pairs already joined are skipped, and the full sets
-   confirm. No candidate is dropped and no list of all pairs is ever made. These links join first components.
+   Within a pair of blocks sketches are compared as arrays; only members whose sketch is near one of another component
+   get their full sets, which confirm. No candidate is dropped and no list of all pairs is ever made. These links join
+   first components.
 
 Joins by bucket, class and component are sort-merge joins without an aggregation behind them in the same stage, so the
 adaptive planner splits a side that one key fills.
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import KeyBitmap, discard, in_batches, materialize
+from lanewright.llm.common import KeyBitmap, discard, in_batches, materialize, tasks_for
 from lanewright.llm.components import components
 
 U64 = np.uint64
@@ -246,7 +247,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "shingles"])
 
     found = in_batches(docs.select("text"), cut, "key binary, shingles array<long>")
-    return materialize(found.repartition("key").dropDuplicates(["key"]), "sets", gather=True)
+    return materialize(found.repartition("key").dropDuplicates(["key"]), "sets", tasks_for(docs, 2))
 
 
 def _similar(p: NearDup):
@@ -266,132 +267,149 @@ def _first_links(docs: DataFrame, classes: DataFrame, members: DataFrame, p: Nea
     leader = classes.select(F.col("head").alias("lo"), F.col("key").alias("leader"), F.col("sketch").alias("other"))
     pairs = members.where("head <> lo").select("key", "lo").repartition("key").distinct()
     near = pairs.join(sketch, "key").join(leader, "lo").where((F.col("key") != F.col("leader")) & (_differing("sketch", "other") <= p.most_bits))
-    near = materialize(near.select("leader", "key"), "near", gather=True)
     sets = shingle_sets(docs, members.select("head"), p)
     found = (
-        near.join(sets, "key")
+        near.select("leader", "key").join(sets, "key")
         .join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("other")), "leader")
         .where(_similar(p))
         .select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    )
-    found = materialize(found, "first", gather=True)
-    discard(near)
+    )
     return found, sets
 
 
 def joined_classes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
     """key, component of the classes that similar pairs join with others."""
     classes = signed.where("bands IS NOT NULL").select("key", "n_shingles", "head", "bands", "sketch").dropDuplicates(["key"])
-    classes = materialize(classes, "classes", gather=True)
+    classes = materialize(classes, "classes", tasks_for(signed))
     dealt = classes.select("key", "head", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("head").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(dealt.join(shared.select("bucket", "lo"), "bucket"), "members", gather=True)
+    members = materialize(dealt.join(shared.select("bucket", "lo"), "bucket"), "members", tasks_for(classes, 3))
     links, sets = _first_links(docs, classes, members, p)
-    first = components(links).withColumnRenamed("node", "key")
-    again = _second_look(members, classes, sets, first, p)
-    discard(links, members, classes, sets)
-    if again is None:
+    first = components(links, tasks_for(classes, 0.2)).withColumnRenamed("node", "key")
+    again, used = _second_look(members, classes, sets, first, p)
+    top = components(again, tasks_for(classes, 0.1)).withColumnRenamed("component", "top") if again is not None else None
+    discard(members, classes, sets, *used)
+    if top is None:
         return first
-    top = components(again).withColumnRenamed("component", "top")
-    discard(again)
     ends = first.unionByName(top.select(F.col("node").alias("key"), F.col("node").alias("component")).join(first, "key", "left_anti"))
     return ends.join(top, F.col("component") == F.col("node"), "left").select("key", F.coalesce("top", "component").alias("component"))
 
 
-def _second_look(members: DataFrame, classes: DataFrame, sets: DataFrame, first: DataFrame, p: NearDup) -> DataFrame | None:
-    """Links (a, b) between the components of buckets that hold several; None if there is no such bucket."""
+def _second_look(members: DataFrame, classes: DataFrame, sets: DataFrame, first: DataFrame, p: NearDup) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Links (a, b) between the components of buckets that hold several (None if there is no such bucket), and the written
+    tables that they are read from."""
     known = members.select("bucket", "key").join(first, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    known = materialize(known.withColumn("c", F.xxhash64("component")), "known", gather=True)
+    known = materialize(known.withColumn("c", F.xxhash64("component")), "known", tasks_for(members))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     rows = known.join(mixed, "bucket", "left_semi").join(classes.select("key", "n_shingles"), "key")
-    rows = materialize(rows, "mixed", gather=True)
+    rows = materialize(rows, "mixed", tasks_for(members))
     discard(known)
     if rows.isEmpty():
-        discard(rows)
-        return None
+        return None, [rows]
 
     bytes_ = F.sum("n_shingles") * 8
     blocks = lambda n, size: F.greatest(F.ceil(n / p.block_rows), F.ceil(size / p.block_bytes)).cast("int")
     parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), bytes_.alias("size")).withColumn("parts", blocks(F.col("n"), F.col("size")))
     small = F.col("parts") == 1
     pools = parts.where(small).groupBy("bucket").agg(blocks(F.sum("n"), F.sum("size")).alias("pools"))
-    parts = materialize(parts.join(pools, "bucket", "left").select("bucket", "c", "parts", F.coalesce("pools", F.lit(0)).alias("pools")), "parts", gather=True)
+    parts = materialize(parts.join(pools, "bucket", "left").select("bucket", "c", "parts", F.coalesce("pools", F.lit(0)).alias("pools")), "parts", tasks_for(rows))
     name = lambda c, i: F.xxhash64(F.col("bucket"), c, i)
     own = parts.where(~small).select("bucket", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
     pooled = parts.where(small).select("bucket", F.lit(None).cast("long").alias("c"), F.pmod("c", "pools").cast("int").alias("i")).distinct()
-    named = materialize(own.unionByName(pooled).select("bucket", "c", name(F.col("c"), F.col("i")).alias("block")), "blocks", gather=True)
+    named = materialize(own.unionByName(pooled).select("bucket", "c", name(F.col("c"), F.col("i")).alias("block")), "blocks", tasks_for(rows, 0.2))
     x, y = named.select("bucket", "c", "block"), named.select("bucket", F.col("c").alias("d"), F.col("block").alias("with"))
     meet = x.join(y, "bucket").where("block <= with AND NOT coalesce(c = d, false)").select("block", "with")
     task = F.xxhash64("block", "with").alias("task")
     ways = meet.select("block", task).union(meet.where("block <> with").select("with", task))
     place = F.when(small, name(F.lit(None).cast("long"), F.pmod("c", "pools").cast("int"))).otherwise(name(F.col("c"), F.pmod(F.xxhash64("key"), "parts").cast("int")))
     placed = rows.join(parts, ["bucket", "c"]).select("bucket", "key", "component", place.alias("block"))
-    dealt = placed.join(ways, "block").join(classes.select("key", "bands", "sketch"), "key").join(sets, "key")
-    dealt = dealt.select("task", "bucket", "block", "key", "component", "bands", "sketch", "shingles")
-    found = materialize(_compared(dealt, p), "second", gather=True)
-    discard(rows, parts, named)
-    return found
+    dealt = placed.join(ways, "block").join(classes.select("key", "bands", "sketch"), "key")
+    columns = ["task", "bucket", "block", "key", "component", "bands", "sketch"]
+    likely = in_batches(_by_task(dealt.select(*columns)), _each_task(lambda t: _likely_rows(t, p.most_bits)), dealt.select(*columns).schema)
+    likely = materialize(likely, "likely", tasks_for(rows, 8))
+    if likely.isEmpty():
+        return None, [rows, parts, named, likely]
+    whole = _by_task(likely.join(sets, "key").select(*columns, "shingles"))
+    return in_batches(whole, _each_task(lambda t: _links_within(t, p.most_bits, p.percent)), "a binary, b binary"), [rows, parts, named, likely]
 
 
-def _compared(dealt: DataFrame, p: NearDup) -> DataFrame:
-    """Links (a, b) of components, from the rows of each task: one block, or two."""
-    most, percent = p.most_bits, p.percent
+def _by_task(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("task").sortWithinPartitions("task")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            found = _links_within(t, most, percent) if t.num_rows > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
-        kept, now = [], None
+def _each_task(work):
+    """A map that gives ``work`` the rows of one task (one block, or two) at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
         for b in batches:
             ids = b["task"].to_numpy()
             edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi > lo:
-                    if kept and ids[lo] != now:
-                        yield flush(kept)
+                    if kept and ids[lo] != kept[0]["task"][0].as_py():
+                        yield from work(pa.Table.from_batches(kept).combine_chunks()).to_batches()
                         kept = []
-                    now = ids[lo]
                     kept.append(b.slice(lo, hi - lo))
         if kept:
-            yield flush(kept)
+            yield from work(pa.Table.from_batches(kept).combine_chunks()).to_batches()
+
+    return run
+
+
+class _Members:
+    """The rows of one task as arrays."""
+
+    def __init__(self, t: pa.Table, most: int) -> None:
+        self.most, bucket = most, np.array(t["bucket"][0].as_py(), np.int64).view(U64)
+        self.names = t["component"].to_pylist()
+        numbers = {c: n for n, c in enumerate(dict.fromkeys(self.names))}
+        self.at = np.array([numbers[c] for c in self.names])
+        self.bands, self.sketches = _matrix(t["bands"].combine_chunks()), _matrix(t["sketch"].combine_chunks())
+        self.block = t["block"].to_numpy()
+        self.across = bool((self.block != self.block[0]).any())
+        self.band = int(np.flatnonzero((self.bands == bucket).all(0))[0])
+
+    def near(self, x: int) -> np.ndarray:
+        """The later rows of other components (and blocks, if there are two) whose sketch is near that of ``x``."""
+        rest = np.arange(x + 1, len(self.at))
+        ok = self.at[rest] != self.at[x]
+        if self.across:
+            ok &= self.block[rest] != self.block[x]
+        rest = rest[ok]
+        rest = rest[np.bitwise_count(self.sketches[rest] ^ self.sketches[x]).sum(1, dtype=np.int64) <= self.most]
+        if self.band:  # a pair is looked at in the first bucket that it shares
+            rest = rest[~(self.bands[rest, : self.band] == self.bands[x, : self.band]).any(1)]
+        return rest
+
 
-    return in_batches(dealt.repartition("task").sortWithinPartitions("task"), run, "a binary, b binary")
+def _likely_rows(t: pa.Table, most: int) -> pa.Table:
+    """The rows whose sketch is near one of another component."""
+    m, wanted = _Members(t, most), np.zeros(t.num_rows, bool)
+    for x in range(t.num_rows - 1):
+        near = m.near(x)
+        wanted[near] = True
+        wanted[x] |= len(near) > 0
+    return t.filter(pa.array(wanted))
 
 
-def _links_within(t: pa.Table, most: int, percent: int) -> list[tuple[bytes, bytes]]:
+def _links_within(t: pa.Table, most: int, percent: int) -> pa.Table:
     """Links of components within one block, or of two blocks with one another."""
-    bucket, of = t["bucket"][0].as_py(), t["component"].to_pylist()
-    names = {c: n for n, c in enumerate(dict.fromkeys(of))}
-    at = np.array([names[c] for c in of])
-    bands, sketches = _matrix(t["bands"].combine_chunks()), _matrix(t["sketch"].combine_chunks())
-    block = t["block"].to_numpy()
-    across = (block != block[0]).any()
+    m, out = _Members(t, most), []
     sets = t["shingles"].combine_chunks()
     sets = np.split(sets.flatten().to_numpy(), sets.offsets.to_numpy()[1:-1] - sets.offsets.to_numpy()[0])
-    band = int(np.flatnonzero((bands == np.array(bucket, np.int64).view(U64)).all(0))[0])
-    out = []
-    for x in range(len(of) - 1):
-        rest = np.arange(x + 1, len(of))
-        ok = at[rest] != at[x]
-        if across:
-            ok &= block[rest] != block[x]
-        rest = rest[ok]
-        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[x]).sum(1, dtype=np.int64) <= most]
-        if band:  # a pair is looked at in the first bucket that it shares
-            rest = rest[~(bands[rest, :band] == bands[x, :band]).any(1)]
-        for y in rest.tolist():
-            if at[y] == at[x]:
+    for x in range(t.num_rows - 1):
+        for y in m.near(x).tolist():
+            if m.at[y] == m.at[x]:
                 continue
             a, b = sets[x], sets[y]
             if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
                 continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             if both * 100 >= (len(a) + len(b) - both) * percent:
-                out.append((of[x], of[y]))
-                at[at == at[y]] = at[x]
-    return out
+                out.append((m.names[x], m.names[y]))
+                m.at[m.at == m.at[y]] = m.at[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
 def near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
