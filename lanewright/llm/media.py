@@ -4,11 +4,18 @@ A payload is cut where a rolling gear hash of its bytes says so, so equal passag
 stand. Chunks are known by their SHA-256; the store keeps each once. A manifest, the ordered list of a payload's
 chunks, rebuilds it from the store, and the SHA-256 of what is read back is held against the one taken before.
 
-A payload is one of two kinds. If every chunk of it is its own, its chunks are stored beside its manifest and read
-back there. Payloads that share a chunk with another go through the shared store: digests are joined to drop repeated
-chunks, and manifests are joined to what was stored. A fixed bitmap of shared digests tells the kinds apart; where it
-errs, a payload takes the longer way to the same result. So bytes are moved only where something is shared, and moved
-chunks are compressed first.
+Every text is chunked and hashed once. What comes out, manifests and chunks, is written as packs, a payload that the same
+task has met before without its chunks. All payloads are read back from there, by references:
+
+1. Digests are counted over the distinct payloads. A chunk that no other payload has stays in its payload's pack, which is
+   its place in the store; a payload of such chunks alone is rebuilt where it lies. A fixed bitmap of shared digests tells
+   which payloads those are; where it errs, a payload takes the longer way to the same result.
+2. The references of all others are joined by digest to the chunk's owner (the least payload and place that have it), so
+   that repeated chunks drop out; then to the owner's bytes; then they are brought together in the order of their
+   manifests. So bytes are moved only where something is shared, and moved chunks are compressed first.
+
+Joins by digest and by owner have no aggregation behind them, so the adaptive planner splits a very common chunk's
+references. Packs are deleted once the results, which are short, are written.
 
 The stored form of a payload is its manifest followed by its chunks: header ``CDC1``, number of chunks, unpadded length
 (big-endian, 4 and 8 bytes), then a digest (32 bytes) and a length (4 bytes) for each chunk, then the chunks' bytes.
@@ -30,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import KeyBitmap, materialize, text_or_empty
+from lanewright.llm.common import KeyBitmap, discard, in_batches, materialize, tasks_for, text_or_empty
 
 UNIT = 576
 LEAST, MASK, MOST = 256, np.uint32(0x3FF << 20), 4096
@@ -119,82 +126,84 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _payloads(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[bytes], list[bytes]]]:
-    """For each row its place, unpadded bytes, payload, chunks and their digests."""
-    for i, text in enumerate(b["text"].to_pylist()):
-        data, n_bytes = payload_of(text)
-        chunks = chunks_of(data)
-        yield i, n_bytes, data, chunks, [hashlib.sha256(c).digest() for c in chunks]
-
-
-def _heads(digests: list[bytes]) -> np.ndarray:
-    """The first 64 bits of each digest."""
-    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+_PACKED = pa.schema([("doc_id", pa.int64()), ("sha256", pa.binary()), ("manifest", pa.binary()), ("heads", pa.list_(pa.int64())), ("chunks", pa.list_(pa.binary()))])
+PACKED = "doc_id long, sha256 binary, manifest binary, heads array<long>, chunks array<binary>"
+_CHUNK = pa.schema([("owner", pa.binary()), ("place", pa.int32()), ("chunk", pa.binary())])
+_REF = pa.schema([("sha256", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("manifest", pa.binary())])
+_READ = pa.schema([("sha256", pa.binary()), *list(_RESULT)[1:]])
+READ = RESULT.replace("doc_id long", "sha256 binary")
 
 
-def shared_digests(texts: DataFrame) -> DataFrame:
-    """digest (64 bits) of the chunks that occur more than once; counted before and after one shuffle of longs."""
+def store(texts: DataFrame) -> DataFrame:
+    """PACKED, a row per text (doc_id, text): its payload's SHA-256 and, where the task meets it for the first time, its
+    manifest, the first 64 bits of its chunks' digests, and its chunks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in _rows(batches):
-            found = [_heads(digests) for *_, digests in _payloads(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["digest"])
-
-    return texts.mapInArrow(run, "digest long").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
+            rows = []
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                data, n_bytes = payload_of(text)
+                sha = hashlib.sha256(data).digest()
+                if sha in seen:
+                    rows.append((doc_id, sha, None, None, None))
+                    continue
+                seen = seen if len(seen) < 50_000 else set()
+                seen.add(sha)
+                chunks = chunks_of(data)
+                digests = [hashlib.sha256(c).digest() for c in chunks]
+                heads = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+                rows.append((doc_id, sha, manifest(n_bytes, digests, list(map(len, chunks))), heads, chunks))
+            yield _batch(rows, _PACKED)
 
-_PACKED = pa.schema([("doc_id", pa.int64()), ("manifest", pa.binary()), ("sha256", pa.binary()), ("solo", pa.bool_()), ("chunks", pa.list_(pa.binary()))])
-_CHUNK = pa.schema([("digest", pa.binary()), ("chunk", pa.binary())])
-_REF = pa.schema([("sha256", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("manifest", pa.binary())])
+    return materialize(in_batches(texts, pack, PACKED), "packs")
 
 
 def media_features(docs: DataFrame, digest_bits: int = 24) -> DataFrame:
     """Store every text as a payload, read it back from the store, and return RESULT, a row per document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(shared_digests(texts.select("text")), "digest", digest_bits))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packs = store(texts)
+    ids = materialize(packs.select("doc_id", "sha256"), "ids")
+    held = packs.where("manifest IS NOT NULL")
+    each = held.select("sha256", "heads").dropDuplicates(["sha256"]).select(F.explode(F.array_distinct("heads")).alias("head"))
+    shared = each.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sent = docs.sparkSession.sparkContext.broadcast(KeyBitmap.of(shared, "head", digest_bits))
+
+    def shares(heads: pa.Array) -> list[bool]:
+        """Which payloads share a chunk."""
+        hit = np.concatenate([[0], np.cumsum(sent.value.has(heads.flatten().to_numpy()))])
+        ends = heads.offsets.to_numpy() - heads.offsets[0].as_py()
+        return (hit[ends[1:]] > hit[ends[:-1]]).tolist()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _rows(batches):
-            rows, ids = [], b["doc_id"].to_pylist()
-            for i, n_bytes, data, chunks, digests in _payloads(b):
-                solo = not sent.value.has(_heads(digests)).any()
-                rows.append((ids[i], manifest(n_bytes, digests, list(map(len, chunks))), hashlib.sha256(data).digest(), solo, chunks if solo else []))
-            yield _batch(rows, _PACKED)
+            rows = zip(shares(b["heads"]), *(b[k].to_pylist() for k in ("sha256", "manifest", "chunks")), strict=True)
+            yield _batch([(sha, *read_back(stored, dict(zip(read_manifest(stored)[1], chunks, strict=True)), sha)) for on, sha, stored, chunks in rows if not on], _READ)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_chunk = zstandard.ZstdCompressor(level=3).compress
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _rows(batches):
-            shared = ((d, c) for *_, chunks, digests in _payloads(b) if sent.value.has(_heads(digests)).any() for d, c in zip(digests, chunks, strict=True))
-            yield _batch([(d, pack_chunk(c)) for d, c in shared], _CHUNK)
-
-    packs = materialize(texts.mapInArrow(pack, "doc_id long, manifest binary, sha256 binary, solo boolean, chunks array<binary>"), "packs")
-    store = materialize(texts.select("text").mapInArrow(emit, "digest binary, chunk binary").dropDuplicates(["digest"]), "chunks")
-    several = packs.where("NOT solo").select("doc_id", "sha256", "manifest")
-    found = several.select("doc_id", "sha256").join(_rebuilt(several.select("sha256", "manifest").dropDuplicates(["sha256"]), store), "sha256")
-    alone = packs.where("solo").select("doc_id", "manifest", "sha256", "chunks").mapInArrow(_read_solo, RESULT)
-    return alone.unionByName(found.select(*_RESULT.names))
-
-
-def _read_solo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read back the payloads whose chunks lie beside their manifests."""
-    for b in _rows(batches):
-        rows = []
-        for doc_id, stored, sha, chunks in zip(*(b[k].to_pylist() for k in ("doc_id", "manifest", "sha256", "chunks")), strict=True):
-            rows.append((doc_id, *read_back(stored, dict(zip(read_manifest(stored)[1], chunks, strict=True)), sha)))
-        yield _batch(rows, _RESULT)
+            rows = zip(shares(b["heads"]), b["sha256"].to_pylist(), b["manifest"].to_pylist(), strict=True)
+            yield _batch([(sha, seq, d, None if seq else stored) for on, sha, stored in rows if on for seq, d in enumerate(read_manifest(stored)[1])], _REF)
 
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in _rows(batches):
+            rows = zip(shares(b["heads"]), b["sha256"].to_pylist(), b["chunks"].to_pylist(), strict=True)
+            yield _batch([(sha, seq, squeeze(c)) for on, sha, chunks in rows if on for seq, c in enumerate(chunks)], _CHUNK)
 
-def _rebuilt(payloads: DataFrame, store: DataFrame) -> DataFrame:
-    """sha256 and the result columns but doc_id of each payload (sha256, manifest), from a store (digest, chunk)."""
+    refs = in_batches(held.select("sha256", "manifest", "heads"), refer, "sha256 binary, seq int, digest binary, manifest binary")
+    refs = materialize(refs.dropDuplicates(["sha256", "seq"]), "refs", tasks_for(packs, 0.2))
+    owners = refs.groupBy("digest").agg(F.min(F.struct("sha256", "seq")).alias("own")).select("digest", F.col("own.sha256").alias("owner"), F.col("own.seq").alias("place"))
+    given = in_batches(held.select("sha256", "heads", "chunks"), give, "owner binary, place int, chunk binary").dropDuplicates(["owner", "place"])
+    found = refs.join(owners, "digest").join(given, ["owner", "place"])
+    whole = in_batches(held.select("sha256", "manifest", "heads", "chunks"), alone, READ).unionByName(_rebuilt(found))
+    read = materialize(whole, "read", tasks_for(packs))
+    discard(packs, refs)
+    return ids.join(read.dropDuplicates(["sha256"]), "sha256").select(*_RESULT.names)
 
-    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _rows(batches):
-            rows = []
-            for sha, stored in zip(b["sha256"].to_pylist(), b["manifest"].to_pylist(), strict=True):
-                rows += [(sha, seq, d, None if seq else stored) for seq, d in enumerate(read_manifest(stored)[1])]
-            yield _batch(rows, _REF)
 
-    schema = pa.schema([("sha256", pa.binary()), *list(_RESULT)[1:]])
+def _rebuilt(found: DataFrame) -> DataFrame:
+    """READ of each payload, from its references and their bytes (sha256, seq, digest, manifest at seq 0, chunk)."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -208,10 +217,9 @@ def _rebuilt(payloads: DataFrame, store: DataFrame) -> DataFrame:
                     now, parts = sha, {}
                 stored = stored if seq else given
                 parts[digest] = unpack(chunk)
-            yield _batch(rows, schema)
+            yield _batch(rows, _READ)
         if now is not None:
-            yield _batch([(now, *read_back(stored, parts, now))], schema)
+            yield _batch([(now, *read_back(stored, parts, now))], _READ)
 
-    refs = payloads.mapInArrow(refer, "sha256 binary, seq int, digest binary, manifest binary").join(store, "digest")
-    ordered = refs.select("sha256", "seq", "digest", "manifest", "chunk").repartition("sha256").sortWithinPartitions("sha256", "seq")
-    return ordered.mapInArrow(rebuild, RESULT.replace("doc_id long", "sha256 binary"))
+    ordered = found.select("sha256", "seq", "digest", "manifest", "chunk").repartition("sha256").sortWithinPartitions("sha256", "seq")
+    return in_batches(ordered, rebuild, READ)
