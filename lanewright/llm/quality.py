@@ -5,7 +5,9 @@ each, block by block over its whole length; the difference of the two sizes, div
 more), becomes a probability by logistic calibration on labelled texts that the dictionaries have not seen.
 
 Fitting reads a bounded sample of labelled rows (``max_rows`` a class, those with the smallest hash of their id);
-scoring reads every whole text. Only the text enters a score.
+scoring reads every whole text. Only the text enters a score. A dictionary holds ``dictionary_bytes``, shared out evenly:
+of each text in it the middle piece, as ends are often alike, so that as many texts as fit have a say. Executors cut the
+pieces and measure the texts for the calibration; the driver sees pieces (two dictionaries) and three numbers a text.
 
 Null or empty text: the share of label 1 among labelled rows. Equal texts, equal scores. Without labels of both classes
 every score is that share, lightly smoothed. Empty tables give no rows. Extra columns stay as they are,
@@ -19,11 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewright.llm.common import bound_batches, discard, in_batches, materialize
+
 LEVEL, BLOCK, FEW = 6, 2048, 100
 
 
@@ -71,17 +75,6 @@ def _measure(good: bytes, bad: bytes):
     return measure
 
 
-def _dictionary(texts: list[str], common: set[str], size: int) -> bytes:
-    """A piece of the middle of each text, up to ``size`` bytes in all: as many voices as fit.
-
-    Lines in ``common``, which both classes have, tell nothing and are left out.
-    """
-    texts = ["\n".join(x for x in t.split("\n") if x not in common) for t in texts]
-    piece = max(256, size // max(1, len(texts)))
-    data = [t.encode() for t in texts]
-    return b"\n".join(d[max(0, (len(d) - piece) // 2) :][:piece] for d in data)[-size:]
-
-
 def _calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float) -> np.ndarray:
     """Logistic regression without intercept, as the prior is given: Newton's method with a little shrinkage."""
     scale = x.std(0) + 1e-9
@@ -100,8 +93,8 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: float)
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, dictionary_bytes: int = 1 << 20) -> CompressionModel:
     """Fit on documents (doc_id, text) and labels (doc_id, label, 1: good).
 
-    Of each class the ``max_rows`` ids with the smallest hash are taken, so what is broadcast to find their texts and
-    what reaches the driver is bounded, and no text is shuffled. Two thirds make the dictionaries, a third calibrates.
+    Of each class the ``max_rows`` ids with the smallest hash are taken, so what is broadcast to find their texts is
+    bounded, and of other texts none is shuffled. Two thirds make the dictionaries, a third calibrates.
     The prior odds are those of all labels, lightly smoothed.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
@@ -109,23 +102,42 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, dictionar
     prior = math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
     rank = F.xxhash64(F.lit(5), "doc_id")
     good, bad = (known.where(F.col("label") == k).distinct().orderBy(rank, "doc_id").limit(max_rows) for k in (1, 0))
-    sample = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(good.union(bad)), "doc_id")
-    rows = sample.orderBy(rank, "doc_id", "text").limit(2 * max_rows).collect()
-    return fit_texts([r.text for r in rows if r.label == 1], [r.text for r in rows if r.label == 0], prior, dictionary_bytes)
-
-
-def fit_texts(good: list[str], bad: list[str], prior: float, dictionary_bytes: int = 1 << 20) -> CompressionModel:
-    """The model of two lists of texts."""
-    if not good or not bad:
+    found = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(good.union(bad)), "doc_id")
+    first = found.withColumn("rank", rank).orderBy("rank", "doc_id", "text").limit(2 * max_rows)
+    sample = materialize(first.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id", "text")) - 1), "sample")
+    model = _fit_sample(sample, prior, dictionary_bytes)
+    discard(sample)
+    return model
+
+
+def _fit_sample(sample: DataFrame, prior: float, dictionary_bytes: int) -> CompressionModel:
+    """The model of a sample (label, i: the row's number in its class, text), two thirds for dictionaries."""
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, prior)
-    groups = [good, bad]
-    common = set.intersection(*({line for t in g for line in t.split("\n")} for g in groups))
-    built = [_dictionary([t for i, t in enumerate(g) if i % 3] or g, common, dictionary_bytes) for g in groups]
-    measure = _measure(*built)
-    held = [[measure(t) for i, t in enumerate(g) if i % 3 == 0] for g in groups]
-    x, y = np.array(held[0] + held[1]), np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
-    share = 1 / (1 + math.exp(-prior))
-    weights = np.where(y == 1, share / len(held[0]), (1 - share) / len(held[1])) * len(y)
+    builds = (F.col("i") % 3 != 0) | (F.when(F.col("label") == 1, n[1]).otherwise(n[0]) == 1)
+    lines = sample.select("label", "i", builds.alias("builds"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    common = lines.groupBy("line").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("line")
+    own = lines.where("builds").join(common, "line", "left_anti").groupBy("label", "i").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    data = F.array_join(F.transform("lines", lambda x: x["line"]), "\n").cast("binary")
+    share = {k: max(256, dictionary_bytes // max(1, n[k] - (n[k] + 2) // 3)) for k in n}
+    piece = F.when(F.col("label") == 1, share[1]).otherwise(share[0])
+    cut = F.substring("data", F.greatest(F.lit(0), F.floor((F.octet_length("data") - piece) / 2)).cast("int") + 1, piece)
+    rows = own.select("label", "i", data.alias("data")).select("label", "i", cut.alias("piece")).orderBy("label", "i").collect()
+    built = [b"\n".join(bytes(r.piece) for r in rows if r.label == k)[-dictionary_bytes:] for k in (1, 0)]
+
+    sent = sample.sparkSession.sparkContext.broadcast(tuple(built))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = _measure(*sent.value)
+        for b in batches:
+            x = [measure(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["label"], b["i"], pa.array([d for d, _ in x], pa.float64()), pa.array([s for _, s in x], pa.float64())], names=["label", "i", "difference", "share"])
+
+    held = in_batches(sample.where("i % 3 = 0").select("label", "i", "text"), run, "label int, i int, difference double, share double").orderBy(F.desc("label"), "i").collect()
+    x, y = np.array([(r.difference, r.share) for r in held]), np.array([float(r.label) for r in held])
+    odds = 1 / (1 + math.exp(-prior))
+    weights = np.where(y == 1, odds / max(1, (y == 1).sum()), (1 - odds) / max(1, (y == 0).sum())) * len(y)
     slope, weight = _calibrate(x, y, weights, prior).tolist()
     return CompressionModel(*built, slope, weight, prior)
 
@@ -134,11 +146,13 @@ def score(df: DataFrame, model: CompressionModel, text: str = "text") -> Column:
     """A column of scores of ``text``: the model goes to the executors once, as a broadcast of two dictionaries."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = sent.value.scorer()
         for texts in batches:
-            yield pd.Series(scorer(texts.tolist()), dtype="float64")
+            yield pa.array(scorer(texts.to_pylist()), pa.float64())
 
     return run(F.col(text))
 

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import materialize
+from lanewright.llm.common import free_name, in_batches, materialize
 
 _ADDED = ("bucket", "place", "shard", "slot")
-MOST_BUCKETS = 1 << 20
+#: Enough for 128 TB in buckets of 32 MB; give larger buckets beyond.
+MOST_BUCKETS = 1 << 22
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -40,17 +41,21 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 def external_shuffle(df: DataFrame, size: Column, seed: int = 7, bucket_bytes: int = 32 << 20) -> DataFrame:
     """All records with bucket and place (their rank in the bucket after the shuffle), written to the shared folder.
 
-    ``size`` is a record's bytes; buckets hold ``bucket_bytes`` of them on average, more once there are MOST_BUCKETS.
+    ``size`` is a record's bytes; buckets hold ``bucket_bytes`` of them on average. A table that needs more than
+    MOST_BUCKETS is refused, as its buckets would not fit in memory.
     """
     df = df.drop(*_ADDED)
+    at = free_name(df.columns, "_at")
     total = df.agg(F.sum(size)).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    if buckets > MOST_BUCKETS:
+        raise ValueError(f"{total} bytes need {buckets} buckets, over {MOST_BUCKETS}: raise bucket_bytes")
     names = df.columns
     scattered = (
-        df.withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_at"), F.lit(buckets)).cast("int"))
+        df.withColumn(at, F.monotonically_increasing_id())
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), at), F.lit(buckets)).cast("int"))
         .repartitionById(buckets, "bucket")
-        .sortWithinPartitions("bucket", "_at")
+        .sortWithinPartitions("bucket", at)
     )
     schema = scattered.select(*names, "bucket").withColumn("place", F.lit(0).cast("long")).schema
 
@@ -77,23 +82,25 @@ def external_shuffle(df: DataFrame, size: Column, seed: int = 7, bucket_bytes: i
                     kept.append(b.slice(lo, hi - lo))
         yield from flush(kept)
 
-    return materialize(scattered.mapInArrow(run, schema), "shuffled")
+    return materialize(in_batches(scattered, run, schema), "shuffled")
 
 
 def assign_shards(shuffled: DataFrame, shards: int) -> DataFrame:
     """Add shard and slot from bucket and place: the count of each bucket, a row a bucket, gives its offset.
 
-    There are MOST_BUCKETS offsets at most (some 20 MB), so they are broadcast and the records stay where they are.
+    There are MOST_BUCKETS offsets at most (some 100 MB; 3,200 to the TB), so they are summed up in one task and broadcast,
+    and the records stay where they are.
     """
-    counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    n, offset = (free_name(shuffled.columns, x) for x in ("_n", "_offset"))
+    counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias(n))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    rank = F.col("_offset") + F.col("place")
+    offsets = counts.select("bucket", F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    rank = F.col(offset) + F.col("place")
     return (
         shuffled.join(F.broadcast(offsets), "bucket")
         .withColumn("shard", F.pmod(rank, F.lit(shards)).cast("int"))
         .withColumn("slot", F.floor(rank / shards).cast("long"))
-        .drop("_offset")
+        .drop(offset)
     )
 
 
