@@ -71,7 +71,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.seed_urls(spark))
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, url_labels(spark, sf_dir))
+
+
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled urls: the pages' texts, judged by a model of the labelled documents."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return urlfilter.labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), labels)
 
 
 def vocabulary_text() -> str:
@@ -111,7 +118,7 @@ ORACLE_SQL: dict[str, str] = {
         ), doc_words AS (
             SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
         ), item_words AS (
-            SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM items WHERE len(words) >= 8
+            SELECT item_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM items
         ), equal AS (
             SELECT DISTINCT doc_id, item_id, n, d.pos - i.pos AS shift, i.pos AS pos FROM doc_words d JOIN item_words i USING (word)
         ), likely AS (
@@ -138,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT source, count(*) AS total FROM pages GROUP BY source
         ), bad AS (
             SELECT c.source, c.line FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-            GROUP BY c.source, c.line, t.total HAVING count(*) >= 5 AND count(*) > t.total * CAST(0.05 AS DOUBLE)
+            GROUP BY c.source, c.line, t.total HAVING count(*) - 1 > t.total * CAST(0.05 AS DOUBLE)
         ), of_host AS (
             SELECT source, list(line) AS lines FROM bad GROUP BY source
         ), kept AS (

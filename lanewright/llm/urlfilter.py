@@ -1,6 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-DataFrame and SQL functions only, with the JVM's boosted trees; nothing runs in Python on the executors.
+DataFrame and SQL functions only, with the JVM's models; nothing runs in Python on the executors.
+
+The trees are trained on labelled urls. :func:`labelled_pages` takes the labels from the tables: what a page says is
+judged by a model of text quality, fitted on labelled documents, and a url is to be blocked if its page's text is bad.
+Rules take no part in that, as trees would only learn them back. The trees see the url alone.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path: what follows up to
 ``?``, ``#`` or the end. A null url or one without ``://`` has both empty and fits no rule; the trees judge it by its
@@ -10,31 +14,17 @@ labelled urls of both classes, what no rule decides is allowed. Extra columns ar
 
 from __future__ import annotations
 
-import random
-from functools import reduce
-from operator import add
-
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.llm.common import discard, materialize
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Terms that spam hosts use more than others do, found anywhere in a host (fixed values); good hosts hold some too.
-TERMS = (
-    "adult", "ads", "bet", "bonus", "buy", "cash", "casino", "cheap", "cialis", "click", "coupon", "credit", "crypto", "deal", "diet", "discount", "dating", "earn", "escort", "free",
-    "gambl", "gift", "jackpot", "loan", "lottery", "lucky", "offer", "pharm", "pill", "poker", "porn", "prize", "profit", "promo", "rich", "sale", "sex", "slot", "spam", "track", "viagra", "win", "xxx",
-)
-#: Words of the hosts in the seed set of labelled urls (fixed values): plain ones, and everyday ones that hold a term.
-PLAIN = (
-    "news", "garden", "river", "school", "library", "museum", "kitchen", "travel", "music", "science", "history", "weather", "stone", "paper", "bridge", "north", "valley", "market", "health", "city",
-    "green", "studio", "house", "craft", "forest", "union", "data", "smith", "archive", "project", "photo", "tech", "lake", "academy", "trust", "sport", "church", "blog", "works", "group",
-)
-EVERYDAY = ("window", "roads", "alphabet", "winter", "tracks", "freedom", "richmond", "essex", "pharmacy", "giftshop", "creditunion", "learning", "ideal", "betty", "slotcar", "sales", "freelance", "profits")
-COMMON, ODD = ("com", "net", "org", "de", "fr", "io", "co", "edu"), ("xyz", "top", "click", "site", "online", "biz", "info")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._/?=&%:#"
-FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "host_digits", "terms", "digit_ratio", "entropy", "parameters", "suffix_rate")
+FEATURES = ("length", "host_length", "depth", "labels", "hyphens", "host_digits", "digit_ratio", "entropy", "parameters", "suffix_rate")
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -73,7 +63,6 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
         count(F.col("host"), ".").cast("double").alias("labels"),
         count(F.col("host"), "-").cast("double").alias("hyphens"),
         (F.length("host") - F.length(F.translate("host", "0123456789", ""))).cast("double").alias("host_digits"),
-        reduce(add, (F.contains("host", F.lit(t)).cast("int") for t in TERMS)).cast("double").alias("terms"),
         ((F.length(u) - F.length(F.translate(u, "0123456789", ""))) / n).alias("digit_ratio"),
         entropy.alias("entropy"),
         F.when(query == "", 0.0).otherwise(count(query, "&") + 1.0).alias("parameters"),
@@ -81,63 +70,52 @@ def lexical_features(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """Labelled urls (url, label 1: block), made by rule from fixed words; no feature gives the label away.
+#: Shares of a text's characters, by class, that its quality is judged by.
+SHARES = {"letters": r"\p{L}", "digits": r"\p{N}", "blanks": r"\s", "stops": r"[.,;:!?'\"()-]", "capitals": r"\p{Lu}", "symbols": r"[^\p{L}\p{N}\s.,;:!?'\"()-]"}
+
+
+def _with_text_features(df: DataFrame) -> DataFrame:
+    """Add ``said``, the features of ``text`` as one vector."""
+    n = F.greatest(F.length("text"), F.lit(1))
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    distinct = lambda of: F.size(F.array_distinct(of)) / F.greatest(F.size(of), F.lit(1))
+    columns = {k: (F.length("text") - F.length(F.regexp_replace("text", p, ""))) / n for k, p in SHARES.items()}
+    columns |= {"size": F.log1p(F.length("text").cast("double")), "word": F.log1p(n / F.greatest(F.size(words), F.lit(1))), "words": distinct(words), "lines": distinct(lines)}
+    ready = df.select("*", *(c.alias(f"text_{k}") for k, c in columns.items()))
+    return VectorAssembler(inputCols=[f"text_{k}" for k in columns], outputCol="said").transform(ready).select(*df.columns, "said")
+
 
-    Good: plain hosts, with or without hyphens, some of them with one odd trait (a term, digits, an odd suffix, a long
-    query, a deep path). Bad: hosts with several terms, or two odd traits or more at once, hyphenated or not.
+def page_text(html: Column) -> Column:
+    """What a page shows: scripts, styles, comments and tags are left out, the commonest entities read."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", "\n")
+    for entity, said in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(said))
+    return text
+
+
+def labelled_pages(pages: DataFrame, documents: DataFrame, labels: DataFrame, max_documents: int = 2000, max_pages: int = 8000) -> DataFrame:
+    """url, label (1: block) of at most ``max_pages`` pages (url, html), those whose urls have the smallest hash.
+
+    A page's text is judged by logistic regression on shares of kinds of characters, lengths and repetition, fitted on
+    at most ``max_documents`` documents (doc_id, text) of each label (1: good), those whose ids have the smallest hash.
+    Pages without text have no label; without documents of both labels no page has one.
     """
-    draw = random.Random(9)
-    some = lambda words, n: [draw.choice(words) for _ in range(n)]
-    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
-    noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    sign = lambda: draw.choice(("", "-"))
-
-    def good() -> tuple[str, str, str, str]:
-        kind, join = draw.randrange(8), sign()
-        words = some(PLAIN, draw.choice((1, 2, 2, 3)))
-        host, suffix, path, query = join.join(words), draw.choice(COMMON), "", ""
-        if kind == 0:
-            host = join.join([draw.choice(EVERYDAY), *words[1:]])
-        elif kind == 1:
-            host = sign().join(draw.sample([draw.choice(TERMS), words[0]], 2))
-        elif kind == 2:
-            host += sign() + digits(draw.randrange(1, 5))
-        elif kind == 3:
-            suffix = draw.choice(ODD)
-        elif kind == 4:
-            query = "&".join(f"{w}={noise(draw.randrange(1, 20))}" for w in some(PLAIN, draw.randrange(3, 7)))
-        elif kind == 5:
-            path = "/".join(some(PLAIN, draw.randrange(3, 7)))
-        elif kind == 6:
-            host = "-".join(some(PLAIN, draw.choice((2, 3, 4))))
-        return host, suffix, path, query
-
-    def bad() -> tuple[str, str, str, str]:
-        kind, join = draw.randrange(5), sign()
-        host, suffix, path, query = "", draw.choice(COMMON), "", ""
-        if kind < 2:
-            host = join.join(draw.sample(TERMS, draw.choice((2, 2, 3))) + some(PLAIN, draw.choice((0, 0, 1))))
-        elif kind == 2:
-            host, suffix = join.join(draw.sample([draw.choice(TERMS), *some(PLAIN, draw.choice((0, 1)))], 1) + [draw.choice(TERMS)]), draw.choice(ODD)
-        elif kind == 3:
-            host, suffix = join.join([*some(PLAIN, draw.choice((0, 1))), draw.choice(TERMS), digits(draw.randrange(2, 6))]), draw.choice(COMMON + ODD)
-        else:
-            host, suffix = noise(draw.randrange(9, 20)), draw.choice(ODD)
-            query = draw.choice(("", "&".join(f"{w}={noise(draw.randrange(8, 24))}" for w in some(PLAIN, draw.randrange(2, 6)))))
-        if draw.random() < 0.2:
-            path = "/".join(some(PLAIN, draw.randrange(2, 6)))
-        return host, suffix, path, query
-
-    rows = []
-    for n in range(2400):
-        label = n % 2
-        host, suffix, path, query = (bad if label else good)()
-        sub, middle = draw.choice(("", "", "www.", "www.", "m.", "blog.", "shop.")), draw.choice(("", "", "", ".example", ".pages", ".co"))
-        path = path or draw.choice(("", "a", f"{digits(draw.randrange(1, 6))}", f"{draw.choice(PLAIN)}/{digits(4)}.html", "en/index.html", f"{draw.choice(PLAIN)}-{draw.choice(PLAIN)}"))
-        query = query or draw.choice(("", "", "page=2&ref=x", "utm_source=feed", f"id={digits(4)}"))
-        rows.append((f"http{draw.choice(('', 's'))}://{sub}{host}{middle}.{suffix}/{path}{'?' if query else ''}{query}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    rank = F.xxhash64(F.lit(5), "doc_id")
+    good, bad = (known.where(F.col("label") == k).orderBy(rank, "doc_id").limit(max_documents) for k in (1, 0))
+    found = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(good.union(bad)), "doc_id")
+    sample = materialize(_with_text_features(found.orderBy(rank, "doc_id", "text").limit(2 * max_documents).select("text", "label")).select("said", "label"), "documents")
+    shown = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", "html").orderBy(F.xxhash64("url", F.lit(11)), "url", "html").limit(max_pages)
+    shown = shown.select("url", page_text(F.col("html")).alias("text")).where(F.trim("text") != "")
+    counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return shown.limit(0).select("url", F.lit(0).alias("label"))
+    weighed = sample.withColumn("weight", F.when(F.col("label") == 1, 1 / counts[1]).otherwise(1 / counts[0]) * sum(counts.values()) / 2)
+    model = LogisticRegression(featuresCol="said", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=50, predictionCol="good").fit(weighed.coalesce(1))
+    out = materialize(model.transform(_with_text_features(shown)).select("url", (F.col("good") == 0).cast("int").alias("label")), "labelled")
+    discard(sample)
+    return out
 
 
 class UrlModel:
@@ -168,14 +146,13 @@ def train(labelled: DataFrame, max_rows: int = 8000, max_suffixes: int = 50, tre
 
     Suffix statistics: the smoothed block rate of the ``max_suffixes`` commonest suffixes among them.
     """
-    spark = labelled.sparkSession
     known = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("int"))
-    rows = known.distinct().orderBy(F.xxhash64("url", F.lit(11)), "url", "label").limit(max_rows).collect()
-    if len({r.label for r in rows}) < 2:
+    sample = materialize(known.distinct().orderBy(F.xxhash64("url", F.lit(11)), "url", "label").limit(max_rows), "urls")
+    rows, bad = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not rows or bad in (0, rows):
         return UrlModel(None, {}, 0.0)
-    sample = spark.createDataFrame(rows, "url string, label int").coalesce(1)
-    ready = lexical_features(with_parts(sample))
-    prior = sum(r.label for r in rows) / len(rows)
+    ready = lexical_features(with_parts(sample.coalesce(1)))
+    prior = bad / rows
     stats = ready.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
     top = stats.orderBy(F.desc("n"), "suffix").limit(max_suffixes).collect()
     model = UrlModel(None, {r.suffix: (r.bad + 20 * prior) / (r.n + 20) for r in top}, prior)
@@ -183,9 +160,18 @@ def train(labelled: DataFrame, max_rows: int = 8000, max_suffixes: int = 50, tre
     boosting = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3)
     boosting = boosting.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     model.trees = boosting.fit(vectors.select("_features", "label"))
+    discard(sample)
     return model
 
 
+def held_out(labelled: DataFrame, parts: int = 3, threshold: float = 0.5) -> dict[tuple[int, int], int]:
+    """(label, predicted): rows, of the urls whose host falls into one of ``parts`` by its hash, by a model of the others."""
+    split = with_parts(labelled).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "host"), F.lit(parts)))
+    model = train(split.where("part > 0"))
+    told = model.score(split.where("part = 0")).groupBy("label", (F.col("score") >= threshold).cast("int").alias("predicted")).count()
+    return {(r.label, r.predicted): r["count"] for r in told.collect()}
+
+
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Each page's host, path, rule, verdict and score.
 

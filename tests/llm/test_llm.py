@@ -116,14 +116,81 @@ def test_pii_base_spans(text):
     assert pii.seed_spans(text) == strict_spans(text)
 
 
-def test_pii_contexts_find_unseen_identifiers(spark):
-    seeds = [f"words before phone: +1 (555) 010-{1000 + i} and after" for i in range(8)]
-    texts = [*seeds, "they said phone: 555-010-7777 today", "a number 555-010-7777 alone, the 1234", None, "", seeds[0]]
-    found = {r.doc_id: r for r in pii.find_pii(docs(spark, *texts)).collect()}
-    assert len(found) == len(texts) and found[0].n_phone == 1 and found[0].spans.startswith("phone:20:")
-    assert found[8].n_phone == 0 and found[8].spans == "phone:17:29"
-    assert found[9].spans == "" and found[10].spans == "" and found[11].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert pii.find_pii(docs(spark, *texts).limit(0)).count() == 0
+def brute_discovered(texts, min_known=3, least=0.6, min_share=0.2):
+    """The bootstrap with plain dictionaries."""
+    low = lambda t: re.sub("[1-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    edges, seeds, n, occurs = {}, set(), Counter(), Counter()
+    for t in map(lambda t: t or "", texts):
+        words = low(t).split()
+        occurs.update(words + [" ".join(p) for p in itertools.pairwise(words)])
+        for kind, _, _, value, patterns, seed in pii.mentions(t, pii.seed_spans(t)):
+            seeds |= {(kind, value)} if seed else set()
+            for p in patterns:
+                edges.setdefault((kind, p), set()).add((kind, value))
+                n[kind, p] += 1
+    edges = {p: v for p, v in edges.items() if n[p] >= min_share * max(n[p], occurs[p[1].split(" ", 1)[1]])}
+    score, since = dict.fromkeys(seeds, 1.0), {}
+    for round_ in range(1, 99):
+        worth = {p: sum(score.get(x, 0) for x in v) / (len(v) + 1) for p, v in edges.items() if sum(x in score for x in v) >= min_known}
+        now = {}
+        for p, w in worth.items():
+            for x in edges[p] - seeds:
+                if w >= least:
+                    now[x] = max(w, now.get(x, 0), score.get(x, 0))
+        since |= {x: round_ for x in now if x not in since}
+        if all(x in score for x in now):
+            return since
+        score |= now
+
+
+def pii_corpus():
+    """Phones behind a cue; addresses spelled out, first beside a cue that phones and addresses share, then beside cues of their own."""
+    rng = random.Random(41)
+    words = lambda rng, n: " ".join("".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    phone = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    name = lambda: words(rng, 1)
+    out = [f"{words(rng, 5)} dial +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} {words(rng, 3)}" for _ in range(80)]
+    shared = [phone() for _ in range(12)]
+    out += [f"{words(rng, 4)} dial {x} {words(rng, 3)}" for x in shared]  # round 1: behind the cue of the seeds
+    out += [f"{words(rng, 4)} reach me {x} anytime {words(rng, 3)}" for x in shared]  # which are known elsewhere too
+    out += [f"{words(rng, 4)} reach me {phone().replace('-', ' ')} anytime {words(rng, 3)}" for _ in range(2)]  # round 2
+    out += [f"{words(rng, 4)} mailbox {name()}@m{i}.example.com {words(rng, 3)}" for i in range(40)]
+    out += [f"{words(rng, 4)} mailbox {name()}(at)m{i}.example.com {words(rng, 3)}" for i in range(3)]
+    decoys = [f"{words(rng, 4)} part {phone()} {words(rng, 3)}" for _ in range(20)]
+    decoys += [f"{words(rng, 4)} the {rng.randrange(10**15, 10**16)} {words(rng, 3)} the {words(rng, 1)} the {words(rng, 1)}" for _ in range(20)]
+    return out, decoys
+
+
+def test_pii_bootstrap_by_brute_force(spark):
+    found, decoys = pii_corpus()
+    texts = [*found, *decoys, None, "", found[0], "x" * 500 + " dial 212-555-0000"]
+    d = docs(spark, *texts)
+    got = {(r.kind, r["value"]): r["round"] for r in pii.discovered(d, pii.scan(d).select(F.inline("mentions"))).collect()}
+    assert got == brute_discovered(texts)
+    assert Counter(got.values()) == {1: 12 + 3 + 1, 2: 2}  # behind the seeds' cues, then behind cues that only found ones carry
+    rows = {r.doc_id: r for r in pii.find_pii(d).collect()}
+    assert len(rows) == len(texts) and all(rows[i].spans for i in range(len(found))) and not any(rows[i].n_discovered for i in range(len(found), len(found) + len(decoys) + 2))
+    assert [sum(r.n_discovered for r in rows.values()), rows[len(texts) - 1].spans] == [12 + 12 + 2 + 3 + 1, "phone:506:518"]
+    for i, t in enumerate(texts):
+        base = strict_spans(t or "")
+        assert set(",".join(f"{k}:{a}:{b}" for a, b, k in base).split(",")) <= {*rows[i].spans.split(","), ""}
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+
+
+def test_pii_hidden_seeds_come_back(spark):
+    found, decoys = pii_corpus()
+    hidden, back = pii.masked_recall(docs(spark, *found, *decoys))
+    assert hidden >= 8 and back >= 0.9 * hidden
+
+
+def test_pii_edges(spark):
+    assert pii.find_pii(docs(spark, "a").limit(0)).count() == 0
+    d = docs(spark, "reach a@b.cd now", None).withColumn("spans", F.lit(1)).withColumn("row_id", F.lit(1))
+    assert [(r.spans, r.n_discovered) for r in pii.find_pii(d).orderBy("doc_id").collect()] == [("email:6:12", 0), ("", 0)]
+    long = "1" * 200_000 + "x " + "a-b@" * 50_000 + " 1 2 " * 50_000
+    assert len(list(pii.mentions(long, pii.seed_spans(long)))) < 10
+    assert pii.Beside("see (a@b.cd), Tel9").patterns(5, 11) == ["l see", "r tel0"]
+    assert pii.Beside("mail:a@b.cd").patterns(5, 11) == ["l mail:"]
 
 
 # 3
@@ -194,11 +261,63 @@ def test_components(spark):
 # 4
 
 
+def allowed(width):
+    """Every set of words of a window that may be substituted."""
+    most = width - math.ceil(width * 0.8)
+    return [set(c) for k in range(most + 1) for c in itertools.combinations(range(width), k)]
+
+
 def test_masks_lose_nothing():
-    window, masks = 13, decontam.MASKS
-    for start, a, b in itertools.product(range(decontam.STRIDE), range(window), range(window)):
-        seeds = [{i + at for at in m} for m in masks for i in range(window - m[-1]) if (i + start) % decontam.STRIDE == 0]
-        assert any(not {a, b} & s for s in seeds)
+    """Every item length, window of the item, place in the text and allowed substitution leaves a seed whole."""
+    for n in range(1, 21):
+        width = min(13, n)
+        for first, phase in itertools.product(range(n - width + 1), range(decontam.STRIDE)):
+            if n < 13:  # a text has its seeds at every place
+                seeds = [{at + i for i in m} for m, at in decontam.short_seeds(n)]
+            else:  # the item has its seeds at every place, the text at every third; windows count from the item's start
+                seeds = [{at + i for i in m} for m in decontam.MASKS for at in range(n - m[-1]) if (at + phase) % decontam.STRIDE == 0]
+            within = [s for s in seeds if min(s) >= first and max(s) < first + width]
+            assert all(any(not {first + x for x in subs} & s for s in within) for subs in allowed(width)), (n, first, phase)
+
+
+def brute_overlaps(texts, items):
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = {}
+    for i, item in items.items():
+        asked = split(item)
+        width = min(13, len(asked))
+        for d, text in enumerate(texts):
+            said, best, windows = split(text), 0, 0
+            for shift in range(-len(asked), len(said)) if asked else ():
+                equal = [0 <= k + shift < len(said) and said[k + shift] == w for k, w in enumerate(asked)]
+                good = sum(0 <= k + shift and k + shift + width <= len(said) and sum(equal[k : k + width]) * 100 >= width * 80 for k in range(len(asked) - width + 1))
+                if good:
+                    best, windows = max(best, sum(equal)), windows + good
+            if windows:
+                out[d, i] = (len(asked), best, windows)
+    return out
+
+
+def test_overlaps_by_brute_force(spark, tmp_path):
+    """Items of 1 to 20 words, substituted as far as allowed and one word further, at every phase; and the query's SQL."""
+    rng = random.Random(21)
+    items = {n: words(rng, n) for n in range(1, 21)} | {30: words(rng, 60), 31: "Alone", 32: ""}
+    texts = [None, "", words(rng, 300), " ".join(items.values()) + " " + items[20]]
+    for n, item in items.items():
+        for phase, subs in itertools.product(range(3), rng.sample(allowed(min(13, n)), min(6, len(allowed(min(13, n))))) if n < 21 else [set(), {5, 30}]):
+            said = ["changed" if i in subs else w for i, w in enumerate(item.split())]
+            for more in (said, [*said[:-1], "other"]):
+                texts.append(" , ".join(["before"] * phase + more + ["behind"] * rng.randrange(15)))
+    want = brute_overlaps(texts, items)
+    d, bench = docs(spark, *texts), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for most in (1_000_000, 0):
+        found = {(r.doc_id, r.item_id): (r.item_words, r.matched, r.windows) for r in decontam.overlaps(d, bench, most_broadcast=most).collect()}
+        assert found == want
+    d.withColumn("key", F.lit(1)).withColumn("_key", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert same_rows(spark, tmp_path, "op4_decontamination")
+    clean = decontam.decontaminate(spark.read.parquet(f"{tmp_path}/documents.parquet"), bench)
+    assert {"key", "_key"} <= set(clean.columns) and {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {x for x, _ in want}
 
 
 def test_decontamination(spark):
@@ -206,31 +325,14 @@ def test_decontamination(spark):
     item = words(rng, 20).split()
     swap = [w if i not in (3, 9, 15) else "changed" for i, w in enumerate(item)]
     texts = [words(rng, 50) + " " + " ".join(item) + " " + words(rng, 9), " ".join(item).upper(), words(rng, 9) + " | " + " , ".join(swap), words(rng, 400), None, "", " ".join(item[:9]), " ".join(item)]
-    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "too short"), (3, None)], "item_id long, text string")
-    d = docs(spark, *texts)
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "capital of france"), (3, None)], "item_id long, text string")
+    d = docs(spark, *texts, "The capital of FRANCE, is")
     found = {r.doc_id: (r.item_id, r.matched) for r in decontam.overlaps(d, bench).collect()}
-    assert found == {0: (1, 20), 1: (1, 20), 2: (1, 17), 7: (1, 20)}
+    assert found == {0: (1, 20), 1: (1, 20), 2: (1, 17), 7: (1, 20), 8: (2, 3)}
     assert found == {r.doc_id: (r.item_id, r.matched) for r in decontam.overlaps(d, bench, most_broadcast=0).collect()}
     assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [3, 4, 5, 6]
     assert decontam.overlaps(d, bench.limit(0)).count() == 0 == decontam.overlaps(d.limit(0), bench).count()
-
-
-def test_short_items_lose_nothing(spark):
-    rng = random.Random(21)
-    for n in range(8, 13):
-        blocks = [set(range(at, at + 3)) for at in range(0, n - 2, 3)]
-        assert all(any(not b & set(subs) for b in blocks) for subs in itertools.combinations(range(n), n - math.ceil(n * 0.8)))
-    items = {n: words(rng, n).split() for n in (7, 8, 9, 10, 11, 12)}
-    texts, want = [], {}
-    for n, item in items.items():
-        for phase, subs in itertools.product(range(3), [*itertools.combinations(range(n), n - math.ceil(n * 0.8)), range(n - math.ceil(n * 0.8) + 1)]):
-            said = ["changed" if i in subs else w for i, w in enumerate(item)]
-            if n > 7 and len(subs) <= n - math.ceil(n * 0.8):
-                want[len(texts)] = (n, n - len(subs))
-            texts.append(" ".join(["before"] * phase + said + ["behind"] * 5))
-    d, bench = docs(spark, *texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
-    for most in (1_000_000, 0):
-        assert {r.doc_id: (r.item_id, r.matched) for r in decontam.overlaps(d, bench, most_broadcast=most).collect()} == want
+    assert decontam.overlaps(d.unionByName(d), bench).count() == len(found)
 
 
 def test_items_without_id_count(spark):
@@ -247,13 +349,37 @@ def test_items_without_id_count(spark):
 # 5
 
 
-def test_line_dedup(spark):
-    texts = [f"Shared line \nown {i}\n\nrare {i // 3}" for i in range(9)] + [None, ""]
-    d = docs(spark, *texts, source="a").unionByName(docs(spark, "Shared line\nown", source=None)).withColumn("lines", F.lit(1))
-    got = {(r.source, r.doc_id): r for r in linededup.drop_boilerplate(d, ratio=0.5, min_pages=5).collect()}
-    assert got["a", 4].text == "own 4\n\nrare 1" and (got["a", 4].n_lines, got["a", 4].n_dropped) == (4, 1)
-    assert got[None, 0].text == "Shared line\nown" and got["a", 9].text is None and got["a", 10].text == ""
-    assert linededup.drop_boilerplate(d.limit(0)).count() == 0
+def brute_lines(rows, ratio):
+    """doc_id, source, text, n_lines, n_dropped of each (doc_id, source, text), with plain dictionaries."""
+    on, total = Counter(), Counter()
+    for _, source, text in rows:
+        total[source] += 1
+        on.update({(source, line.strip(" ")) for line in (text or "").split("\n")})
+    out = []
+    for i, source, text in rows:
+        lines = text.split("\n") if text is not None else []
+        kept = [x for x in lines if not x.strip(" ") or on[source, x.strip(" ")] - 1 <= ratio * total[source]]
+        out.append((i, len(lines) - len(kept), len(lines), source, "\n".join(kept) if text is not None else None))
+    return Counter(map(repr, out))
+
+
+def test_line_dedup_by_brute_force(spark, tmp_path):
+    rng = random.Random(51)
+    common = [words(rng, 4) for _ in range(6)]
+    rows = []
+    for source, n in (("big", 120), ("small", 2), ("four", 4), (None, 30), ("one", 1)):
+        for i in range(n):
+            body = [words(rng, 5), " " + common[0] + " "] + [c for c in common[1:] if rng.random() < 0.06] + [""]
+            rows.append((len(rows), source, rng.choice([None, "", "\n"]) if rng.random() < 0.05 else "\n".join(body)))
+    rows += [(7, "big", rows[7][2]), (None, "big", "x" * 100000 + "\n" + common[0])]
+    table = spark.createDataFrame([(i, s, t, 1, 2, 3, 4) for i, s, t in rows], "doc_id long, source string, text string, _bad int, _host int, _lines int, total int")
+    for ratio in (0.05, 0.3):
+        found = linededup.drop_boilerplate(table, ratio=ratio).collect()
+        got = Counter(repr((r.doc_id, r.n_dropped, r.n_lines, r.source, r.text)) for r in found)
+        assert got == brute_lines(rows, ratio) and all((r["_bad"], r["_host"], r["_lines"], r.total) == (1, 2, 3, 4) for r in found)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert same_rows(spark, tmp_path, "op5_line_dedup")
+    assert linededup.drop_boilerplate(table.limit(0)).count() == 0
 
 
 # 6
@@ -299,20 +425,40 @@ def test_sharding(spark, tmp_path):
 # 8
 
 
-def test_media(spark):
+def plain_chunks(data):
+    """Content-defined chunks, a byte at a time."""
+    out, start, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(media.GEAR[byte])) & 0xFFFFFFFF
+        size = i + 1 - start
+        if size >= 256 and h >> 20 & 0x3FF == 0 or size == 4096:
+            out.append(data[start : i + 1])
+            start = i + 1
+    return out + ([data[start:]] if start < len(data) else [])
+
+
+def media_row(text):
+    """What op8 returns for a text, but for the feature, with nothing of the operator's but the gear table."""
+    data = (text or "").encode()
+    whole = data + b"\xff" * (-len(data) % 576 if data else 576)
+    chunks = plain_chunks(whole)
+    form = b"CDC1" + len(chunks).to_bytes(4, "big") + len(data).to_bytes(8, "big")
+    form += b"".join(hashlib.sha256(c).digest() + len(c).to_bytes(4, "big") for c in chunks) + whole
+    return len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(form), hashlib.sha256(form).hexdigest(), len(chunks)
+
+
+def test_media_by_brute_force(spark):
     rng = random.Random(8)
     long = words(rng, 6000)
-    texts = [long, "x" + long, long, None, "", "short", "é" * 700, long[:20000] + words(rng, 50) + long[20000:]]
-    for bits in (24, 6):
-        rows = {r.doc_id: r for r in media.media_features(docs(spark, *texts), bits).collect()}
-        assert len(rows) == len(texts)
-        for i, t in enumerate(texts):
-            data, n = media.payload_of(t)
-            r = rows[i]
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
-            stored = media.manifest(n, [hashlib.sha256(c).digest() for c in media.chunks_of(data)], [len(c) for c in media.chunks_of(data)])
-            assert (r.media_bytes, r.media_sha256) == (len(stored) + len(data), hashlib.sha256(stored + data).hexdigest())
-        assert rows[0][1:] == rows[2][1:] and rows[3][1:] == rows[4][1:]
+    texts = [long, "x" + long, long, None, "", "short", "é" * 700, long[:20000] + words(rng, 50) + long[20000:], "abcd" * 9000, words(rng, 3000), "short", long + long, words(rng, 90000)]
+    d = docs(spark, *texts).withColumn("sha256", F.lit(1)).withColumn("chunks", F.lit(1))
+    for bits, df in ((24, d.repartition(3, "doc_id")), (6, d.coalesce(1)), (24, d.unionByName(d).repartition(4, "doc_id"))):
+        rows = media.media_features(df, bits).collect()
+        assert sorted({r.doc_id for r in rows}) == list(range(len(texts))) and len(rows) == df.count()
+        for r in rows:
+            assert (*r[1:7], int(r.feature.split(";")[0].removeprefix("chunks="))) == media_row(texts[r.doc_id])
+        of = {r.doc_id: r[1:] for r in rows}
+        assert of[0] == of[2] and of[3] == of[4] and of[5] == of[10]
     a, b = (set(media.chunks_of(media.payload_of(t)[0])) for t in texts[:2])
     assert len(a & b) > 0.8 * len(a)
     assert media.media_features(docs(spark, "a").limit(0)).count() == 0
@@ -333,33 +479,78 @@ def test_gear_chunks(data):
 # 9
 
 
-def test_url_rules_and_model(spark):
-    urls = ["https://A.Example.ORG/en/12?x=/es/", "http://example.org/es/1", "http://notexample.org/es/1", "http://x.com/fr/1", "http://com/de/2", "http://x.com/en", "http://casino-win.example.net/a", "http://gardenriver.example.net/a", None, "no scheme", "", "http://x.org", "http://casino-win.example.net/a"]
-    pages = spark.createDataFrame([(i, u, "h", "s") for i, u in enumerate(urls)], "page_id long, url string, html string, score string")
-    found = {r.page_id: r for r in urlfilter.judge(pages, urlfilter.seed_urls(spark)).collect()}
-    assert [found[i].rule for i in range(8)] == ["example.org/en/1", "example.org/es/", "org/", "com/fr/", "com/de/", None, None, None]
-    assert [found[i].verdict for i in (0, 1, 2, 3, 4, 6, 7, 12)] == ["block", "block", "allow", "allow", "block", "block", "allow", "block"]
-    assert (found[0].host, found[0].path) == ("a.example.org", "/en/12") and (found[8].host, found[9].path, found[11].path, found[11].rule) == ("", "", "", None)
-    assert len(found) == len(urls) and urlfilter.judge(pages.limit(0)).count() == 0
-    labelled = urlfilter.seed_urls(spark)
-    model = urlfilter.train(labelled.where(F.xxhash64("url") % 3 != 0))
-    held = model.score(urlfilter.with_parts(labelled.where(F.xxhash64("url") % 3 == 0))).collect()
-    assert np.mean([(r.score >= 0.5) == (r.label == 1) for r in held]) > 0.95
-    assert "Python" not in urlfilter.judge(pages, labelled)._jdf.queryExecution().executedPlan().toString()
-
-
-def test_url_seeds_have_no_giveaway(spark):
-    labelled = urlfilter.seed_urls(spark)
-    model = urlfilter.train(labelled)
-    rows = urlfilter.lexical_features(urlfilter.with_parts(labelled)).withColumn("suffix_rate", model._suffix_rate()).toPandas()
-    for feature in urlfilter.FEATURES:
-        right = [np.mean((rows[feature] > cut) == (rows.label == 1)) for cut in rows[feature].unique()]
-        assert max(*right, *(1 - r for r in right)) < 0.85, feature
-    # written by hand, with hosts that the seed set does not have
-    allow = ["http://my-school.net/", "https://xn--mnchen-3ya.de/", "https://en.wikipedia.com/wiki/Casino", "https://www.stack-overflow.com/questions/1234", "https://old-town-bakery.co/menu?day=3"]
-    block = ["https://cheapviagraonline.com/", "http://win-free-iphone24.click/", "http://bestcasinobonus.net/en?ref=1", "http://loan4you-cash.biz/apply/now", "http://pokerslots777.com/"]
-    scored = model.score(urlfilter.with_parts(spark.createDataFrame([(u,) for u in allow + block], "url string"))).collect()
-    assert {r.url for r in scored if r.score >= 0.5} == set(block)
+def brute_rule(url):
+    """The longest rule that fits, by string methods."""
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+    best = None
+    for said, rule in urlfilter.RULES:
+        at, slash, start = rule.partition("/")
+        if (host == at or host.endswith("." + at)) and path.startswith(slash + start) and (best is None or len(rule) > len(best[1])):
+            best = said, rule
+    return host, path, best[1] if best else None, best[0] if best else None
+
+
+def site_pages(rng, hosts):
+    """Pages of good hosts, hyphenated or not, and of bad ones: long random names with digits and queries. What they show tells them apart."""
+    rows, bad = [], []
+    for i in range(hosts):
+        wrong = i % 3 == 0
+        host = "".join(rng.choice("bcdfgxz0123456789") for _ in range(18)) if wrong else rng.choice(("-", "")).join(words(rng, rng.choice((1, 2))).split())
+        for n in range(8):
+            text = words(rng, 80)
+            text = " ".join(w + rng.choice(("$$$", "###", "%%%")) for w in text.split()) if wrong else text + "."
+            tail = f"?id={rng.randrange(10**9)}&s={rng.randrange(10**9)}" if wrong else ""
+            rows.append((len(rows), f"http://{host}.example.net/a/{n}{tail}", f"<html><style>p{{}}</style><p>{text}</p></html>"))
+            bad.append(int(wrong))
+    return rows, bad
+
+
+def url_tables(spark, path):
+    rng = random.Random(91)
+    rows, bad = site_pages(rng, 90)
+    odd = ["https://A.Example.ORG/en/12?x=/es/", "http://example.org/es/1", "http://notexample.org/es/1", "http://x.com/fr/1", "http://com/de/2", "http://x.com/en", None, "no scheme", "", "http://x.org", "HTTP://É.Example.org/es/?a://b", "http://example.org?/es/", "a://b://example.org/es/", "http://com\n/de/" + "x" * 50000, "http://x.org"]
+    rows += [(len(rows) + i, u, None if i % 2 else "") for i, u in enumerate(odd)]
+    spark.createDataFrame([(*r, "s") for r in rows], "page_id long, url string, html string, score string").write.parquet(f"{path}/pages.parquet")
+    texts = [words(rng, 60) + "." for _ in range(60)] + [" ".join(w + rng.choice(("$$$", "&&&", "***")) for w in words(rng, 60).split()) for _ in range(60)]
+    docs(spark, *texts).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return rows, bad
+
+
+def test_url_rules_and_trees_by_brute_force(spark, tmp_path):
+    rows, bad = url_tables(spark, tmp_path)
+    judged = queries.op9_url_filter(spark, str(tmp_path))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    found = {r.page_id: r for r in judged.collect()}
+    assert len(found) == len(rows)
+    for page, url, _ in rows:
+        r, (host, path, rule, said) = found[page], brute_rule(url)
+        assert (r.host, r.path, r.rule) == (host, path, rule), url
+        assert r.verdict == (said or ("block" if r.score >= 0.5 else "allow"))
+    assert all((found[i].verdict == "block") == bool(b) for i, b in enumerate(bad))
+    assert sum("-" in found[i].host for i, b in enumerate(bad) if not b) > 50  # hyphens are no reason to block
+    labelled = queries.url_labels(spark, str(tmp_path))
+    assert {(r.url, r.label) for r in labelled.collect()} == {(rows[i][1], b) for i, b in enumerate(bad)}
+    told = urlfilter.held_out(labelled)
+    assert told[1, 1] >= 0.9 * (told[1, 1] + told.get((1, 0), 0)) and told[1, 1] >= 0.9 * (told[1, 1] + told.get((0, 1), 0))
+
+
+def test_urls_without_labels_or_rows(spark, tmp_path):
+    url_tables(spark, tmp_path)
+    pages, documents, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("pages", "documents", "labels"))
+    labels = labels.withColumnRenamed("quality", "label")
+    none = urlfilter.labelled_pages(pages, documents, labels.where("label = 1"))
+    assert none.count() == 0 and none.columns == ["url", "label"]
+    assert {r.verdict for r in urlfilter.judge(pages, none).where("rule IS NULL").collect()} == {"allow"}
+    assert urlfilter.judge(pages.limit(0), none).count() == 0 == urlfilter.labelled_pages(pages.limit(0), documents, labels).count()
+    shown = spark.createDataFrame([("<p>a &amp;lt; b<!-- c --><script>d</script></p>",)], "html string").select(urlfilter.page_text(F.col("html")).alias("t")).first().t
+    assert shown.split() == ["a", "&lt;", "b"]
 
 
 # 10
