@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.llm import bpe, decontam, linededup, neardup, quality
-from lanewright.llm.common import free_name, materialize, table
+from lanewright.llm.common import free_name, materialize, table, tasks_for, without_keys
 from lanewright.llm.queries import vocabulary_text
 
 
@@ -39,12 +39,12 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     found = neardup.near_duplicates(keyed.select(rank.alias("doc_id"), "text"), neardup.NearDup(words=5, percent=80))
     found = found.where("n_shingles > 0").select(F.col("doc_id.key").alias(key), "kept")
-    found = materialize(found.groupBy(key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "copies", gather=True)
+    found = materialize(found.groupBy(key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "copies", tasks_for(docs, 0.1))
     others, repeated = found.where("NOT kept").select(key), found.where("kept AND rows > 1").select(key)
     if repeated.isEmpty():
-        return keyed.join(others, key, "left_anti").select(*docs.columns)
+        return without_keys(keyed, others, key).select(*docs.columns)
     once = keyed.join(repeated, key, "left_semi").dropDuplicates([key])
-    return keyed.join(others.unionByName(repeated), key, "left_anti").unionByName(once).select(*docs.columns)
+    return without_keys(keyed, others.unionByName(repeated), key).unionByName(once).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
