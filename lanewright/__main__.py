@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from lanewright.operators import roads, scene
 from lanewright.operators.config import PROFILES, CenterlineConfig, SceneConfig
+from lanewright.operators.kept import keep, kept
 from lanewright.sources import scenes
 
 
@@ -32,16 +33,18 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lanewright").getOrCreate()
     config = SceneConfig(profile=a.profile, bezier_samples=int(number(a.bezier, 10)))
-    nodes = scenes.read_scenes(spark, a.path).persist()
-    objects = scene.scene_objects(nodes, scenes.read_cache(spark, a.cache), config).persist()
-    scenes.summary(objects).show(truncate=False)
-    scenes.quarantine(nodes).show(truncate=False)
-    if a.json:
-        scenes.write_json(objects, a.json)
-    if a.centerlines:
-        low, high = number(a.road_width[0], 5.0), number(a.road_width[1], 15.0)
-        lines = roads.centerlines(objects.where("category = 'roadway'"), CenterlineConfig.for_profile(a.profile, min_width=low, max_width=high))
-        scenes.write_json(lines["centerlines"], a.centerlines)
+    with kept():
+        nodes = keep(scenes.read_scenes(spark, a.path))
+        objects = keep(scene.scene_objects(nodes, scenes.read_cache(spark, a.cache), config))
+        scenes.summary(objects).show(truncate=False)
+        scenes.quarantine(nodes).show(truncate=False)
+        if a.json:
+            scenes.write_json(scenes.scene_documents(objects), a.json)
+        if a.centerlines:
+            low, high = number(a.road_width[0], 5.0), number(a.road_width[1], 15.0)
+            lines = roads.centerlines(objects.where("category = 'roadway'"), CenterlineConfig.for_profile(a.profile, min_width=low, max_width=high))
+            scenes.write_json(lines["centerlines"], a.centerlines)
+            roads.width_range(lines["centerlines"]).show()
 
 
 if __name__ == "__main__":

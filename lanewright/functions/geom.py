@@ -317,27 +317,35 @@ def box_corners(o: ColumnLike) -> Column:
     return F.array(*(corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
 
 
-def box_extent(o: ColumnLike, ax: Column, ay: Column) -> Column:
-    """Half the length of the box's shadow on a unit axis."""
+def turned_box(o: ColumnLike) -> Column:
+    """The box with the cosine and sine of its angle and half the width and height of its upright bounds: worked out
+    once a box, for the tests of pairs below."""
     o = _c(o)
     c, s = F.cos(o["angle"]), F.sin(o["angle"])
-    return F.abs(c * ax + s * ay) * o["hw"] + F.abs(c * ay - s * ax) * o["hh"]
+    ex, ey = F.abs(c) * o["hw"] + F.abs(s) * o["hh"], F.abs(s) * o["hw"] + F.abs(c) * o["hh"]
+    return F.struct(*(o[k].alias(k) for k in ("cx", "cy", "hw", "hh")), c.alias("c"), s.alias("s"), ex.alias("ex"), ey.alias("ey"))
+
+
+def box_extent(o: ColumnLike, ax: Column, ay: Column) -> Column:
+    """Half the length of a turned box's shadow on a unit axis."""
+    o = _c(o)
+    return F.abs(o["c"] * ax + o["s"] * ay) * o["hw"] + F.abs(o["c"] * ay - o["s"] * ax) * o["hh"]
 
 
 def boxes_touch(p: ColumnLike, q: ColumnLike) -> Column:
-    """Separating axes: on each of the four, the centres are no further apart than the shadows reach."""
+    """Separating axes of turned boxes: on each of the four, the centres are no further apart than the shadows reach."""
     p, q = _c(p), _c(q)
     dx, dy = q["cx"] - p["cx"], q["cy"] - p["cy"]
     out = F.lit(True)
     for o in (p, q):
-        c, s = F.cos(o["angle"]), F.sin(o["angle"])
-        for ax, ay in ((c, s), (-s, c)):
+        for ax, ay in ((o["c"], o["s"]), (-o["s"], o["c"])):
             out = out & ~(F.abs(dx * ax + dy * ay) > box_extent(p, ax, ay) + box_extent(q, ax, ay))
     return out
 
 
 def penetration(p: ColumnLike, q: ColumnLike) -> Column:
-    """Overlap of the shadows on the axis between the centres, at least 0; of concentric boxes both half diagonals."""
+    """Overlap of turned boxes' shadows on the axis between the centres, at least 0; of concentric ones both half
+    diagonals."""
     p, q = _c(p), _c(q)
     dx, dy = q["cx"] - p["cx"], q["cy"] - p["cy"]
     d = length_of(dx, dy)
@@ -386,13 +394,17 @@ def edge_score(p: ColumnLike, q: ColumnLike, distance_weight: float = 1.0, angle
     return d * (distance_weight + angle_weight * align + 0.5 * angle_weight * turn)
 
 
-def bezier_between(p: ColumnLike, theta_p: ColumnLike, q: ColumnLike, theta_q: ColumnLike, factor: float | Column = 0.4, n: int = 50) -> Column:
-    """A cubic from one lane end to another; handles stand back from the outward headings by ``factor`` of the gap."""
+def bezier_handles(p: ColumnLike, theta_p: ColumnLike, q: ColumnLike, theta_q: ColumnLike, factor: float | Column = 0.4) -> Column:
+    """The handles of a cubic from one lane end to another: back from the outward headings by ``factor`` of the gap."""
     p, q, a, b = map(_c, (p, q, theta_p, theta_q))
     d = distance(p, q) * factor
-    c1 = point(p["x"] - d * F.cos(a), p["y"] - d * F.sin(a))
-    c2 = point(q["x"] + d * F.cos(b), q["y"] + d * F.sin(b))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: cubic_bezier(p, c1, c2, q, i.cast("double") / (n - 1)))
+    return F.struct(point(p["x"] - d * F.cos(a), p["y"] - d * F.sin(a)).alias("c1"), point(q["x"] + d * F.cos(b), q["y"] + d * F.sin(b)).alias("c2"))
+
+
+def bezier_between(p: ColumnLike, theta_p: ColumnLike, q: ColumnLike, theta_q: ColumnLike, factor: float | Column = 0.4, n: int = 50) -> Column:
+    """A cubic from one lane end to another, as ``n`` points."""
+    h = bezier_handles(p, theta_p, q, theta_q, factor)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: cubic_bezier(p, h["c1"], h["c2"], q, i.cast("double") / (n - 1)))
 
 
 def end_heading(verts: ColumnLike, at_start: bool) -> Column:

@@ -56,6 +56,17 @@ def by_keywords(missing: DataFrame) -> DataFrame:
     return missing.select("name", (kind == "vehicle").alias("is_vehicle"), kind.alias("predicted_class"), p.alias("predicted_probability"))
 
 
+def from_scores(scores: DataFrame) -> DataFrame:
+    """name, is_vehicle, predicted_class, predicted_probability of each name: its label of the highest score.
+
+    ``scores``: name, label, score, as a text classifier gives them for any set of labels. Of equal scores the label that
+    comes first counts; null scores and labels do not. A name without a score has no row.
+    """
+    best = scores.where("score IS NOT NULL AND label IS NOT NULL").groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("least"), "label")).alias("_b"))
+    kind, p = F.col("_b.label"), -F.col("_b.least")
+    return best.select("name", is_vehicle(kind, p).alias("is_vehicle"), kind.alias("predicted_class"), p.alias("predicted_probability"))
+
+
 def classify_names(names: DataFrame, cache: DataFrame, classifier: Callable[[DataFrame], DataFrame] = by_keywords) -> DataFrame:
     """The cache extended by what ``classifier`` says of its misses: each distinct name is classified once."""
     columns = ["name", "is_vehicle", "predicted_class", "predicted_probability"]

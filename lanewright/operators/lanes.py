@@ -41,6 +41,7 @@ def at_intersections(endpoints: DataFrame, radius: float = 20.0) -> DataFrame:
 def build_prompt(endpoints: DataFrame, at: DataFrame) -> DataFrame:
     """scene_id, prompt: the marked ends of each scene with lane and heading, and what is asked of the responder."""
     degrees = F.pmod(F.degrees("heading"), F.lit(360.0))
+    # the marker lines and the names of the turn types are fixed values: responders are asked in these words
     line = F.format_string("  - Marker %d: Lane %d, heading %.0f°", F.col("id"), F.col("lane_idx"), degrees)
     marked = endpoints.join(at, ["scene_id", "id"], "left_semi").groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("id", line.alias("said")))).alias("_l"))
     head = "The picture is a road intersection: lane centerlines are blue, lane ends carry numbered red markers, and yellow arrows point into the intersection.\n\nMarkers:\n"
@@ -51,6 +52,17 @@ def build_prompt(endpoints: DataFrame, at: DataFrame) -> DataFrame:
     return marked.select("scene_id", F.concat(F.lit(head), F.array_join(F.transform("_l", lambda r: r["said"]), "\n"), F.lit(task)).alias("prompt"))
 
 
+def annotations(lanes: DataFrame, endpoints: DataFrame, at: DataFrame, arrow: float = 5.0) -> DataFrame:
+    """scene_id, layer, id, path, text: what a picture for the responder shows: lanes as lines, and for each end at an
+    intersection a numbered marker and an arrow along its heading."""
+    shown = endpoints.join(at, ["scene_id", "id"], "left_semi")
+    p = geom.point("x", "y")
+    tip = geom.point(F.col("x") + arrow * F.cos("heading"), F.col("y") + arrow * F.sin("heading"))
+    lines = lanes.select("scene_id", F.lit("lane").alias("layer"), F.col("lane_idx").alias("id"), F.col("verts").alias("path"), F.lit(None).cast("string").alias("text"))
+    markers = shown.select("scene_id", F.lit("marker").alias("layer"), "id", F.array(p).alias("path"), F.col("id").cast("string").alias("text"))
+    return lines.unionByName(markers).unionByName(shown.select("scene_id", F.lit("arrow").alias("layer"), "id", F.array(p, tip).alias("path"), F.lit(None).cast("string").alias("text")))
+
+
 def parse_connections(responses: DataFrame, column: str = "response") -> DataFrame:
     """The responses' columns with from_id, to_id, confidence: the first array up to the first closing bracket.
 
@@ -107,28 +119,63 @@ def _inside(p: Column, verts: Column) -> Column:
     return F.size(F.filter(geom.pairs(ring), meets)) % 2 == 1
 
 
-def curve_hits_polygon(curve: Column, verts: Column) -> Column:
-    """Whether a polyline crosses a polygon's edge or starts inside it."""
-    ring = geom.pairs(F.concat(verts, F.slice(verts, 1, 1)))
-    crosses = F.exists(geom.pairs(curve), lambda e: F.exists(ring, lambda r: geom.segments_cross(e["p"], e["q"], r["p"], r["q"])))
-    return crosses | _inside(F.get(curve, F.lit(0)), verts)
+def _edges(polygons: DataFrame) -> DataFrame:
+    """scene_id, poly, x1, y1, x2, y2 of polygons' edges, the closing one too."""
+    ring = F.concat("verts", F.slice("verts", 1, 1))
+    rows = polygons.select("scene_id", "poly", F.explode(geom.pairs(ring)).alias("e"))
+    return rows.select("scene_id", "poly", *(F.col(f"e.{p}.{k}").alias(f"{k}{n}") for p, n in (("p", 1), ("q", 2)) for k in "xy"))
+
+
+def _upright(x1: str, y1: str, x2: str, y2: str) -> Column:
+    return F.struct(F.least(x1, x2).alias("x0"), F.least(y1, y2).alias("y0"), F.greatest(x1, x2).alias("x1"), F.greatest(y1, y2).alias("y1"))
+
+
+def _met(pieces: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """scene_id, keys, poly: the polygons whose edges the pieces (scene_id, keys, ax, ay, bx, by) of a curve cross."""
+    left = pieces.withColumn("_box", _upright("ax", "ay", "bx", "by"))
+    right = _edges(polygons).withColumn("_bounds", _upright("x1", "y1", "x2", "y2"))
+    near = spatial.overlapping(left, right, "scene_id", "_box", "_bounds")
+    hit = geom.segments_cross(geom.point("ax", "ay"), geom.point("bx", "by"), geom.point("x1", "y1"), geom.point("x2", "y2"))
+    return near.where(hit).select("scene_id", *keys, "poly").distinct()
+
+
+def _around(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
+    """scene_id, keys, poly: the polygons that hold the points (scene_id, keys, x, y)."""
+    at = points.withColumn("_box", _upright("x", "y", "x", "y"))
+    bounds = geom.bbox("verts")
+    held = polygons.withColumn("_bounds", F.struct(*(bounds[n].alias(k) for n, k in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1")))))
+    near = spatial.overlapping(at, held, "scene_id", "_box", "_bounds")
+    return near.where(_inside(geom.point("x", "y"), F.col("verts"))).select("scene_id", *keys, "poly")
 
 
 def connection_curves(connections: DataFrame, endpoints: DataFrame, polygons: DataFrame, tries: int = 10, points: int = 50, low: float = 0.2, high: float = 0.8, straight: bool = False) -> DataFrame:
-    """Each connection's curve and whether it is free: the first try that meets no polygon, else the one that meets fewest."""
+    """Each connection's curve and whether it is free: the first try that meets no polygon, else the one that meets fewest.
+
+    A curve meets a polygon if it crosses one of its edges or starts inside it. Pieces of curves meet polygons' edges in
+    cells, so a curve is held against what lies beside it, not against all of its scene.
+    """
     end = lambda k: endpoints.select("scene_id", F.col("id").alias(f"{k}_id"), geom.point("x", "y").alias(f"_{k}"), F.col("heading").alias(f"_{k}_heading"))
-    rows = connections.join(end("from"), ["scene_id", "from_id"]).join(end("to"), ["scene_id", "to_id"])
+    once = connections.groupBy("scene_id", "from_id", "to_id").agg(F.min("confidence").alias("confidence"))
+    rows = once.join(end("from"), ["scene_id", "from_id"]).join(end("to"), ["scene_id", "to_id"])
     factor = F.lit(low) + F.col("try") * ((high - low) / max(1, tries - 1))
-    rows = rows.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    curve = geom.bezier_between("_from", "_from_heading", "_to", "_to_heading", factor, points)
+    tried = rows.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(0 if straight else tries - 1))))
+    pair, keys = ["from_id", "to_id"], ["from_id", "to_id", "try"]
     if straight:
-        rows, curve = rows.where("try = 0"), F.array("_from", "_to")
-    rows = rows.withColumn("curve", curve)
-    keys = ["scene_id", "from_id", "to_id", "try"]
-    hits = rows.join(polygons.withColumnRenamed("verts", "_verts"), "scene_id").where(curve_hits_polygon(F.col("curve"), F.col("_verts"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counted = rows.join(hits, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    best = counted.groupBy("scene_id", "from_id", "to_id").agg(F.min(F.struct("_n", "try", "curve", "confidence")).alias("_b"))
-    return best.select("scene_id", "from_id", "to_id", F.col("_b.confidence").alias("confidence"), F.col("_b.curve").alias("curve"), (F.col("_b._n") == 0).alias("free"))
+        pieces = tried.select("scene_id", *keys, F.col("_from").alias("a"), F.col("_to").alias("b"))
+    else:
+        handles = geom.bezier_handles("_from", "_from_heading", "_to", "_to_heading", factor)
+        steps = tried.select("scene_id", *keys, "_from", "_to", handles.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(points - 2))).alias("i"))
+        at = lambda i: geom.cubic_bezier("_from", "h.c1", "h.c2", "_to", i.cast("double") / (points - 1))
+        pieces = steps.select("scene_id", *keys, at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b"))
+    pieces = pieces.select("scene_id", *keys, *(F.col(f"{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
+    inside = _around(rows.select("scene_id", *pair, F.col("_from.x").alias("x"), F.col("_from.y").alias("y")), polygons, pair)
+    inside = inside.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(0 if straight else tries - 1)))).select("scene_id", *keys, "poly")
+    hits = _met(pieces, polygons, keys).union(inside).distinct().groupBy("scene_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = tried.select("scene_id", *keys).join(hits, ["scene_id", *keys], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    best = counted.groupBy("scene_id", *pair).agg(F.min(F.struct("_n", "try")).alias("_b"))
+    chosen = rows.join(best, ["scene_id", *pair]).withColumn("try", F.col("_b.try"))
+    curve = F.array("_from", "_to") if straight else geom.bezier_between("_from", "_from_heading", "_to", "_to_heading", factor, points)
+    return chosen.select("scene_id", *pair, "confidence", curve.alias("curve"), (F.col("_b._n") == 0).alias("free"))
 
 
 def free_share(curves: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lanewright.functions import geom, kernels
 from lanewright.operators import spatial
 from lanewright.operators.config import CenterlineConfig
+from lanewright.operators.kept import keep
 from lanewright.plans.grouped import map_groups
 
 
@@ -92,8 +93,8 @@ def parallel_triangles(cornered: DataFrame, edges: DataFrame, config: Centerline
 
 def judged_triangles(points: DataFrame, edges: DataFrame, config: CenterlineConfig, triangles: DataFrame | None = None) -> DataFrame:
     """Triangles with size, crowded, parallel and the first test that rejects each (null: none)."""
-    triangles = triangulate(points) if triangles is None else triangles
-    cornered = with_corners(triangles, points)
+    triangles = keep(triangulate(points) if triangles is None else triangles, "triangles")
+    cornered = keep(with_corners(triangles, points), "cornered")
     size = F.col("longest") if config.by_longest_edge else F.col("width")
     cornered = cornered.withColumn("size", size)
     crowded = crowded_triangles(triangles, config.cluster_threshold).withColumn("crowded", F.lit(True))
@@ -171,7 +172,8 @@ def connect_midpoints(mids: DataFrame, config: CenterlineConfig, scene: str = "s
     return map_groups(rows, [scene], ["i"], work, f"{scene} {kind}, line long, ord long, i long")
 
 
-def _normals(points: DataFrame, keys: list[str]) -> DataFrame:
+def normals(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Add _nx, _ny: unit normals by central differences inside a line and one-sided ones at its ends."""
     w = Window.partitionBy(*keys).orderBy("ord")
     side = lambda k: F.coalesce(F.lead(k).over(w), F.col(k)) - F.coalesce(F.lag(k).over(w), F.col(k))
     t = points.withColumn("_tx", side("x")).withColumn("_ty", side("y"))
@@ -182,7 +184,7 @@ def _normals(points: DataFrame, keys: list[str]) -> DataFrame:
 def split_wide(lines: DataFrame, two: float, three: float, keys: list[str]) -> DataFrame:
     """Lines (keys, ord, x, y, width) of a median width of ``two`` in two lanes, of ``three`` in three; adds lane."""
     median = lines.groupBy(*keys).agg(F.median("width").alias("_median"))
-    rows = _normals(lines, keys).join(median, keys)
+    rows = normals(lines, keys).join(median, keys)
     share = F.when(F.col("_median") >= three, 3).when(F.col("_median") >= two, 2).otherwise(1)
     offsets = F.when(share == 3, F.array(*map(F.lit, (1 / 3, 0.0, -1 / 3)))).when(share == 2, F.array(F.lit(0.25), F.lit(-0.25))).otherwise(F.array(F.lit(0.0)))
     rows = rows.withColumn("_share", share).select("*", F.posexplode(offsets).alias("lane", "_o"))
@@ -206,16 +208,21 @@ def smooth(lines: DataFrame, half: int, max_width: float, keys: list[str]) -> Da
 def centerlines(roadway: DataFrame, config: CenterlineConfig = CenterlineConfig()) -> dict[str, DataFrame]:
     """From roadway objects (scene_id, ord, verts): centerlines (scene_id, line, lane, ord, x, y, width), skeleton,
     midpoints and triangles."""
-    edges, points = road_edges(roadway), road_points(roadway, config.resample_step)
-    judged = judged_triangles(points, edges, config).persist()
-    links = skeleton(judged, edges, config).persist()
-    mids = midpoints(links)
-    walked = connect_midpoints(mids, config).join(mids, ["scene_id", "i"]).drop("i")
+    edges, points = keep(road_edges(roadway), "edges"), keep(road_points(roadway, config.resample_step), "points")
+    judged = keep(judged_triangles(points, edges, config), "judged")
+    links = keep(skeleton(judged, edges, config), "skeleton")
+    mids = keep(midpoints(links), "midpoints")
+    walked = keep(connect_midpoints(mids, config).join(mids, ["scene_id", "i"]).drop("i"), "walks")
     lanes = split_wide(walked, config.split_two, config.split_three, ["scene_id", "line"]) if config.split else walked.withColumn("lane", F.lit(0))
     done = smooth(lanes, config.smooth, config.max_width, ["scene_id", "line", "lane"])
     return {"centerlines": done, "skeleton": links, "midpoints": mids, "triangles": judged}
 
 
+def width_range(lines: DataFrame) -> DataFrame:
+    """The least and the largest width of all centerline points: what a colour scale spans."""
+    return lines.agg(F.min("width").alias("least"), F.max("width").alias("largest"))
+
+
 def stats(found: dict[str, DataFrame], points: DataFrame) -> DataFrame:
     """A row a scene: points, triangles, valid ones, rejections by reason, links, midpoints, lines and their length."""
     t = found["triangles"].groupBy("scene_id").agg(

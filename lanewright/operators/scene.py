@@ -1,34 +1,37 @@
 """Scene trees to flat objects: transforms and names go down the tree, boxes and styles come up it.
 
 A node carries the path of its ancestors, so transforms and names of any depth come from one join and one grouping.
-Trees that are mere adjacency lists go level by level (:func:`compose_down`). Document order (``ord``) is carried
+In trees that are mere adjacency lists products double their reach (:func:`compose_down`). Document order (``ord``) is carried
 everywhere and decides ties.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions import geom
 from lanewright.operators import classify, spatial
 from lanewright.operators.config import SceneConfig
+from lanewright.operators.kept import keep
+from lanewright.sources.shared import discard, materialize
 
 
-def compose_down(nodes: DataFrame, scene: list[str], most_levels: int = 64) -> DataFrame:
+def compose_down(nodes: DataFrame, scene: list[str]) -> DataFrame:
     """Add world, the product of the local transforms from the root down; nodes have node, parent, local.
 
-    A join a level; each level is kept, so that the next one and the test for its emptiness do not repeat those above.
+    Each round doubles how far up a node's product reaches, so the number of joins grows with the logarithm of the
+    depth. Nodes without a root above them have no row; nodes that hang on themselves raise.
     """
-    done = nodes.where("parent IS NULL").withColumn("world", F.col("local"))
-    level, rest = done, nodes.where("parent IS NOT NULL")
-    for _ in range(most_levels):
-        above = level.select(*scene, F.col("node").alias("parent"), F.col("world").alias("_above"))
-        level = rest.join(above, [*scene, "parent"]).withColumn("world", geom.compose("_above", "local")).drop("_above").select(done.columns).persist()
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError(f"a tree is deeper than {most_levels} levels")
+    state = materialize(nodes.withColumn("world", F.col("local")).withColumn("_up", F.col("parent")), "tree")
+    for _ in range(64):
+        if state.where("_up IS NOT NULL").isEmpty():
+            return state.drop("_up")
+        above = state.select(*scene, F.col("node").alias("_up"), F.col("world").alias("_above"), F.col("_up").alias("_next"))
+        rest = state.where("_up IS NOT NULL").join(above, [*scene, "_up"]).withColumn("world", geom.compose("_above", "world"))
+        before, state = state, materialize(state.where("_up IS NULL").unionByName(rest.drop("_up", "_above").withColumnRenamed("_next", "_up")), "tree")
+        discard(before)
+    raise ValueError("nodes hang on themselves")
 
 
 def _number(attribute: str, default: float) -> Column:
@@ -118,7 +121,7 @@ def primitives(placed: DataFrame, config: SceneConfig) -> DataFrame:
     floats = [line(k).try_cast("double").alias(k) for k in ("lt", "thickness", "dshlen", "dshspc", "lnspc", "extrude", "dotradius", "dotspacing", "arrowsize")]
     flags = [_flag(line(k), False).alias(k) for k in ("dotfilled", "arrowshows", "arrowshowe")]
     # kept, as the optimizer would push the filter below and repeat every curve in it
-    shaped = items.withColumn("verts", verts).drop("_anchors", "_controls", "_curve").persist()
+    shaped = keep(items.withColumn("verts", verts).drop("_anchors", "_controls", "_curve"))
     out = shaped.where("size(verts) > 0").withColumn("center", geom.mean_point("verts"))
     return out.select(
         "scene_id", "node", "parent", "ord", "type", "name", "layer", "in_symbol", "verts", geom.apply_affine_all("world", "verts").alias("tverts"), "center",
@@ -132,7 +135,7 @@ def symbols(placed: DataFrame, parts: DataFrame, config: SceneConfig) -> DataFra
 
     An empty symbol has an empty box and no centre (rs drops it).
     """
-    own = placed.where("type = 'symbol'").select("scene_id", "node", "parent", "ord", "name", "layer", "depth", "in_symbol", F.col("world").alias("transform"), _flag(F.col("attrs")["vehicle2d"], config.profile == "rs").alias("vehicle2d"))
+    own = placed.where("type = 'symbol'").select("scene_id", "node", "parent", "ord", "name", "layer", "depth", "path", "in_symbol", F.col("world").alias("transform"), _flag(F.col("attrs")["vehicle2d"], config.profile == "rs").alias("vehicle2d"))
     sides = ("xmin", "ymin", "xmax", "ymax")
     held = parts.where("in_symbol").select("scene_id", "node", *(F.col(f"bbox.{k}").alias(k) for k in sides), "dashed")
     up = placed.where("tag = 'item' AND type <> 'symbol'").select("scene_id", "node", F.explode("path").alias("holder"))
@@ -165,18 +168,22 @@ def classified_symbols(found: DataFrame, cache: DataFrame, config: SceneConfig,
 
 
 def _from_nested(found: DataFrame, config: SceneConfig) -> DataFrame:
-    """Undecided symbols are vehicles if one that they hold is; deepest first, the first in document order names the class."""
-    deepest = found.where("in_symbol").agg(F.max("depth")).first()[0] or 0
-    for depth in range(deepest, 2, -1):  # a symbol in a symbol lies below scene and layer
-        inner = found.where((F.col("depth") == depth) & F.col("is_vehicle") & F.col("in_symbol"))
-        best = inner.groupBy("scene_id", F.col("parent").alias("node")).agg(F.min(F.struct("ord", "predicted_class", "predicted_probability")).alias("_b"))
-        take = F.col("is_vehicle").isNull() & F.col("_b").isNotNull()
-        found = found.join(best, ["scene_id", "node"], "left").select(
-            *(c for c in found.columns if c not in ("is_vehicle", "predicted_class", "predicted_probability")),
-            F.when(take, True).otherwise(F.col("is_vehicle")).alias("is_vehicle"),
-            F.coalesce("predicted_class", F.col("_b.predicted_class")).alias("predicted_class"),
-            F.coalesce("predicted_probability", F.col("_b.predicted_probability")).alias("predicted_probability"),
-        )
+    """Undecided symbols are vehicles if one that they hold is, and have its class: the first in document order that has
+    only undecided symbols between. All depths at once, by the paths that symbols carry."""
+    holders = found.select("scene_id", F.col("node").alias("holder"), F.col("depth").alias("_depth"), F.col("is_vehicle").isNull().alias("_open"), F.col("in_symbol").alias("_inner"))
+    held = found.where("is_vehicle AND in_symbol").select("scene_id", "node", "ord", "predicted_class", "predicted_probability", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("holder"))
+    above = held.join(holders, ["scene_id", "holder"])
+    stops = F.when(~F.col("_open"), F.col("_depth")).when(~F.col("_inner"), F.col("_depth") - 1)  # a decided symbol, or what holds an outermost one
+    last = F.max(stops).over(Window.partitionBy("scene_id", "node"))
+    reached = above.withColumn("_last", last).where("_open AND _depth > coalesce(_last, -1)")
+    best = reached.groupBy("scene_id", F.col("holder").alias("node")).agg(F.min(F.struct("ord", "predicted_class", "predicted_probability")).alias("_b"))
+    take = F.col("is_vehicle").isNull() & F.col("_b").isNotNull()
+    found = found.join(best, ["scene_id", "node"], "left").select(
+        *(c for c in found.columns if c not in ("is_vehicle", "predicted_class", "predicted_probability")),
+        F.when(take, True).otherwise(F.col("is_vehicle")).alias("is_vehicle"),
+        F.when(take, F.coalesce("predicted_class", F.col("_b.predicted_class"))).otherwise(F.col("predicted_class")).alias("predicted_class"),
+        F.when(take, F.coalesce("predicted_probability", F.col("_b.predicted_probability"))).otherwise(F.col("predicted_probability")).alias("predicted_probability"),
+    )
     rest = ("background", 0.5) if config.profile == "rs" else (None, None)
     return found.withColumns({
         "predicted_class": F.coalesce("predicted_class", F.lit(rest[0])), "predicted_probability": F.coalesce("predicted_probability", F.lit(rest[1]).cast("double")),
@@ -211,8 +218,8 @@ def scene_objects(nodes: DataFrame, cache: DataFrame, config: SceneConfig = Scen
 
     Objects are the symbols and primitives that no symbol holds; ``ord`` is the document order.
     """
-    placed = placed_nodes(nodes, config).persist()
-    parts = primitives(placed, config).persist()
+    placed = keep(placed_nodes(nodes, config))
+    parts = keep(primitives(placed, config))
     found = classified_symbols(symbols(placed, parts, config), cache, config, classifier)
     top = found.where("NOT in_symbol")
     top = top.withColumn("category", classify.symbol_category(F.col("is_vehicle"), F.col("predicted_class"), F.col("predicted_probability"), config.profile == "rs"))
@@ -221,4 +228,4 @@ def scene_objects(nodes: DataFrame, cache: DataFrame, config: SceneConfig = Scen
     texts = associated_texts(vehicles, loose.where("category = 'texts'"), parts, config)
     none = F.array().cast("array<string>")
     top = top.join(texts, ["scene_id", "ord"], "left").withColumn("type", F.lit("symbol")).withColumn("associated_text", F.when(F.col("category") == "vehicles", F.coalesce("associated_text", none)))
-    return top.drop("depth").unionByName(loose, allowMissingColumns=True)
+    return top.drop("depth", "path").unionByName(loose, allowMissingColumns=True)

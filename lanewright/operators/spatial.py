@@ -62,3 +62,32 @@ def crossing_pairs(left: DataFrame, right: DataFrame, scene: list[str], cell: fl
     both = dealt(left, "l").join(dealt(right, "r"), [*scene, "_gx", "_gy"])
     hit = geom.segments_cross(F.col("_l.p"), F.col("_l.q"), F.col("_r.p"), F.col("_r.q"))
     return both.where(hit).select(*scene, "l", "r").distinct()
+
+
+def overlapping(left: DataFrame, right: DataFrame, scene: str, left_box: str, right_box: str) -> DataFrame:
+    """Rows of left and right of one scene whose upright boxes (struct x0, y0, x1, y1) overlap or touch, with all columns.
+
+    A row is dealt to the cells that its box touches. A scene's cells have the mean size of its boxes, or a 16th of the
+    largest if that is more, so one long box costs it some hundred cells and other scenes nothing. Two boxes meet in the
+    first cell that they share. Boxes without finite bounds overlap nothing. Names of columns must differ, but for scene.
+    """
+
+    def size(b: str) -> Column:
+        return F.greatest(F.col(f"{b}.x1") - F.col(f"{b}.x0"), F.col(f"{b}.y1") - F.col(f"{b}.y0"))
+
+    finite = lambda b: sum((F.abs(f"{b}.{k}") for k in ("x0", "y0", "x1", "y1")), F.lit(0.0)) < float("inf")
+    left, right = left.where(finite(left_box)), right.where(finite(right_box))
+    sizes = left.select(scene, size(left_box).alias("_size")).unionByName(right.select(scene, size(right_box).alias("_size")))
+    cells = sizes.groupBy(scene).agg(F.greatest(F.avg("_size"), F.max("_size") / 16, F.lit(1e-6)).alias("_cell"))
+
+    def dealt(df: DataFrame, b: str, side: str) -> DataFrame:
+        slack = 1e-9 * (F.abs(f"{b}.x0") + F.abs(f"{b}.x1") + F.abs(f"{b}.y0") + F.abs(f"{b}.y1"))  # rounding must not part boxes that touch
+        cell = lambda v: F.floor(v / F.col("_cell")).cast("long")
+        rows = df.join(cells, scene)
+        for k in "xy":
+            rows = rows.withColumn(f"_{side}{k}", cell(F.col(f"{b}.{k}0") - slack)).withColumn(f"_g{k}", F.explode(F.sequence(f"_{side}{k}", cell(F.col(f"{b}.{k}1") + slack))))
+        return rows.drop("_cell")
+
+    met = dealt(left, left_box, "l").join(dealt(right, right_box, "r"), [scene, "_gx", "_gy"])
+    first = (F.col("_gx") == F.greatest("_lx", "_rx")) & (F.col("_gy") == F.greatest("_ly", "_ry"))
+    return met.where(first).drop("_gx", "_gy", "_lx", "_ly", "_rx", "_ry")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanewright.functions import geom, kernels
 from lanewright.operators import spatial
+from lanewright.operators.kept import keep
 from lanewright.plans.grouped import map_groups
 
 DIGITS = r"^\s*\d+\s*$"
@@ -35,12 +36,11 @@ def order_poses(poses: DataFrame, keys: list[str], kinds: list[str], exact: int
     def work(key: tuple, c: dict[str, np.ndarray]):
         at = np.column_stack([c["x"], c["y"], c["theta"]])
         if collided is None:
-            pair = kernels.edge_scores(at)
-            order, score = kernels.cheapest_order(kernels.pair_cost(pair), pair, exact)
+            steps = kernels.edge_scores(at)
+            order, score = kernels.cheapest_order(steps, steps, exact)
         else:
             hit = c[collided][0]
-            cost, pair = kernels.crash_cost(at, set() if hit is None else {int(i) for i in hit})
-            order, score = kernels.cheapest_order(cost, pair, exact)
+            order, score = kernels.cheapest_order(*kernels.crash_cost(at, set() if hit is None else {int(i) for i in hit}), exact)
         return [(*key, k, int(c["ord"][i]), float(score)) for k, i in enumerate(order)]
 
     columns = [*keys, "ord", "x", "y", "theta", *([collided] if collided else [])]
@@ -48,21 +48,17 @@ def order_poses(poses: DataFrame, keys: list[str], kinds: list[str], exact: int
     return map_groups(poses.select(*columns), keys, ["ord"], work, schema)
 
 
-def collisions(placed: DataFrame, scene: str = "scene_id", label: str = "label", reach: float | None = None) -> DataFrame:
+def collisions(placed: DataFrame, scene: str = "scene_id", label: str = "label") -> DataFrame:
     """scene, label1, label2, idx1, idx2, penetration of touching boxes of different vehicles; placed has label, pos, box.
 
-    Boxes touch only within twice the largest half diagonal, which a first small query finds: the grid's cell.
+    Boxes meet by the cells that their upright bounds touch, and bring all that the test needs.
     """
-    if reach is None:
-        top = placed.agg(F.max(geom.length_of(F.col("box.hw"), F.col("box.hh")))).first()[0]
-        reach = max(2 * top * (1 + 1e-9), 1e-6) if top is not None and np.isfinite(top) else 1.0
-    key = F.struct(label, "pos")
-    points = placed.select(scene, key.alias("i"), F.col("box.cx").alias("x"), F.col("box.cy").alias("y"))
-    near = spatial.radius_pairs(points, [scene], reach).where(F.col(f"i.{label}") < F.col(f"j.{label}"))
-    boxes = placed.select(scene, key.alias("i"), F.col("box").alias("b1"))
-    both = near.join(boxes, [scene, "i"]).join(boxes.select(scene, F.col("i").alias("j"), F.col("b1").alias("b2")), [scene, "j"])
-    hit = both.where(geom.boxes_touch("b1", "b2"))
-    return hit.select(scene, F.col(f"i.{label}").alias("label1"), F.col(f"j.{label}").alias("label2"), F.col("i.pos").alias("idx1"), F.col("j.pos").alias("idx2"), geom.penetration("b1", "b2").alias("penetration"))
+    boxes = placed.select(scene, F.col(label).alias("label"), "pos", geom.turned_box("box").alias("b"))
+    bounds = F.struct(*((F.col(f"b.c{k}") + sign * F.col(f"b.e{k}")).alias(f"{k}{i}") for i, sign in ((0, -1), (1, 1)) for k in "xy"))
+    side = lambda k: boxes.select(scene, F.col("label").alias(f"label{k}"), F.col("pos").alias(f"idx{k}"), F.col("b").alias(f"b{k}"), bounds.alias(f"bounds{k}"))
+    met = spatial.overlapping(side(1), side(2), scene, "bounds1", "bounds2").where("label1 < label2")
+    hit = met.where(geom.boxes_touch("b1", "b2"))
+    return hit.select(scene, "label1", "label2", "idx1", "idx2", geom.penetration("b1", "b2").alias("penetration"))
 
 
 def _sides(found: DataFrame, scene: str) -> DataFrame:
@@ -124,16 +120,16 @@ def chronology(vehicles: DataFrame, pre_crash_only: bool = False, strict: bool =
 
     Scenes with an unlabelled vehicle go to ``quarantine`` (or raise, if ``strict``). When vehicles are ordered again
     around their collisions, positions of the first order are applied to the document order, as upstream does;
-    ``fixed`` applies them to the poses that they mean.
+    ``fixed`` applies them to the poses that they mean. Tables that are read twice are kept (see ``operators.kept``).
     """
     bad = unlabelled(vehicles)
     if strict and (row := bad.first()):
         raise ValueError(f"{row.scene_id}: {row.error}")
-    poses = vehicle_poses(vehicles.join(bad, "scene_id", "left_anti")).persist()
+    poses = keep(vehicle_poses(vehicles.join(bad, "scene_id", "left_anti")))
     keys, kinds = ["scene_id", "label"], ["string", "string"]
-    ordered = order_poses(poses, keys, kinds).join(poses, [*keys, "ord"]).persist()
+    ordered = keep(order_poses(poses, keys, kinds).join(poses, [*keys, "ord"]))
     lengths = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hits = collisions(ordered).persist()
+    hits = keep(collisions(ordered))
     index = collision_indices(hits)
     out = {"quarantine": bad, "collisions": hits, "first_collisions": first_collision_per_vehicle(hits, lengths)}
     if pre_crash_only:
@@ -146,8 +142,8 @@ def chronology(vehicles: DataFrame, pre_crash_only: bool = False, strict: bool =
     else:
         again = index.select(*keys, "hits")
     crashed = order_poses(poses.join(again, keys), keys, kinds, collided="hits").join(poses, [*keys, "ord"])
-    final = crashed.unionByName(ordered.join(again, keys, "left_anti")).persist()
-    hits = collisions(final).persist()
+    final = keep(crashed.unionByName(ordered.join(again, keys, "left_anti")))
+    hits = keep(collisions(final))
     placed = final.join(collision_indices(hits).select(*keys, "first"), keys, "left")
     return out | {
         "trajectories": final.select(*keys, "pos", "ord", "x", "y", "theta", "score"), "collisions": hits, "first_collisions": first_collision_per_vehicle(hits, lengths),

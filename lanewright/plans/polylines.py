@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions import geom
+from lanewright.functions import geom, kernels
+from lanewright.operators import roads
+from lanewright.plans.grouped import map_groups
 from lanewright.plans.tables import POSES, VERTICES, WRAP, Q, polylines, poses, q, table, vertices
 
 EDGES = "edges AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(roadway) OVER w AS roadway2 FROM verts WINDOW w AS (PARTITION BY id ORDER BY ord))"
@@ -81,40 +84,22 @@ def auto_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centred mean of seven poses; the first and last three, and short lines, stay."""
-    w = Window.partitionBy("user_id").orderBy("ord")
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    around = w.rowsBetween(-3, 3)
-    p = poses(spark, sf_dir).withColumn("n", n).withColumn("_x", F.avg("x").over(around)).withColumn("_y", F.avg("y").over(around))
-    inner = (F.col("n") > 7) & (F.col("ord") >= 3) & (F.col("ord") < F.col("n") - 3)
-    return p.select("user_id", F.col("ord").cast("long").alias("ord"), q(F.when(inner, F.col("_x")).otherwise(F.col("x")), 100).alias("x"), q(F.when(inner, F.col("_y")).otherwise(F.col("y")), 100).alias("y"))
-
-
-def _normals(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ord")
-    side = lambda k: F.coalesce(F.lead(k).over(w), F.col(k)) - F.coalesce(F.lag(k).over(w), F.col(k))
-    t = df.withColumn("_tx", side("x")).withColumn("_ty", side("y"))
-    size = F.greatest(geom.length_of(F.col("_tx"), F.col("_ty")), F.lit(1e-12))
-    return t.withColumn("nx", -F.col("_ty") / size).withColumn("ny", F.col("_tx") / size)
+    """Centred mean of seven poses; the first and last three, and short lines, stay. Points that move get a width of 15."""
+    found = roads.smooth(poses(spark, sf_dir).withColumn("width", F.lit(8.0)), 3, 15.0, ["user_id"])
+    return found.select("user_id", F.col("ord").cast("long").alias("ord"), q(F.col("x"), 100).alias("x"), q(F.col("y"), 100).alias("y"), q(F.col("width")).alias("width"))
 
 
 def tangent_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit normals of each user's line of poses, by central differences inside and one-sided ones at the ends."""
-    return _normals(poses(spark, sf_dir)).select("user_id", F.col("ord").cast("long").alias("ord"), q(F.col("nx")).alias("nx"), q(F.col("ny")).alias("ny"))
+    found = roads.normals(poses(spark, sf_dir), ["user_id"])
+    return found.select("user_id", F.col("ord").cast("long").alias("ord"), q(F.col("_nx")).alias("nx"), q(F.col("_ny")).alias("ny"))
 
 
 def wide_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a median width of 22 in two, of 32 in three offset lines; here a pose's width is 15 + ord % 30."""
-    p = _normals(poses(spark, sf_dir).withColumn("width", 15.0 + F.col("ord") % 30 + F.col("user_id") % 11))
-    median = p.groupBy("user_id").agg(F.median("width").alias("median"))
-    lanes = F.when(F.col("median") >= 32, F.array(*map(F.lit, (1.0, 0.0, -1.0)))).when(F.col("median") >= 22, F.array(*map(F.lit, (0.75, -0.75)))).otherwise(F.array(F.lit(0.0)))
-    share = F.when(F.col("median") >= 32, 3.0).when(F.col("median") >= 22, 2.0).otherwise(1.0)
-    rows = p.join(median, "user_id").select("*", F.posexplode(lanes).alias("lane", "_side"), share.alias("_share"))
-    offset = F.col("_side") / 3 * F.col("width")
-    return rows.select(
-        "user_id", F.col("ord").cast("long").alias("ord"), F.col("lane").cast("long").alias("lane"),
-        q(F.col("x") + F.col("nx") * offset, 100).alias("x"), q(F.col("y") + F.col("ny") * offset, 100).alias("y"), q(F.col("width") / F.col("_share")).alias("width"),
-    )
+    lines = poses(spark, sf_dir).withColumn("width", 15.0 + F.col("ord") % 30 + F.col("user_id") % 11)
+    found = roads.split_wide(lines, 22.0, 32.0, ["user_id"])
+    return found.select("user_id", F.col("ord").cast("long").alias("ord"), F.col("lane").cast("long").alias("lane"), q(F.col("x"), 100).alias("x"), q(F.col("y"), 100).alias("y"), q(F.col("width")).alias("width"))
 
 
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,21 +118,27 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("q", F.lead("p").over(w)).where("q IS NOT NULL")
 
 
+def _of_user(spark: SparkSession, sf_dir: str, work, schema: str) -> DataFrame:
+    """``work`` on each user's poses (x, y, theta) in order, as rows after the user."""
+    each = lambda key, c: [(*key, *work(np.column_stack([c["x"], c["y"], c["theta"]])))]
+    return map_groups(poses(spark, sf_dir).select("user_id", "ord", "x", "y", "theta"), ["user_id"], ["ord"], each, f"user_id long, {schema}")
+
+
 def anomaly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first step of each user's largest slip and yaw together, in thousandths."""
-    m = geom.slip_metrics("p", "q")
-    s = _steps(spark, sf_dir).select("user_id", "ord", q(F.abs(m["slip_angle"]) + F.abs(m["yaw_rate"])).alias("anomaly"))
-    best = s.groupBy("user_id").agg(F.max(F.struct("anomaly", (-F.col("ord")).alias("o"))).alias("b"))
-    return best.select("user_id", F.when(F.col("b.anomaly") > 0, -F.col("b.o")).otherwise(0).cast("long").alias("step"), F.col("b.anomaly").alias("anomaly"))
+    """The first step of each user's largest slip and yaw together, and how large it is."""
+
+    def work(at: np.ndarray) -> tuple[int, float]:
+        i = kernels.anomaly_index(at)
+        return i, kernels.anomaly(at[i], at[i + 1]) if len(at) > i + 1 else 0.0
+
+    found = _of_user(spark, sf_dir, work, "step long, amount double")
+    return found.select("user_id", "step", q(F.col("amount")).alias("anomaly"))
 
 
 def slide_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times along each user's poses as a slide that slows down: a fold over the ordered points."""
-    pts = F.sort_array(F.collect_list(F.struct("ord", "x", "y")))
-    p = poses(spark, sf_dir).groupBy("user_id").agg(pts.alias("v"))
-    zero = F.struct(F.lit(0.0).alias("t"), F.get("v", F.lit(0))["x"].alias("x"), F.get("v", F.lit(0))["y"].alias("y"))
-    step = lambda s, r: F.struct((s["t"] + geom.length_of(r["x"] - s["x"], r["y"] - s["y"]) / F.greatest(F.lit(5.0), 20.0 - 7.0 * s["t"])).alias("t"), r["x"].alias("x"), r["y"].alias("y"))
-    return p.select("user_id", F.size("v").cast("long").alias("poses"), q(F.aggregate("v", zero, step)["t"], 10).alias("t"))
+    """Times along each user's poses as a slide that slows down."""
+    found = _of_user(spark, sf_dir, lambda at: (len(at), float(kernels.slide_times(at[:, :2])[-1])), "poses long, last double")
+    return found.select("user_id", "poses", q(F.col("last"), 10).alias("t"))
 
 
 _TURN = f"abs({WRAP('angle2 - angle')})"
@@ -184,7 +175,8 @@ ORACLE_SQL = {
                n + CASE WHEN gap < 0.25 * greatest(w, h) AND (x0 <> x1 OR y0 <> y1) THEN 1 ELSE 0 END AS points FROM c""",
     "moving_average": f"""WITH {POSES}, a AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, avg(x) OVER w AS ax, avg(y) OVER w AS ay FROM poses WINDOW w AS (PARTITION BY user_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
         i AS (SELECT *, n > 7 AND ord >= 3 AND ord < n - 3 AS inner_ FROM a)
-        SELECT user_id, ord, {Q('CASE WHEN inner_ THEN ax ELSE x END', 100)} AS x, {Q('CASE WHEN inner_ THEN ay ELSE y END', 100)} AS y FROM i""",
+        SELECT user_id, ord, {Q('CASE WHEN inner_ THEN ax ELSE x END', 100)} AS x, {Q('CASE WHEN inner_ THEN ay ELSE y END', 100)} AS y,
+               CASE WHEN inner_ AND (ax <> x OR ay <> y) THEN 15000 ELSE 8000 END AS width FROM i""",
     "tangent_normals": f"{_NORMALS} SELECT user_id, ord, {Q('-ty / size')} AS nx, {Q('tx / size')} AS ny FROM n",
     "wide_split": f"""{_NORMALS}, w AS (SELECT *, 15.0 + ord % 30 + user_id % 11 AS width FROM n), g AS (SELECT *, median(width) OVER (PARTITION BY user_id) AS med FROM w),
         l AS (SELECT *, unnest(CASE WHEN med >= 32 THEN [0, 1, 2] WHEN med >= 22 THEN [0, 1] ELSE [0] END) AS lane FROM g),
@@ -194,9 +186,9 @@ ORACLE_SQL = {
     "edge_scores": f"""{_POSE_STEPS} SELECT user_id, ord, {Q("d * (1 + 0.5 * abs(" + WRAP('atan2(y2 - y, x2 - x) - theta') + ") / pi() + 0.25 * abs(" + WRAP('theta2 - theta') + ") / pi())", 100)} AS score,
         {Q('sqrt(d * d + 4 * ' + WRAP('theta2 - theta') + ' * ' + WRAP('theta2 - theta') + ')', 100)} AS freebody, {Q('slip')} AS slip, {Q('yaw')} AS yaw, CAST(0 AS BIGINT) AS mismatch,
         CASE WHEN abs(slip) > pi() / 6 OR abs(yaw) > 0.5 THEN 'loc' ELSE 'normal' END AS phase FROM m""",
-    "anomaly_index": f"""{_POSE_STEPS}, a AS (SELECT user_id, ord, {Q('abs(slip) + abs(yaw)')} AS anomaly FROM m),
-        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY anomaly DESC, ord) AS k FROM a)
-        SELECT user_id, CASE WHEN anomaly > 0 THEN ord ELSE 0 END AS step, anomaly FROM r WHERE k = 1""",
+    "anomaly_index": f"""{_POSE_STEPS}, a AS (SELECT user_id, ord, abs(slip) + abs(yaw) AS amount FROM m UNION ALL SELECT user_id, 0, 0 FROM poses GROUP BY user_id HAVING count(*) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY amount DESC, ord) AS k FROM a)
+        SELECT user_id, CASE WHEN amount > 0 THEN ord ELSE 0 END AS step, {Q('amount')} AS anomaly FROM r WHERE k = 1""",
     "slide_times": f"""WITH RECURSIVE {POSES}, walk AS (SELECT user_id, ord, x, y, CAST(0 AS DOUBLE) AS t FROM poses WHERE ord = 0
         UNION ALL SELECT p.user_id, p.ord, p.x, p.y, w.t + sqrt((p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y)) / greatest(5.0, 20.0 - 7.0 * w.t)
         FROM walk w JOIN poses p ON p.user_id = w.user_id AND p.ord = w.ord + 1)

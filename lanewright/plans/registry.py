@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanewright.plans import associations, polylines, vehicles
+from lanewright.plans import associations, polylines, roadnet, vehicles
 
-_MODULES = (polylines, associations, vehicles)
+_MODULES = (polylines, associations, vehicles, roadnet)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -212,14 +212,14 @@ def scene_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DELAUNAY = f"""WITH {VERTICES}, p AS (SELECT id, min(ord) AS v, x, y, arg_min(roadway, ord) AS roadway FROM verts GROUP BY id, x, y),
-    tri AS (SELECT a.id, a.v AS a, b.v AS b, c.v AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, a.roadway AS ra, b.roadway AS rb, c.roadway AS rc,
+    tri AS MATERIALIZED (SELECT a.id, a.v AS a, b.v AS b, c.v AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, a.roadway AS ra, b.roadway AS rb, c.roadway AS rc,
                    (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS area
             FROM p a JOIN p b ON a.id = b.id AND a.v < b.v JOIN p c ON b.id = c.id AND b.v < c.v),
-    bad AS (SELECT DISTINCT t.id, t.a, t.b, t.c FROM tri t JOIN p ON p.id = t.id AND p.v NOT IN (t.a, t.b, t.c)
+    bad AS MATERIALIZED (SELECT DISTINCT t.id, t.a, t.b, t.c FROM tri t JOIN p ON p.id = t.id AND p.v NOT IN (t.a, t.b, t.c)
             WHERE sign(t.area) * (((t.ax - p.x) * (t.ax - p.x) + (t.ay - p.y) * (t.ay - p.y)) * ((t.bx - p.x) * (t.cy - p.y) - (t.cx - p.x) * (t.by_ - p.y))
                 - ((t.bx - p.x) * (t.bx - p.x) + (t.by_ - p.y) * (t.by_ - p.y)) * ((t.ax - p.x) * (t.cy - p.y) - (t.cx - p.x) * (t.ay - p.y))
                 + ((t.cx - p.x) * (t.cx - p.x) + (t.cy - p.y) * (t.cy - p.y)) * ((t.ax - p.x) * (t.by_ - p.y) - (t.bx - p.x) * (t.ay - p.y))) > 0),
-    d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a, b, c) - 1 AS t FROM tri WHERE area <> 0 AND (id, a, b, c) NOT IN (SELECT (id, a, b, c) FROM bad))"""
+    d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY a, b, c) - 1 AS t FROM tri WHERE area <> 0 AND (id, a, b, c) NOT IN (SELECT (id, a, b, c) FROM bad))"""
 _SEG = lambda p, a, b: (
     f"sqrt(pow({p[0]} - ({a[0]} + greatest(0, least(1, (({p[0]} - {a[0]}) * ({b[0]} - {a[0]}) + ({p[1]} - {a[1]}) * ({b[1]} - {a[1]})) / (pow({b[0]} - {a[0]}, 2) + pow({b[1]} - {a[1]}, 2)))) * ({b[0]} - {a[0]})), 2)"
     f" + pow({p[1]} - ({a[1]} + greatest(0, least(1, (({p[0]} - {a[0]}) * ({b[0]} - {a[0]}) + ({p[1]} - {a[1]}) * ({b[1]} - {a[1]})) / (pow({b[0]} - {a[0]}, 2) + pow({b[1]} - {a[1]}, 2)))) * ({b[1]} - {a[1]})), 2))"

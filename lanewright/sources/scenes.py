@@ -5,6 +5,8 @@ Files that cannot be read are rows too: their error goes to a quarantine table i
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -18,25 +20,50 @@ NODES = "scene_id string, node_id long, parent_id long, depth int, path array<lo
 def scene_nodes(content: bytes, scene_id: str) -> list[tuple]:
     """The scene's layers and items as rows, parents before children, numbered in document order.
 
-    ``path``: the numbers from the scene down to the node itself, so that what goes down a tree needs no loop.
+    A pull scan: elements are dropped as soon as they end, so a large file never stands in memory as a tree; only its
+    rows do. ``path``: the numbers from the scene down to the node itself, so that what goes down a tree needs no loop.
     """
-    root = ElementTree.fromstring(content)
-    scene = root if root.tag == "scene" else root.find("scene")
-    if scene is None:
-        raise ValueError("no scene element")
     rows: list[tuple] = []
-    stack = [(scene, [], None)]
-    while stack:
-        element, above, layer = stack.pop()
-        if element.tag == "layer":
-            layer = element.get("n")
-        number = len(rows)
-        data = element.find("lndata")
-        path = [*above, number]
-        rows.append((scene_id, number, above[-1] if above else None, len(above), path, number, element.tag, element.get("type"), layer, dict(element.attrib), None if data is None else dict(data.attrib), None))
-        inner = [c for c in element if c.tag == "item" or (c.tag != "lndata" and element.tag != "item")]
-        stack += [(c, path, layer) for c in reversed(inner)]
-    return rows
+    styles: dict[int, dict] = {}
+    open_: list[tuple[str, list[int] | None, str | None]] = []  # tag, path (None: no node) and layer of what has begun
+    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "end":
+            element.clear()
+            open_.pop()
+            continue
+        tag, path = element.tag, None
+        parent, above, layer = open_[-1] if open_ else ("", None, None)
+        is_scene = tag == "scene" and not rows and len(open_) < 2
+        if is_scene or above is not None and tag != "lndata" and (parent != "item" or tag == "item"):
+            number = len(rows)
+            layer, path = element.get("n") if tag == "layer" else layer, [*(above or ()), number]
+            rows.append((scene_id, number, above[-1] if above else None, len(path) - 1, path, number, tag, element.get("type"), layer, dict(element.attrib)))
+        elif above is not None and tag == "lndata":
+            styles.setdefault(above[-1], dict(element.attrib))
+        open_.append((tag, path, layer))
+    if not rows:
+        raise ValueError("no scene element")
+    return [(*r, styles.get(r[1]), None) for r in rows]
+
+
+def scene_extras(content: bytes) -> tuple[dict, str | None]:
+    """Properties of a scene file (attributes and children's texts of its ``properties``) and its thumbnail's text."""
+    properties: dict[str, str] = {}
+    thumb, open_ = None, []
+    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+        if event == "start":
+            open_.append(element.tag)
+            continue
+        if open_[1:] == ["properties"]:
+            properties |= element.attrib
+        elif len(open_) == 3 and open_[1] == "properties":
+            properties.setdefault(element.tag, element.text or "")
+        elif open_[1:] == ["thumb"] and thumb is None:
+            thumb = (element.text or "").strip()
+        if len(open_) == 2 or len(open_) > 3 or open_[1:2] == ["scene"]:
+            element.clear()
+        open_.pop()
+    return properties, thumb
 
 
 def parse_scenes(files: DataFrame, id_column: str = "path", content_column: str = "content") -> DataFrame:
@@ -57,6 +84,46 @@ def parse_scenes(files: DataFrame, id_column: str = "path", content_column: str
     return files.select(F.col(id_column).alias("scene_id"), F.col(content_column).cast("binary").alias("content")).mapInPandas(run, NODES)
 
 
+def parse_extras(files: DataFrame, id_column: str = "path", content_column: str = "content") -> DataFrame:
+    """scene_id, properties (map), thumbnail of every readable file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for scene, content in zip(frame["scene_id"], frame["content"], strict=True):
+                with contextlib.suppress(ElementTree.ParseError):
+                    rows.append((scene, *scene_extras(content)))
+            yield pd.DataFrame(rows, columns=["scene_id", "properties", "thumbnail"]).astype(object)
+
+    return files.select(F.col(id_column).alias("scene_id"), F.col(content_column).cast("binary").alias("content")).mapInPandas(run, "scene_id string, properties map<string,string>, thumbnail string")
+
+
+def space_curves(nodes: DataFrame) -> DataFrame:
+    """scene_id, ord, layer, verts (x, y, z) of the polycurves that lie in layers: the minimal reading in three dimensions."""
+    said = F.filter(F.split(F.coalesce(F.col("attrs")["pnts"], F.lit("")), ";"), lambda p: p != "")
+    number = lambda p, k: F.get(F.split(p, ","), F.lit(k)).cast("double")
+    verts = F.transform(said, lambda p: F.struct(*(number(p, k).alias(n) for k, n in enumerate("xyz"))))
+    return nodes.where("tag = 'item' AND type = 'polycurve' AND depth = 2 AND layer IS NOT NULL").select("scene_id", "ord", "layer", verts.alias("verts"))
+
+
+def other_items(nodes: DataFrame) -> DataFrame:
+    """scene_id, type, items: the layers' items that are neither polycurves nor symbols, by type."""
+    return nodes.where("tag = 'item' AND depth = 2 AND type NOT IN ('polycurve', 'symbol')").groupBy("scene_id", "type").agg(F.count(F.lit(1)).alias("items"))
+
+
+def space_bounds(curves: DataFrame) -> DataFrame:
+    """The bounds of all curves' points in three dimensions, and half the largest range."""
+    p = curves.select(F.explode("verts").alias("p")).select("p.*")
+    sides = p.agg(*(f(k).alias(f"{k}{n}") for k in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))))
+    return sides.withColumn("half", F.greatest(*(F.col(f"{k}max") - F.col(f"{k}min") for k in "xyz")) / 2)
+
+
+def batch_summary(results: DataFrame, column: str = "message") -> DataFrame:
+    """total, successful, failed: a batch's files by whether their message begins with "Success"."""
+    good = F.coalesce(F.startswith(column, F.lit("Success")), F.lit(False))
+    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed"))
+
+
 def read_scenes(spark: SparkSession, path: str, suffix: str = "*.far") -> DataFrame:
     """NODES of all files below a path; the scene id is the file's name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path)
@@ -116,16 +183,25 @@ def write_cache(cache: DataFrame, path: str) -> None:
     whole.select(F.to_json("m")).coalesce(1).write.text(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines in a folder for each scene."""
-    df.write.partitionBy("scene_id").json(path)
+KINDS = ("vehicles", "roadway", "road_markings", "texts", "misc")
+
+
+def scene_documents(objects: DataFrame) -> DataFrame:
+    """A row a scene: scene_id and a list of its objects, in document order, for each category."""
+    one = F.struct(*(F.col(f"`{c}`") for c in ["ord", *(c for c in objects.columns if c not in ("scene_id", "category", "ord"))]))
+    return objects.groupBy("scene_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("category") == k, one))).alias(k) for k in KINDS))
+
+
+def write_json(df: DataFrame, path: str, folders: int = 64) -> None:
+    """Rows as JSON lines, scenes dealt to ``folders`` folders by their hash, so that their number does not set that of files."""
+    dealt = df.withColumn("folder", F.pmod(F.xxhash64("scene_id"), F.lit(folders)).cast("int"))
+    dealt.repartition("folder").sortWithinPartitions("folder", "scene_id").write.partitionBy("folder").json(path)
 
 
 def summary(objects: DataFrame) -> DataFrame:
     """Objects of each scene by category."""
-    kinds = ["vehicles", "roadway", "road_markings", "texts", "misc"]
-    counted = objects.groupBy("scene_id").pivot("category", kinds).count()
-    return counted.select("scene_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in kinds))
+    counted = objects.groupBy("scene_id").pivot("category", list(KINDS)).count()
+    return counted.select("scene_id", *(F.coalesce(k, F.lit(0)).alias(k) for k in KINDS))
 
 
 def summary_lines(vehicles: DataFrame) -> DataFrame:

@@ -76,10 +76,10 @@ def test_predicates(spark):
 
 def test_oriented_boxes(spark):
     box = lambda x, y, t: F.struct(*(F.lit(float(v)).alias(k) for k, v in zip(("cx", "cy", "hw", "hh", "angle"), (x, y, 2, 1, t), strict=True)))
-    assert value(spark, geom.boxes_touch(box(0, 0, 0), box(4, 0, 0)))  # touching counts
-    assert not value(spark, geom.boxes_touch(box(0, 0, 0), box(4.01, 0, 0)))
-    assert value(spark, geom.penetration(box(0, 0, 0), box(3, 0, 0))) == 1
-    assert math.isclose(value(spark, geom.penetration(box(0, 0, 0), box(0, 0, 0))), 2 * math.sqrt(5))
+    assert value(spark, geom.boxes_touch(geom.turned_box(box(0, 0, 0)), geom.turned_box(box(4, 0, 0))))  # touching counts
+    assert not value(spark, geom.boxes_touch(geom.turned_box(box(0, 0, 0)), geom.turned_box(box(4.01, 0, 0))))
+    assert value(spark, geom.penetration(geom.turned_box(box(0, 0, 0)), geom.turned_box(box(3, 0, 0)))) == 1
+    assert math.isclose(value(spark, geom.penetration(geom.turned_box(box(0, 0, 0)), geom.turned_box(box(0, 0, 0)))), 2 * math.sqrt(5))
 
 
 def test_configurations():
@@ -104,9 +104,10 @@ def test_triangulation_has_empty_circles(points):
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.floats(0, 50), st.floats(0, 50), st.floats(-3, 3)), min_size=2, max_size=6))
 def test_exact_order_is_never_worse_than_tours(poses):
-    pair = kernels.edge_scores(np.array(poses))
-    cost = kernels.pair_cost(pair)
-    assert kernels.cheapest_order(cost, pair)[1] <= kernels.cheapest_order(cost, pair, exact=1)[1] + 1e-9
+    steps = kernels.edge_scores(np.array(poses))
+    order, least = kernels.cheapest_order(steps, steps)
+    assert least <= kernels.cheapest_order(steps, steps, exact=1)[1] + 1e-9
+    assert least == pytest.approx(sum(steps[a, b] for a, b in itertools.pairwise(order)))
 
 
 def test_clothoids_reach_their_ends():
