@@ -151,7 +151,8 @@ class Beside:
             left.append(self._said(start - len(cut), start))
         cut = self.text[end : min(self.ends[j], end + LONG_WORD)]
         right = self._said(end, end + len(cut)) if cut.strip(_EDGES) else self._said(self.starts[j + 1], self.ends[j + 1]) if j + 1 < len(self.starts) else ""
-        return [f"l {left[-1]}"] * bool(left) + [f"ll {' '.join(left[-2:])}"] * (len(left) > 1) + [f"r {right}"] * bool(right)
+        before = [f"l {left[-1]}"] if left else []
+        return before + ([f"ll {' '.join(left[-2:])}"] if len(left) > 1 else []) + ([f"r {right}"] if right else [])
 
 
 _LIKE = re.compile(r"[^ \t\n\r\f\v]*(?:[0-9]|@|\(at\)|\[at\])[^ \t\n\r\f\v]*")
