@@ -197,9 +197,9 @@ def media_features(docs: DataFrame, digest_bits: int = 24) -> DataFrame:
     given = in_batches(held.select("sha256", "heads", "chunks"), give, "owner binary, place int, chunk binary").dropDuplicates(["owner", "place"])
     found = refs.join(owners, "digest").join(given, ["owner", "place"])
     whole = in_batches(held.select("sha256", "manifest", "heads", "chunks"), alone, READ).unionByName(_rebuilt(found))
-    read = materialize(whole, "read", tasks_for(packs))
+    read = materialize(whole.dropDuplicates(["sha256"]), "read", tasks_for(packs))
     discard(packs, refs)
-    return ids.join(read.dropDuplicates(["sha256"]), "sha256").select(*_RESULT.names)
+    return ids.join(read, "sha256").select(*_RESULT.names)
 
 
 def _rebuilt(found: DataFrame) -> DataFrame:
