@@ -54,8 +54,8 @@ class NearDup:
     percent: int = 80
     samples: int = 256
     bits: int = 1024
-    block_rows: int = 2048
-    block_bytes: int = 16 << 20
+    block_rows: int = 512
+    block_bytes: int = 4 << 20
 
     @property
     def rows(self) -> int:
