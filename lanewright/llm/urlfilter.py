@@ -106,7 +106,9 @@ def labelled_pages(pages: DataFrame, documents: DataFrame, labels: DataFrame, ma
     good, bad = (known.where(F.col("label") == k).orderBy(rank, "doc_id").limit(max_documents) for k in (1, 0))
     found = documents.select("doc_id", "text").where("text <> ''").join(F.broadcast(good.union(bad)), "doc_id")
     sample = materialize(_with_text_features(found.orderBy(rank, "doc_id", "text").limit(2 * max_documents).select("text", "label")).select("said", "label"), "documents")
-    shown = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", "html").orderBy(F.xxhash64("url", F.lit(11)), "url", "html").limit(max_pages)
+    shown = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", "html")
+    taken = shown.select("url").distinct().orderBy(F.xxhash64("url", F.lit(11)), "url").limit(max_pages)  # urls alone are sorted
+    shown = shown.join(F.broadcast(taken), "url").groupBy("url").agg(F.min("html").alias("html"))
     shown = shown.select("url", page_text(F.col("html")).alias("text")).where(F.trim("text") != "")
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:

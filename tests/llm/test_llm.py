@@ -15,6 +15,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -185,11 +186,13 @@ def test_pii_hidden_seeds_come_back(spark):
 
 def test_pii_edges(spark):
     assert pii.find_pii(docs(spark, "a").limit(0)).count() == 0
+    assert [r.spans for r in pii.find_pii(docs(spark, "a@b.cd", "4111111111111111")).orderBy("doc_id").collect()] == ["email:0:6", "card:0:16"]
     d = docs(spark, "reach a@b.cd now", None).withColumn("spans", F.lit(1)).withColumn("row_id", F.lit(1))
     assert [(r.spans, r.n_discovered) for r in pii.find_pii(d).orderBy("doc_id").collect()] == [("email:6:12", 0), ("", 0)]
     long = "1" * 200_000 + "x " + "a-b@" * 50_000 + " 1 2 " * 50_000
     assert len(list(pii.mentions(long, pii.seed_spans(long)))) < 10
     assert pii.Beside("see (a@b.cd), Tel9").patterns(5, 11) == ["l see", "r tel0"]
+    assert pii.Beside("a@b.cd").patterns(0, 6) == [] and pii.Beside(" 1.2.3.4 x").patterns(1, 8) == ["r x"]
     assert pii.Beside("mail:a@b.cd").patterns(5, 11) == ["l mail:"]
 
 
@@ -397,6 +400,40 @@ def test_quality_classifier(spark):
     assert quality.with_quality(docs(spark, "a"), none).first().score == 0.5
 
 
+def plain_score(model, text):
+    """A score with nothing of the operator's but the model: zstandard, one text at a time."""
+    data = (text or "").encode()
+    sizes = []
+    for raw in (model.bad, model.good):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        pack = zstandard.ZstdCompressor(level=6, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(pack.compress(data[i : i + 2048])) for i in range(0, len(data), 2048)))
+    x = model.slope * (sizes[0] - sizes[1]) / (len(data) + 100) + model.weight * len(data) / (len(data) + 100) + model.prior
+    return 1 / (1 + math.exp(-max(-30, min(30, x))))
+
+
+def quality_tables(spark, path):
+    rng = random.Random(33)
+    texts = [words(rng, 60) + "." for _ in range(120)] + [" ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in words(rng, 60).split()) for _ in range(50)]
+    texts += [None, "", "tiny", words(rng, 20000), texts[0]]
+    docs(spark, *texts).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, int(i < 120), 0) for i in range(0, 170)] + [(None, 1, 0), (3, None, 0), (999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return texts
+
+
+def test_quality_query_by_brute_force(spark, tmp_path):
+    texts = quality_tables(spark, tmp_path)
+    model = queries.quality_model(spark, str(tmp_path), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    rows = {r.doc_id: r for r in queries.op6_quality(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        assert rows[i].score == pytest.approx(plain_score(model, t), abs=1e-12)
+        assert rows[i].predicted == int(rows[i].score >= 0.7) and rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert sum(rows[i].predicted == int(i < 120) for i in range(170)) >= 165 and len(model.good) <= 1 << 20
+    assert rows[170].score == rows[171].score and rows[174].score == rows[0].score
+
+
 # 7
 
 
@@ -422,6 +459,30 @@ def test_sharding(spark, tmp_path):
     assert sharding.external_shuffle(d.limit(0), size).count() == 0
 
 
+def test_sharding_query_by_list_shuffles(spark, tmp_path, monkeypatch):
+    rng = random.Random(71)
+    texts = [words(rng, rng.randrange(30)) for _ in range(400)] + [None, "", "same", "same", "x" * 50000]
+    docs(spark, *texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sharding.external_shuffle, "__defaults__", (7, 4000))
+    rows = {r.doc_id: r for r in queries.op7_sharding(spark, str(tmp_path)).collect()}
+    sizes = [len((t or "").encode()) + 1 for t in texts]
+    buckets = math.ceil(sum(sizes) / 4000)
+    dealt = spark.range(len(texts)).select(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(buckets)).alias("b")).collect()
+    order = []
+    for b in range(buckets):
+        members = [i for i, r in enumerate(dealt) if r.b == b]
+        draws = np.random.default_rng((7, b)).integers(0, np.arange(1, len(members) + 1)).tolist() if members else []
+        for i in range(len(members) - 1, 0, -1):
+            members[i], members[draws[i]] = members[draws[i]], members[i]
+        order += members
+    assert buckets > 5 and len(rows) == len(texts)
+    for rank, i in enumerate(order):
+        r = rows[i]
+        assert (r.shard, r.slot, r["size"], r.text_crc32, r.law, r.grown_shard) == (rank % 16, rank // 16, sizes[i], zlib.crc32((texts[i] or "").encode()), "rows", None)
+    with pytest.raises(ValueError):
+        sharding.external_shuffle(spark.read.parquet(f"{tmp_path}/documents.parquet"), F.lit(1 << 50))
+
+
 # 8
 
 
@@ -623,22 +684,51 @@ def test_bitmap_and_shared_folder(spark):
     assert materialize(keys.limit(0), "none").count() == 0
 
 
-def test_pipeline_by_brute_force(spark, tmp_path):
+def test_pipeline_by_brute_force(spark, tmp_path, tokenizer):
+    """Every stage again with plain lists: zstandard, dictionaries, sets of shingles, aligned words, the library."""
     import corpus_pipeline
 
+    library, _ = tokenizer
     rng = random.Random(12)
     item = words(rng, 20)
-    clean = [words(rng, 80) for _ in range(40)]
-    texts = [*clean, clean[0], clean[1].replace(clean[1].split()[40], "edit"), words(rng, 30) + " " + item + " " + words(rng, 30), None]
-    texts = [None if t is None else "Common line of the site\n" + t for t in texts]
+    clean = [words(rng, 80) for _ in range(60)]
+    near = clean[1].replace(clean[1].split()[40], "edit")
+    texts = [*clean, clean[0], near, words(rng, 30) + " " + item + " " + words(rng, 30), None, "", "what is the capital of france now"]
+    texts = [t if not t else "Common line of the site\n" + t for t in texts]
     junk = [" ".join(w + "$$$" for w in words(rng, 60).split()) for _ in range(30)]
-    docs(spark, *texts, *junk).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < len(texts)), 0) for i in range(len(texts) + 30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    kept = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(kept) - {43} == set(range(40))
-    _, v = None, bpe.Vocabulary(queries.vocabulary_text())
-    assert kept[5].n_tokens == len(bpe.Encoder(v).encode([clean[5]])[0][0]) // 4 and kept[5].n_chars == len(clean[5])
+    rows = [(i, t, "en", rng.choice("ab"), len(t or "")) for i, t in enumerate(texts + junk)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < len(texts)), 0) for i in range(len(rows))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = {1: item, 2: "the capital of france"}
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    model = queries.quality_model(spark, str(tmp_path), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    left = [(i, t, s) for i, t, _, s, _ in rows if plain_score(model, t) >= 0.7]
+    on, total = Counter(), Counter(s for _, _, s in left)
+    on.update((s, line) for _, t, s in left for line in {x.strip(" ") for x in (t or "").split("\n")})
+    cut = lambda t, s: None if t is None else "\n".join(x for x in t.split("\n") if not x.strip(" ") or on[s, x.strip(" ")] - 1 <= 0.05 * total[s])
+    left = [(i, cut(t, s)) for i, t, s in left]
+    group, sizes = brute_components([t for _, t in left], 5, 80)
+    left = [left[k] for k in range(len(left)) if group[k] == k or not sizes[k]]
+    hit = {k for k, _ in brute_overlaps([t for _, t in left], items)}
+    left = {i: t for k, (i, t) in enumerate(left) if k not in hit}
+    assert not {60, 61, 62, 65} & set(left) and set(range(60)) <= set(left)
+
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(found) == set(left)
+    for i, t in left.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert found[i].n_tokens == len(ids) and found[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[i].n_chars == (None if t is None else len(t))
+
+
+def test_every_query_runs(spark):
+    """Each registered query over the smallest tables, and its SQL, where there is one."""
+    sf = "/root/testdata/sf0.001"
+    if not pathlib.Path(sf).is_dir():
+        pytest.skip("needs the driver's tables")
+    for name, query in queries.QUERIES.items():
+        assert same_rows(spark, sf, name) if name in queries.ORACLE_SQL else query(spark, sf).count() > 0, name
 
 
 def test_first_copies_with_null_and_repeated_ids(spark):
