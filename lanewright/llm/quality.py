@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import bound_batches, discard, in_batches, materialize
+from lanewright.llm.common import bound_batches, discard, in_batches, materialize, without_keys
 
 LEVEL, BLOCK, FEW = 6, 2048, 100
 
@@ -117,8 +117,8 @@ def _fit_sample(sample: DataFrame, prior: float, dictionary_bytes: int) -> Compr
         return CompressionModel(b"", b"", 0.0, 0.0, prior)
     builds = (F.col("i") % 3 != 0) | (F.when(F.col("label") == 1, n[1]).otherwise(n[0]) == 1)
     lines = sample.select("label", "i", builds.alias("builds"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    common = lines.groupBy("line").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("line")
-    own = lines.where("builds").join(common, "line", "left_anti").groupBy("label", "i").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    common = lines.groupBy("line").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.xxhash64("line").alias("hash"))
+    own = without_keys(lines.where("builds").withColumn("hash", F.xxhash64("line")), common, "hash").groupBy("label", "i").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
     data = F.array_join(F.transform("lines", lambda x: x["line"]), "\n").cast("binary")
     share = {k: max(256, dictionary_bytes // max(1, n[k] - (n[k] + 2) // 3)) for k in n}
     piece = F.when(F.col("label") == 1, share[1]).otherwise(share[0])
