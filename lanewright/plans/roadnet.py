@@ -134,7 +134,7 @@ def straight_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connection_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of lane ends with a curve to the next one that meets no obstacle, of ten tries each: five customers of a
     nation are a lane, its suppliers are square obstacles."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scene_id"), F.floor(F.col("c_custkey") / 5).alias("lane_idx"), "c_custkey", geom.point(F.col("c_acctbal") / 100, (F.col("c_custkey") % 100).cast("double")).alias("p"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scene_id"), F.floor((F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1) / 5).alias("lane_idx"), "c_custkey", geom.point(F.col("c_acctbal") / 100, (F.col("c_custkey") % 100).cast("double")).alias("p"))
     found = c.groupBy("scene_id", "lane_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "p"))), lambda r: r["p"]).alias("verts"))
     ends = lanes.lane_endpoints(found)
     asked = ends.select("scene_id", F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), F.lit(1.0).alias("confidence"))
