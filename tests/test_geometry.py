@@ -101,6 +101,22 @@ def test_triangulation_has_empty_circles(points):
         assert all(kernels._in_circle(a, b, c, q) <= 1e-3 for i, q in enumerate(p) if i not in t)
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-9, 1e-3])
+def test_triangulation_of_nearly_collinear_points(noise):
+    """Rows of a road, almost straight: circles are empty and the triangles fill the hull."""
+    rng = np.random.default_rng(17)
+    x = np.repeat(np.arange(300.0), 3)
+    p = np.column_stack([x, np.tile([0.0, 7.0, 14.0], 300) + rng.uniform(-noise, noise, 900)])
+    tri = kernels.delaunay(p)
+    a, b, c = (p[tri[:, i]] for i in range(3))
+    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (c[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1])).sum() / 2
+    assert area == pytest.approx(299 * 14, rel=1e-6 + noise / 7) and (noise or len(tri) == 299 * 4)
+    for t in tri[:: 1 if noise else 7]:
+        i, j, k = t if kernels._cross(*p[t]) > 0 else t[[0, 2, 1]]
+        near = np.flatnonzero(np.abs(p[:, 0] - p[i, 0]) < 20)
+        assert all(kernels._in_circle(p[i], p[j], p[k], p[q]) <= 0 for q in near if q not in t)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.floats(0, 50), st.floats(0, 50), st.floats(-3, 3)), min_size=2, max_size=6))
 def test_exact_order_is_never_worse_than_tours(poses):
