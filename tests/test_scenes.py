@@ -7,8 +7,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lanewright.functions import geom
 from lanewright.operators import lanes, roads, scene, trajectories
 from lanewright.operators.config import CenterlineConfig, SceneConfig
+from lanewright.operators.kept import kept
 from lanewright.sources import scenes
 
 
@@ -122,3 +124,39 @@ def test_cases_files_and_caches(spark, tmp_path):
     assert {tuple(r) for r in scenes.read_cache(spark, str(tmp_path / "cache")).collect()} == {tuple(r) for r in cache.collect()}
     (tmp_path / "1_x.far").write_text("<far><scene><layer n='a'/></scene></far>")
     assert {r.scene_id for r in scenes.read_scenes(spark, str(tmp_path)).select(F.col("scene_id")).collect()} == {"1_x.far"}
+
+
+def test_extras_and_curves_in_space(spark):
+    body = "<far><properties a='1'><k>v</k></properties><scene><layer n='L'><item type='polycurve' pnts='0,1,2;;3,5,8;'/><item type='symbol' nam=''><item type='polycurve' pnts='9,9,9'/></item><item type='label'/><item type='label'/></layer></scene><thumb> QUJD </thumb></far>"
+    files = spark.createDataFrame([("a", body), ("b", "<far>"), ("c", "<far><scene/></far>")], "path string, content string")
+    extras = {r.scene_id: (r.properties, r.thumbnail) for r in scenes.parse_extras(files).collect()}
+    assert extras == {"a": ({"a": "1", "k": "v"}, "QUJD"), "c": ({}, None)}
+    nodes = scenes.parse_scenes(files)
+    assert [[tuple(p) for p in r.verts] for r in scenes.space_curves(nodes).collect()] == [[(0, 1, 2), (3, 5, 8)]]
+    assert scenes.space_bounds(scenes.space_curves(nodes)).first().half == 3
+    assert [(r.scene_id, r.type, r["items"]) for r in scenes.other_items(nodes).collect()] == [("a", "label", 2)]
+
+
+def test_documents_folders_and_annotations(spark, tmp_path):
+    body = '<layer n="L"><item type="symbol" nam="car"><item type="polyline" vlist="0,0;1,1"/></item><item type="polyline" vlist="0,0;9,0"/></layer>'
+    with kept():
+        found = scene.scene_objects(nodes_of(spark, body, body), scenes.read_cache(spark, None))
+        scenes.write_json(scenes.scene_documents(found), str(tmp_path / "json"), folders=3)
+    rows = spark.read.json(str(tmp_path / "json")).collect()
+    assert {r.scene_id for r in rows} == {"s0", "s1"} and all(len(r.vehicles) == len(r.roadway) == 1 and not r.texts for r in rows)
+    lane = [(0.0, 0.0), (10.0, 0.0)]
+    l = spark.createDataFrame([("s", 0, lane), ("s", 1, [(12.0, 0.0), (22.0, 0.0)])], "scene_id string, lane_idx long, verts array<struct<x:double,y:double>>")
+    ends = lanes.lane_endpoints(l)
+    shown = lanes.annotations(l, ends, lanes.at_intersections(ends, 5.0)).collect()
+    assert sorted((r.layer, r.id) for r in shown) == [("arrow", 1), ("arrow", 2), ("lane", 0), ("lane", 1), ("marker", 1), ("marker", 2)]
+    assert [tuple(p) for r in shown if (r.layer, r.id) == ("arrow", 1) for p in r.path] == [(10.0, 0.0), (15.0, 0.0)]
+
+
+def test_trees_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None, 1.0) for i in range(200)] + [(500, 999, 1.0)]
+    t = spark.createDataFrame(rows, "node long, parent long, x double").withColumn("scene", F.lit(0)).withColumn("local", geom.translation("x", F.lit(0.0)))
+    world = {r.node: r.world.tx for r in scene.compose_down(t, ["scene"]).collect()}
+    assert world == {i: i + 1.0 for i in range(200)}
+    nested = '<item type="symbol"><item type="symbol" nam="tree"><item type="symbol" vehicle2d="T"><item type="polyline" vlist="0,0;1,1"/></item></item>{}</item>'
+    deep = '<item type="symbol"><item type="symbol">{}</item></item>'.format('<item type="symbol" vehicle2d="T"><item type="polyline" vlist="0,0;1,1"/></item>')
+    assert [o.category for o in objects(spark, f'<layer n="L">{nested.format("")}{nested.format(deep)}</layer>')] == ["misc", "vehicles"]
