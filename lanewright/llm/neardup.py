@@ -419,7 +419,9 @@ def near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
     joined = joined_classes(docs, signed, p)
     ids = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = ids.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(named, "named", tasks_for(signed, 0.5))
+    # written, so that the join behind it has no aggregation in its stage and a large component's side can be split
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least", tasks_for(signed, 0.2))
     of_key = named.select("key", "component").join(least, "component").select("key", "component_id")
     found = signed.where("key IS NOT NULL").select("key", "doc_id", "n_shingles").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
