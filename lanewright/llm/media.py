@@ -90,13 +90,12 @@ def read_manifest(data: bytes) -> tuple[int, list[bytes], list[int]]:
     return n_bytes, [r[:32] for r in rows], [struct.unpack(">I", r[32:])[0] for r in rows]
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-                     ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_RESULT_NAMES = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_back(stored: bytes, chunks: dict[bytes, bytes], expected: bytes) -> tuple:
-    """Rebuild a payload from its manifest and chunks, verify it and take its features; all but the id of a result row."""
+    """Rebuild a payload from its manifest and chunks, verify it and take its features: what follows the payload's digest in READ."""
     n_bytes, digests, lengths = read_manifest(stored)
     parts = [chunks[d] for d in digests]
     for d, n, part in zip(digests, lengths, parts, strict=True):
@@ -112,7 +111,7 @@ def read_back(stored: bytes, chunks: dict[bytes, bytes], expected: bytes) -> tup
     share = counts[counts > 0] / len(payload)
     mean = int((counts * np.arange(256)).sum()) * 1000 // len(payload)
     feature = f"chunks={len(parts)};mean={mean / 1000:.3f};entropy={-(share * np.log2(share)).sum():.4f}"
-    return n_bytes, len(payload), whole.hexdigest(), zlib.crc32(payload[-32:]), len(stored) + len(payload), media.hexdigest(), feature
+    return n_bytes, len(payload), zlib.crc32(payload[-32:]), len(stored) + len(payload), media.digest(), feature
 
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
@@ -130,8 +129,8 @@ _PACKED = pa.schema([("doc_id", pa.int64()), ("sha256", pa.binary()), ("manifest
 PACKED = "doc_id long, sha256 binary, manifest binary, heads array<long>, chunks array<binary>"
 _CHUNK = pa.schema([("owner", pa.binary()), ("place", pa.int32()), ("chunk", pa.binary())])
 _REF = pa.schema([("sha256", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("manifest", pa.binary())])
-_READ = pa.schema([("sha256", pa.binary()), *list(_RESULT)[1:]])
-READ = RESULT.replace("doc_id long", "sha256 binary")
+_READ = pa.schema([("sha256", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media", pa.binary()), ("feature", pa.string())])
+READ = "sha256 binary, n_bytes long, payload_bytes long, tail_crc32 long, media_bytes long, media binary, feature string"
 
 
 def store(texts: DataFrame) -> DataFrame:
@@ -199,7 +198,8 @@ def media_features(docs: DataFrame, digest_bits: int = 24) -> DataFrame:
     whole = in_batches(held.select("sha256", "manifest", "heads", "chunks"), alone, READ).unionByName(_rebuilt(found))
     read = materialize(whole.dropDuplicates(["sha256"]), "read", tasks_for(packs))
     discard(packs, refs)
-    return ids.join(read, "sha256").select(*_RESULT.names)
+    hexed = {"payload_sha256": "sha256", "media_sha256": "media"}
+    return ids.join(read, "sha256").select(*(F.lower(F.hex(hexed[c])).alias(c) if c in hexed else c for c in _RESULT_NAMES))
 
 
 def _rebuilt(found: DataFrame) -> DataFrame:
