@@ -26,3 +26,8 @@ def rows(df):
 def test_first_of_each_vehicle(boxes):
     lengths = boxes.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"))
     assert rows(trajectories.first_of_vehicles(boxes)) == rows(trajectories.first_collision_per_vehicle(trajectories.collisions(boxes), lengths))
+
+
+def test_first_of_each_scene(boxes):
+    lengths = boxes.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(trajectories.first_of_scenes(boxes)) == rows(trajectories.first_collision(trajectories.collisions(boxes), lengths))
