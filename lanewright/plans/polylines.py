@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lanewright.functions import geom, kernels
 from lanewright.operators import roads
@@ -104,14 +108,36 @@ def wide_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs and slip between consecutive poses, and their phase."""
-    e = _steps(spark, sf_dir)
     m = geom.slip_metrics("p", "q")
+    e = _steps(spark, sf_dir).withColumns({"score": geom.edge_score("p", "q"), "freebody": geom.freebody_score("p", "q"), "slip": m["slip_angle"], "yaw": m["yaw_rate"], "mismatch": m["curvature_mismatch"]})
+    # where the last bit of a sine decides how a value is rounded or which phase it has, the C library's decides, as in SQL
+    parts = lambda v, scale: F.abs(F.col(v) * scale + 0.5 - F.round(F.col(v) * scale + 0.5)) < 1e-6
+    beside = lambda v, limit: F.abs(F.abs(F.col(v)) - limit) < 1e-9
+    close = parts("score", 100) | parts("freebody", 100) | parts("slip", 1000) | parts("yaw", 1000) | beside("slip", math.pi) | beside("slip", math.pi / 6) | beside("yaw", 0.5)
+    e = e.withColumn("_c", _c_scores(*(F.when(close, F.col(f"{p}.{k}")) for p in "pq" for k in ("x", "y", "theta"))))
+    e = e.withColumns({v: F.coalesce(F.get("_c", F.lit(i)), F.col(v)) for i, v in enumerate(("score", "freebody", "slip", "yaw"))})
+    lost = (F.abs("slip") > math.pi / 6) | (F.abs("yaw") > 0.5)
     return e.select(
-        "user_id", F.col("ord").cast("long").alias("ord"), q(geom.edge_score("p", "q"), 100).alias("score"), q(geom.freebody_score("p", "q"), 100).alias("freebody"),
-        q(m["slip_angle"]).alias("slip"), q(m["yaw_rate"]).alias("yaw"), q(m["curvature_mismatch"]).alias("mismatch"), geom.motion_phase("p", "q").alias("phase"),
+        "user_id", F.col("ord").cast("long").alias("ord"), q(F.col("score"), 100).alias("score"), q(F.col("freebody"), 100).alias("freebody"),
+        q(F.col("slip")).alias("slip"), q(F.col("yaw")).alias("yaw"), q(F.col("mismatch")).alias("mismatch"), F.when(lost, "loc").otherwise("normal").alias("phase"),
     )
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _c_scores(x: pd.Series, y: pd.Series, t: pd.Series, u: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
+    """score, freebody, slip, yaw of a step by the C library's functions; null where a pose is null."""
+    wrap = lambda a: math.atan2(math.sin(a), math.cos(a))
+
+    def one(x: float, y: float, t: float, u: float, v: float, w: float) -> list[float] | None:
+        if math.isnan(x + y + t + u + v + w):
+            return None
+        d, turn, along = math.sqrt((u - x) * (u - x) + (v - y) * (v - y)), wrap(w - t), math.atan2(v - y, u - x)
+        score = d * (1 + 0.5 * abs(wrap(along - t)) / math.pi + 0.25 * abs(turn) / math.pi)
+        return [score, math.sqrt(d * d + 4 * turn * turn), *((0.0, 0.0) if d < 1e-6 else (wrap(t - along), turn / d))]
+
+    return pd.Series([one(*row) for row in zip(x, y, t, u, v, w, strict=True)], dtype=object)
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ord")
     p = poses(spark, sf_dir).withColumn("p", F.struct("x", "y", "theta"))
