@@ -29,3 +29,11 @@ def test_compare_reports_failures(spark):
     rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(POINTS)] + [("b", 0, 1.0, 1.0)]
     found = splines.compare(spark.createDataFrame(rows, "scene_id string, ord long, x double, y double"), 40, ("natural", "pchip")).collect()
     assert {(r.scene_id, r.error is None) for r in found} == {("a", True), ("b", False)}
+
+
+def test_tally_counts_what_compare_gives(spark):
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([("a", k, float(k), float(k * k % 5)) for k in range(6)] + [("b", 0, 1.0, 2.0)], "scene_id string, ord long, x double, y double")
+    found = splines.compare(lines, 50).groupBy("method").agg(F.count("x"), F.count("error"))
+    assert sorted(splines.tally(lines, 50).collect()) == sorted(found.collect()) and any(r.errors for r in splines.tally(lines, 50).collect())
