@@ -7,17 +7,19 @@ are numbered by their sorted vertices, which fixes every "first".
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions import geom, kernels
+from lanewright.functions import geom, kernels, triangles
 from lanewright.operators import spatial
 from lanewright.operators.config import CenterlineConfig
 from lanewright.operators.kept import keep
-from lanewright.plans.grouped import map_groups
+from lanewright.plans.grouped import map_chunks, map_groups
 
 
 def road_edges(roadway: DataFrame) -> DataFrame:
@@ -70,80 +72,74 @@ def neighbours(triangles: DataFrame, scene: str = "scene_id") -> DataFrame:
     return e.join(e.select(scene, F.col("t").alias("u"), "e"), [scene, "e"]).where("t < u").select(scene, "t", "u")
 
 
-def parallel_triangles(cornered: DataFrame, edges: DataFrame, config: CenterlineConfig, scene: str = "scene_id") -> DataFrame:
-    """scene, t of the triangles at two roadways that run alike: by each corner's nearest edge of its own roadway.
+def _in_scenes(points: DataFrame, edges: DataFrame | None, config: CenterlineConfig, kind: str, work: Callable, columns: str) -> DataFrame:
+    """``work(triangles, table, x, y, roads, edges)`` on whole scenes; it gives arrays of ``columns`` and the rows of their scene.
 
-    Corners and edges of one roadway meet in grid cells of the reach, so long roadways are not paired with all points.
+    Points have scene_id, v, x, y, roadway; ``edges`` are as of :func:`road_edges`, or (without) between consecutive points of
+    each roadway. What a scene's triangles are compared with lies in the scene, so all of it comes by one shuffle.
     """
-    corner = cornered.select(scene, "t", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"p_{k}").alias("p"), F.col(f"r_{k}").alias("roadway")) for k in "abc"))).alias("c"))
-    corner = corner.select(scene, "t", "c.k", "c.p", "c.roadway")
-    reach = config.edge_reach
-    cell = lambda v: F.floor(v / reach).cast("long")
-    span = lambda i, j: F.sequence(cell(F.least(i, j)) - 1, cell(F.greatest(i, j)) + 1)
-    placed = edges.select(scene, "roadway", "k", "p", "q", "angle", F.explode(span(F.col("p.x"), F.col("q.x"))).alias("gx")).withColumn("gy", F.explode(span(F.col("p.y"), F.col("q.y"))))
-    placed = placed.select(scene, "roadway", "gx", "gy", F.col("k").alias("e"), F.col("p").alias("ep"), F.col("q").alias("eq"), "angle")
-    at = corner.withColumn("gx", cell(F.col("p.x"))).withColumn("gy", cell(F.col("p.y")))
-    near = at.join(placed, [scene, "roadway", "gx", "gy"]).withColumn("d", geom.point_segment_distance("p", "ep", "eq")).where(F.col("d") < reach)
-    best = near.groupBy(scene, "t", "roadway", "k").agg(F.min(F.struct("d", "e", "angle")).alias("b"))
-    mean = best.groupBy(scene, "t", "roadway").agg(F.avg("b.angle").alias("angle"))
-    other = mean.select(scene, "t", F.col("roadway").alias("r2"), F.col("angle").alias("a2"))
-    alike = geom.are_parallel("angle", "a2", math.radians(config.parallel_degrees))
-    return mean.join(other, [scene, "t"]).where("roadway < r2").where(alike).select(scene, "t").distinct()
-
-
-def judged_triangles(points: DataFrame, edges: DataFrame, config: CenterlineConfig, triangles: DataFrame | None = None) -> DataFrame:
-    """Triangles with size, crowded, parallel and the first test that rejects each (null: none)."""
-    triangles = keep(triangulate(points) if triangles is None else triangles, "triangles")
-    cornered = keep(with_corners(triangles, points), "cornered")
-    size = F.col("longest") if config.by_longest_edge else F.col("width")
-    cornered = cornered.withColumn("size", size)
-    crowded = crowded_triangles(triangles, config.cluster_threshold).withColumn("crowded", F.lit(True))
-    fit = cornered.where(F.col("size").between(config.min_width, config.max_width) & (F.col("roadways") >= 2))
-    alike = parallel_triangles(fit, edges, config).withColumn("parallel", F.lit(True))
-    both = cornered.join(crowded, ["scene_id", "t"], "left").join(alike, ["scene_id", "t"], "left")
-    both = both.withColumns({"crowded": F.coalesce("crowded", F.lit(False)), "parallel": F.coalesce("parallel", F.lit(False))})
-    reason = rejection(config)
-    return both.withColumn("rejected", reason)
-
-
-def rejection(config: CenterlineConfig) -> Column:
-    """The first test that fails: size, cluster, then diversity or direction."""
-    return (
-        F.when(~F.col("size").between(config.min_width, config.max_width), "size").when(F.col("crowded"), "cluster")
-        .when((F.col("roadways") < 2) | ~F.col("parallel"), "parallel")
-    )
+    rows, between = points.select("scene_id", "v", "x", "y", "roadway"), edges is None
+    if not between:
+        none = F.lit(None).cast("double")
+        more = edges.select("scene_id", F.col("k").cast(points.schema["v"].dataType).alias("v"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), "roadway", F.col("q.x").alias("qx"), F.col("q.y").alias("qy"), "angle")
+        rows = rows.select("*", none.alias("qx"), none.alias("qy"), none.alias("angle")).unionByName(more)
+
+    def run(table: pa.Table, group: np.ndarray):
+        road = table["roadway"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy().astype(int)
+        v, x, y = (table[k].to_numpy() for k in ("v", "x", "y"))
+        if between:
+            points, e = np.arange(len(table)), triangles.edges_of(group, road, x, y)
+        else:
+            qx, qy, angle = (table[k].to_numpy() for k in ("qx", "qy", "angle"))
+            is_edge = table["angle"].is_valid().to_numpy()
+            points, at = np.flatnonzero(~is_edge), np.flatnonzero(is_edge)
+            e = triangles.Edges(group[at], road[at], v[at], x[at], y[at], qx[at], qy[at], angle[at])
+        group, road, x, y = group[points], road[points], x[points], y[points]
+        found, of = work(triangles.judge(group, x, y, road, e, config), v[points], x, y, road, e)
+        yield found | {"scene_id": table["scene_id"].take(pa.array(points[of]))}
+
+    return map_chunks(rows, ["scene_id"], ["v"], run, f"scene_id {kind}, {columns}")
+
+
+def _named(codes: np.ndarray, names: Sequence[str]) -> pa.Array:
+    """Names by their numbers; null for negative ones."""
+    return pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32(), mask=codes < 0), pa.array(names)).cast(pa.string())
+
+
+def judged_triangles(points: DataFrame, edges: DataFrame | None, config: CenterlineConfig, kind: str = "string") -> DataFrame:
+    """scene_id, t, a, b, c, width, longest, roadways, size, crowded, parallel and the first test that rejects each (null: none):
+    size, cluster, then diversity or direction."""
 
+    def work(tri: triangles.Triangles, v: np.ndarray, *_):
+        found = {k: getattr(tri, k) for k in ("t", "width", "longest", "roadways", "size", "crowded", "parallel")}
+        found |= {k: v[tri.at[:, i]] for i, k in enumerate("abc")}
+        return found | {"rejected": _named(tri.rejected - 1, ("size", "cluster", "parallel"))}, tri.at[:, 0]
 
-def display_edges(judged: DataFrame, config: CenterlineConfig) -> DataFrame:
+    return _in_scenes(points, edges, config, kind, work, "t long, a long, b long, c long, width double, longest double, roadways int, size double, crowded boolean, parallel boolean, rejected string")
+
+
+def display_edges(points: DataFrame, edges: DataFrame | None, config: CenterlineConfig, kind: str = "string") -> DataFrame:
     """scene_id, i, j, kind: each triangle edge once, as the first triangle that has it is shown."""
-    kind = (
-        F.when(F.col("crowded"), "clustered").when(F.col("size") < config.min_width, "undersized").when(F.col("size") > config.max_width, "oversized")
-        .when(F.col("roadways") < 2, F.lit(None)).when(~F.col("parallel"), "non_parallel").otherwise("valid")
-    )
-    sides = F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j")) for i, j in ("ab", "bc", "ac")))
-    e = judged.select("scene_id", "t", kind.alias("kind"), F.explode(sides).alias("e"))
-    first = e.groupBy("scene_id", "e").agg(F.min_by("kind", "t").alias("kind"))
-    return first.where("kind IS NOT NULL").select("scene_id", "e.i", "e.j", "kind")
 
+    def work(tri: triangles.Triangles, v: np.ndarray, *_):
+        i, j, kinds = triangles.shown(tri, config)
+        return {"i": v[i], "j": v[j], "kind": _named(kinds, triangles.KINDS)}, i
+
+    return _in_scenes(points, edges, config, kind, work, "i long, j long, kind string")
 
-def skeleton(judged: DataFrame, edges: DataFrame, config: CenterlineConfig) -> DataFrame:
+
+def skeleton(points: DataFrame, edges: DataFrame | None, config: CenterlineConfig, kind: str = "string") -> DataFrame:
     """scene_id, t, u, p, q, width: links between the centres of neighbouring triangles that cross no edge of their roadways.
 
     The second triangle only has to be uncrowded and not too wide (or, by configuration, valid itself).
     """
-    center = geom.mean_point(F.array("p_a", "p_b", "p_c"))
-    cols = ["scene_id", "t", center.alias("p"), "size", "width", "crowded", "rejected", F.array("r_a", "r_b", "r_c").alias("rs")]
-    tri = judged.select(*cols)
-    other = tri.select("scene_id", F.col("t").alias("u"), F.col("p").alias("q"), F.col("size").alias("size2"), F.col("width").alias("width2"), F.col("crowded").alias("crowded2"), F.col("rejected").alias("rejected2"), F.col("rs").alias("rs2"))
-    ok = F.col("rejected2").isNull() if config.valid_neighbour_only else ~F.col("crowded2") & (F.col("size2") <= config.max_width)
-    links = neighbours(judged.select("scene_id", "t", "a", "b", "c")).join(tri.where("rejected IS NULL"), ["scene_id", "t"]).join(other, ["scene_id", "u"]).where(ok)
-    links = links.where(geom.distance("p", "q") <= config.max_width / 2)
-    links = links.select("scene_id", "t", "u", "p", "q", F.array_union("rs", "rs2").alias("rs"), ((F.col("width") + F.col("width2")) / 2).alias("width"))
-    key = F.struct("t", "u")
-    left = links.select("scene_id", key.alias("l"), F.explode("rs").alias("roadway"), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
-    right = edges.select("scene_id", F.col("k").alias("r"), "roadway", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
-    crossing = spatial.crossing_pairs(left, right, ["scene_id", "roadway"], config.max_width).select("scene_id", "l.t", "l.u").distinct()
-    return links.join(crossing, ["scene_id", "t", "u"], "left_anti").drop("rs")
+
+    def work(tri: triangles.Triangles, v: np.ndarray, x: np.ndarray, y: np.ndarray, road: np.ndarray, e: triangles.Edges):
+        p, q, mx, my = triangles.linked(tri, x, y, road, e, config)
+        return {"t": tri.t[p], "u": tri.t[q], "px": mx[p], "py": my[p], "qx": mx[q], "qy": my[q], "width": (tri.width[p] + tri.width[q]) / 2}, tri.at[p, 0]
+
+    found = _in_scenes(points, edges, config, kind, work, "t long, u long, px double, py double, qx double, qy double, width double")
+    return found.select("scene_id", "t", "u", geom.point("px", "py").alias("p"), geom.point("qx", "qy").alias("q"), "width")
 
 
 def midpoints(links: DataFrame) -> DataFrame:
@@ -209,8 +205,8 @@ def centerlines(roadway: DataFrame, config: CenterlineConfig = CenterlineConfig(
     """From roadway objects (scene_id, ord, verts): centerlines (scene_id, line, lane, ord, x, y, width), skeleton,
     midpoints and triangles."""
     edges, points = keep(road_edges(roadway), "edges"), keep(road_points(roadway, config.resample_step), "points")
-    judged = keep(judged_triangles(points, edges, config), "judged")
-    links = keep(skeleton(judged, edges, config), "skeleton")
+    judged = judged_triangles(points, edges, config)
+    links = keep(skeleton(points, edges, config), "skeleton")
     mids = keep(midpoints(links), "midpoints")
     walked = keep(connect_midpoints(mids, config).join(mids, ["scene_id", "i"]).drop("i"), "walks")
     lanes = split_wide(walked, config.split_two, config.split_three, ["scene_id", "line"]) if config.split else walked.withColumn("lane", F.lit(0))
