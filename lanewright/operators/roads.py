@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions import geom, kernels, triangles
-from lanewright.operators import spatial
 from lanewright.operators.config import CenterlineConfig
 from lanewright.operators.kept import keep
 from lanewright.plans.grouped import map_chunks, map_groups
@@ -149,23 +148,17 @@ def midpoints(links: DataFrame) -> DataFrame:
 
 
 def connect_midpoints(mids: DataFrame, config: CenterlineConfig, scene: str = "scene_id", kind: str = "string") -> DataFrame:
-    """scene, line, ord, i: walks over midpoints near one another."""
-    pairs = spatial.radius_pairs(mids.select(scene, "i", "x", "y"), [scene], config.link_distance, inclusive=not config.strict_link)
-    nbrs = pairs.groupBy(scene, "i").agg(F.sort_array(F.collect_list("j")).alias("js"))
-    rows = mids.join(nbrs, [scene, "i"], "left").select(scene, "i", "x", "y", "js")
-
+    """scene, line, ord, i: walks over midpoints near one another, which a walk asks for as it goes; pairs are not listed."""
     def work(key: tuple, c: dict[str, np.ndarray]):
         ids = c["i"].tolist()
-        at = {v: n for n, v in enumerate(ids)}
-        links = [(n, at[j]) for n, js in enumerate(c["js"]) if js is not None for j in js]
         points = np.column_stack([c["x"], c["y"]])
         paths = kernels.connect(
-            points, links, math.radians(config.link_degrees), config.link_distance, config.min_length, config.max_mean_step,
+            points, kernels.Around(points, config.link_distance, config.strict_link), math.radians(config.link_degrees), config.link_distance, config.min_length, config.max_mean_step,
             cone=config.cone, millis=config.millis, fixed_back=config.fixed_back,
         )
         return [(key[0], line, k, ids[n]) for line, path in enumerate(paths) for k, n in enumerate(path)]
 
-    return map_groups(rows, [scene], ["i"], work, f"{scene} {kind}, line long, ord long, i long")
+    return map_groups(mids.select(scene, "i", "x", "y"), [scene], ["i"], work, f"{scene} {kind}, line long, ord long, i long")
 
 
 def normals(points: DataFrame, keys: list[str]) -> DataFrame:

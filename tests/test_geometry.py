@@ -193,3 +193,21 @@ def test_roads_are_judged_by_one_shuffle_of_their_points(spark):
     for found in (roads.judged_triangles, roads.display_edges, roads.skeleton):
         plan = found(points, None, CenterlineConfig(min_width=1.0), "long")._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("how", [{}, {"millis": True}, {"cone": False, "fixed_back": True}])
+def test_walks_that_ask_for_neighbours_are_those_over_all_links(how):
+    """Points on a coarse grid and at random, so that many are as far: links of all pairs give the same walks."""
+    random = np.random.default_rng(3)
+    p = np.vstack([random.integers(0, 12, (150, 2)).astype(float), random.random((200, 2)) * 40])
+    for strict, radius in ((False, 5.0), (True, 2.0)):
+        near = lambda d: d < radius if strict else d <= radius
+        links = [(i, j) for i, j in itertools.combinations(range(len(p)), 2) if near(math.sqrt(((p[j] - p[i]) ** 2).sum()))]
+        want = kernels.connect(p, links, math.radians(50), radius, 1.0, 9.0, **how)
+        assert want == kernels.connect(p, kernels.Around(p, radius, strict), math.radians(50), radius, 1.0, 9.0, **how)
+
+
+def test_walks_list_no_pairs(spark):
+    """Scenes of many points near one another would have all their pairs as rows."""
+    mids = spark.range(30).select((F.col("id") % 2).cast("string").alias("scene_id"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert "Join" not in roads.connect_midpoints(mids, CenterlineConfig())._jdf.queryExecution().optimizedPlan().toString()
