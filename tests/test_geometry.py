@@ -211,3 +211,24 @@ def test_walks_list_no_pairs(spark):
     """Scenes of many points near one another would have all their pairs as rows."""
     mids = spark.range(30).select((F.col("id") % 2).cast("string").alias("scene_id"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
     assert "Join" not in roads.connect_midpoints(mids, CenterlineConfig())._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_are_counted_as_they_are_fitted():
+    """Groups of poses at a time, with places that follow themselves: as the paths' own points, a group at a time."""
+    random = np.random.default_rng(9)
+    parts = [np.column_stack([random.random((n, 2)) * 60, random.random(n) * 6 - 3]) for n in (1, 2, 3, 5, 10, 10, 10)] * 4
+    parts.append(np.array([[0, 0, 0.1], [0, 0, 0.2], [5, 0, 0.0], [9, 9, 3.0]]))
+    group = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    found = kernels.hybrid_sizes(group, np.vstack(parts))
+    got = sorted(zip(group[found[0]].tolist(), *(v.tolist() for v in found[1:3]), np.where(found[3], "normal", "post").tolist(), found[4].tolist(), strict=True))
+    assert got == sorted((g, a, b, phase, len(path)) for g, p in enumerate(parts) for a, b, phase, path in kernels.hybrid_path(p))
+
+
+def test_clothoids_of_many_pairs_are_those_of_each():
+    random = np.random.default_rng(2)
+    p, q = random.random((60, 2)) * 50, random.random((60, 2)) * 50
+    q[:3] = p[:3]
+    s, t = random.random(60) * 6 - 3, random.random(60) * 6 - 3
+    for row, a, b, c, d in zip(kernels.clothoids(p, s, q, t, most=7), p, s, q, t, strict=True):
+        want = kernels.clothoid(a, b, c, d)
+        assert np.isnan(row[2]) if want is None else np.allclose(row, want, rtol=1e-9, atol=1e-12)
