@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lanewright.functions import geom
+from lanewright.functions import curves, geom
 from lanewright.operators import spatial
+from lanewright.plans.grouped import map_chunks
 
 CONNECTIONS = "array<struct<`from`:int,`to`:int,confidence:double>>"
 
@@ -148,31 +151,54 @@ def _around(points: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFram
     return near.where(_inside(geom.point("x", "y"), F.col("verts"))).select("scene_id", *keys, "poly")
 
 
+def _straight(rows: DataFrame, polygons: DataFrame, pair: list[str]) -> DataFrame:
+    """scene_id, pair, _b (_n, try): how many polygons the straight lines meet."""
+    pieces = rows.select("scene_id", *pair, *(F.col(f"{p}.{k}").alias(f"{n}{k}") for p, n in (("_from", "a"), ("_to", "b")) for k in "xy"))
+    inside = _around(rows.select("scene_id", *pair, F.col("_from.x").alias("x"), F.col("_from.y").alias("y")), polygons, pair)
+    hits = _met(pieces, polygons, pair).union(inside).distinct().groupBy("scene_id", *pair).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.select("scene_id", *pair).join(hits, ["scene_id", *pair], "left")
+    return counted.select("scene_id", *pair, F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), F.lit(0).alias("try")).alias("_b"))
+
+
+def _freest(rows: DataFrame, polygons: DataFrame, pair: list[str], tries: int, points: int, low: float, high: float) -> DataFrame:
+    """scene_id, pair, _b (_n, try): the first try that meets fewest polygons. One shuffle of connections and edges by scene."""
+    ends = ("x1", "y1", "h1", "x2", "y2", "h2")
+    asked = rows.select("scene_id", F.lit(None).cast(polygons.schema["poly"].dataType).alias("poly"), *pair, *(F.col(c).alias(k) for k, c in zip(ends, ("_from.x", "_from.y", "_from_heading", "_to.x", "_to.y", "_to_heading"), strict=True)))
+    none = lambda k: F.lit(None).cast(rows.schema[k].dataType if k in pair else "double").alias(k)
+    walls = _edges(polygons).select("scene_id", "poly", *map(none, pair), "x1", "y1", none("h1"), "x2", "y2", none("h2"))
+
+    def run(table: pa.Table, group: np.ndarray):
+        poly = table["poly"].combine_chunks().dictionary_encode().indices
+        is_edge = poly.is_valid().to_numpy(zero_copy_only=False)
+        poly = poly.fill_null(-1).to_numpy()
+        at = np.column_stack([table[k].to_numpy() for k in ends])
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        best, met = np.zeros(len(group), int), np.zeros(len(group), int)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+            walls = lo + np.flatnonzero(is_edge[lo:hi])
+            if len(walls) and len(walls) < hi - lo:
+                mine = lo + np.flatnonzero(~is_edge[lo:hi])
+                code = np.unique(poly[walls], return_inverse=True)[1]
+                best[mine], met[mine] = curves.freest(at[mine], code, at[walls][:, [0, 1, 3, 4]], tries, points, low, high)
+        own = pa.array(np.flatnonzero(~is_edge))
+        yield {k: table[k].take(own) for k in ("scene_id", *pair)} | {"_n": met[~is_edge], "try": best[~is_edge]}
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ("scene_id", *pair))
+    return map_chunks(asked.unionByName(walls), ["scene_id"], [], run, f"{kinds}, _n long, try int").select("scene_id", *pair, F.struct("_n", "try").alias("_b"))
+
+
 def connection_curves(connections: DataFrame, endpoints: DataFrame, polygons: DataFrame, tries: int = 10, points: int = 50, low: float = 0.2, high: float = 0.8, straight: bool = False) -> DataFrame:
     """Each connection's curve and whether it is free: the first try that meets no polygon, else the one that meets fewest.
 
     A curve meets a polygon if it crosses one of its edges or starts inside it. Pieces of curves meet polygons' edges in
-    cells, so a curve is held against what lies beside it, not against all of its scene.
+    cells, so a curve is held against what lies beside it, not against all of its scene; pieces never leave the kernel.
     """
     end = lambda k: endpoints.select("scene_id", F.col("id").alias(f"{k}_id"), geom.point("x", "y").alias(f"_{k}"), F.col("heading").alias(f"_{k}_heading"))
     once = connections.groupBy("scene_id", "from_id", "to_id").agg(F.min("confidence").alias("confidence"))
     rows = once.join(end("from"), ["scene_id", "from_id"]).join(end("to"), ["scene_id", "to_id"])
     factor = F.lit(low) + F.col("try") * ((high - low) / max(1, tries - 1))
-    tried = rows.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(0 if straight else tries - 1))))
-    pair, keys = ["from_id", "to_id"], ["from_id", "to_id", "try"]
-    if straight:
-        pieces = tried.select("scene_id", *keys, F.col("_from").alias("a"), F.col("_to").alias("b"))
-    else:
-        handles = geom.bezier_handles("_from", "_from_heading", "_to", "_to_heading", factor)
-        steps = tried.select("scene_id", *keys, "_from", "_to", handles.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(points - 2))).alias("i"))
-        at = lambda i: geom.cubic_bezier("_from", "h.c1", "h.c2", "_to", i.cast("double") / (points - 1))
-        pieces = steps.select("scene_id", *keys, at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b"))
-    pieces = pieces.select("scene_id", *keys, *(F.col(f"{p}.{k}").alias(f"{p}{k}") for p in "ab" for k in "xy"))
-    inside = _around(rows.select("scene_id", *pair, F.col("_from.x").alias("x"), F.col("_from.y").alias("y")), polygons, pair)
-    inside = inside.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(0 if straight else tries - 1)))).select("scene_id", *keys, "poly")
-    hits = _met(pieces, polygons, keys).union(inside).distinct().groupBy("scene_id", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    counted = tried.select("scene_id", *keys).join(hits, ["scene_id", *keys], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    best = counted.groupBy("scene_id", *pair).agg(F.min(F.struct("_n", "try")).alias("_b"))
+    pair = ["from_id", "to_id"]
+    best = _straight(rows, polygons, pair) if straight else _freest(rows, polygons, pair, tries, points, low, high)
     chosen = rows.join(best, ["scene_id", *pair]).withColumn("try", F.col("_b.try"))
     curve = F.array("_from", "_to") if straight else geom.bezier_between("_from", "_from_heading", "_to", "_to_heading", factor, points)
     return chosen.select("scene_id", *pair, "confidence", curve.alias("curve"), (F.col("_b._n") == 0).alias("free"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewright.functions import geom
+from lanewright.functions import curves, geom
 from lanewright.operators import lanes, roads, scene, trajectories
 from lanewright.operators.config import CenterlineConfig, SceneConfig
 from lanewright.operators.kept import kept
@@ -160,3 +161,38 @@ def test_trees_of_any_depth(spark):
     nested = '<item type="symbol"><item type="symbol" nam="tree"><item type="symbol" vehicle2d="T"><item type="polyline" vlist="0,0;1,1"/></item></item>{}</item>'
     deep = '<item type="symbol"><item type="symbol">{}</item></item>'.format('<item type="symbol" vehicle2d="T"><item type="polyline" vlist="0,0;1,1"/></item>')
     assert [o.category for o in objects(spark, f'<layer n="L">{nested.format("")}{nested.format(deep)}</layer>')] == ["misc", "vehicles"]
+
+
+def test_freest_tries_are_those_of_all_tries_against_all_edges():
+    """Connections across a yard of squares, some identical and one large: every piece of every try against every edge."""
+    random = np.random.default_rng(4)
+    ends = np.column_stack([random.random(60) * 40, random.random(60) * 40, random.random(60) * 6 - 3, random.random(60) * 40, random.random(60) * 40, random.random(60) * 6 - 3])
+    at = np.vstack([np.repeat(random.random((12, 2)) * 40, 2, 0), [[5.0, 5.0]]])
+    half = np.append(np.ones(24), 9.0)
+    corners = at[:, None] + half[:, None, None] * np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)])
+    sides = np.concatenate([corners, np.roll(corners, -1, 1)], 2).reshape(-1, 4)
+    poly = np.repeat(np.arange(25), 4)
+    left = lambda a, b, c: (c[1] - a[1]) * (b[0] - a[0]) > (b[1] - a[1]) * (c[0] - a[0])
+    t = np.arange(20) / 19
+    want = []
+    for x, y, a, u, v, b in ends:
+        inside = {k for k in range(25) if (abs(x - at[k, 0]) < half[k]) and (abs(y - at[k, 1]) < half[k])}
+        found = []
+        for n in range(4):
+            d = np.hypot(u - x, v - y) * (0.2 + n * 0.2)
+            c = [(1 - t) ** 3 * p + 3 * (1 - t) ** 2 * t * r + 3 * (1 - t) * t**2 * s + t**3 * q for p, r, s, q in ((x, x - d * np.cos(a), u + d * np.cos(b), u), (y, y - d * np.sin(a), v + d * np.sin(b), v))]
+            c = list(zip(*c, strict=True))
+            met = {k for p, q in zip(c, c[1:], strict=False) for k, (i, j, m, o) in zip(poly, sides, strict=True) if left(p, (i, j), (m, o)) != left(q, (i, j), (m, o)) and left(p, q, (i, j)) != left(p, q, (m, o))}
+            found.append((len(met | inside), n))
+        want.append(min(found))
+    best, met = curves.freest(ends, poly, sides, 4, 20, 0.2, 0.8)
+    assert list(zip(met.tolist(), best.tolist(), strict=True)) == want
+    assert len(set(best.tolist())) > 1 and met.any() and not met.all()
+
+
+def test_pieces_of_curves_are_no_rows(spark):
+    ends = spark.createDataFrame([("s", 0, 0.0, 0.0, 3.0), ("s", 1, 9.0, 0.0, 0.0)], "scene_id string, id long, x double, y double, heading double")
+    asked = spark.createDataFrame([("s", 0, 1, 1.0)], "scene_id string, from_id long, to_id long, confidence double")
+    walls = spark.createDataFrame([("s", 1, [(4.0, -1.0), (5.0, -1.0), (5.0, 1.0)])], "scene_id string, poly long, verts array<struct<x:double,y:double>>")
+    plan = lanes.connection_curves(asked, ends, walls)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 1
