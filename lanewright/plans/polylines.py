@@ -32,7 +32,7 @@ def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polyline_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box, its diagonal and centre, and the mean of the vertices."""
-    b = polylines(spark, sf_dir).select("id", geom.bbox("verts").alias("b"), geom.mean_point("verts").alias("m"))
+    b = polylines(spark, sf_dir, stored=True).select("id", geom.bbox("verts").alias("b"), geom.mean_point("verts").alias("m"))
     center = geom.bbox_center("b")
     return b.select(
         "id", *(q(F.col(f"b.{k}")).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")), q(geom.bbox_diagonal("b")).alias("diagonal"),
