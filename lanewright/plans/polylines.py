@@ -50,7 +50,7 @@ def global_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def affine_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each polyline scaled, turned and moved; the sums of its new coordinates."""
     m = geom.from_attributes(F.lit(1.0), F.lit(2.0), F.col("id") % 7 * 0.1, F.lit(2.0), F.lit(3.0))
-    t = polylines(spark, sf_dir).select("id", geom.apply_affine_all(m, "verts").alias("v"))
+    t = polylines(spark, sf_dir, stored=True).select("id", geom.apply_affine_all(m, "verts").alias("v"))
     total = lambda k: F.aggregate("v", F.lit(0.0), lambda s, p: s + p[k])
     return t.select("id", q(total("x"), 100).alias("sx"), q(total("y"), 100).alias("sy"))
 

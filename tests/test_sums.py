@@ -20,7 +20,7 @@ ROWS = [
 # fmt: on
 
 
-@pytest.mark.parametrize("name", ["polyline_bbox"])
+@pytest.mark.parametrize("name", ["polyline_bbox", "affine_transform"])
 def test_ties_round_as_stored(spark, tmp_path, name):
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     pq.write_table(pa.table([pa.array(v) for v in zip(*ROWS, strict=True)], names=columns), tmp_path / "lineitem.parquet")
