@@ -147,18 +147,25 @@ def midpoints(links: DataFrame) -> DataFrame:
     return links.select("scene_id", (F.row_number().over(order) - 1).alias("i"), ((F.col("p.x") + F.col("q.x")) / 2).alias("x"), ((F.col("p.y") + F.col("q.y")) / 2).alias("y"), "width")
 
 
-def connect_midpoints(mids: DataFrame, config: CenterlineConfig, scene: str = "scene_id", kind: str = "string") -> DataFrame:
-    """scene, line, ord, i: walks over midpoints near one another, which a walk asks for as it goes; pairs are not listed."""
+def connect_midpoints(mids: DataFrame, config: CenterlineConfig, scene: str = "scene_id", kind: str = "string", places: bool = False) -> DataFrame:
+    """scene, line, ord, i: walks over midpoints near one another, which a walk asks for as it goes; pairs are not listed.
+
+    ``places``: x, y and width of the midpoints in place of i, so that nothing has to be joined to them.
+    """
     def work(key: tuple, c: dict[str, np.ndarray]):
-        ids = c["i"].tolist()
         points = np.column_stack([c["x"], c["y"]])
         paths = kernels.connect(
             points, kernels.Around(points, config.link_distance, config.strict_link), math.radians(config.link_degrees), config.link_distance, config.min_length, config.max_mean_step,
             cone=config.cone, millis=config.millis, fixed_back=config.fixed_back,
         )
-        return [(key[0], line, k, ids[n]) for line, path in enumerate(paths) for k, n in enumerate(path)]
+        if places:
+            x, y, width = (c[k].tolist() for k in ("x", "y", "width"))
+            return ((key[0], line, k, x[n], y[n], width[n]) for line, path in enumerate(paths) for k, n in enumerate(path))
+        ids = c["i"].tolist()
+        return ((key[0], line, k, ids[n]) for line, path in enumerate(paths) for k, n in enumerate(path))
 
-    return map_groups(mids.select(scene, "i", "x", "y"), [scene], ["i"], work, f"{scene} {kind}, line long, ord long, i long")
+    found = "x double, y double, width double" if places else "i long"
+    return map_groups(mids.select(scene, "i", "x", "y", *(["width"] if places else [])), [scene], ["i"], work, f"{scene} {kind}, line long, ord long, {found}")
 
 
 def normals(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,7 +208,7 @@ def centerlines(roadway: DataFrame, config: CenterlineConfig = CenterlineConfig(
     judged = judged_triangles(points, edges, config)
     links = keep(skeleton(points, edges, config), "skeleton")
     mids = keep(midpoints(links), "midpoints")
-    walked = keep(connect_midpoints(mids, config).join(mids, ["scene_id", "i"]).drop("i"), "walks")
+    walked = keep(connect_midpoints(mids, config, places=True), "walks")
     lanes = split_wide(walked, config.split_two, config.split_three, ["scene_id", "line"]) if config.split else walked.withColumn("lane", F.lit(0))
     done = smooth(lanes, config.smooth, config.max_width, ["scene_id", "line", "lane"])
     return {"centerlines": done, "skeleton": links, "midpoints": mids, "triangles": judged}
