@@ -218,7 +218,7 @@ def scene_objects(nodes: DataFrame, cache: DataFrame, config: SceneConfig = Scen
 
     Objects are the symbols and primitives that no symbol holds; ``ord`` is the document order.
     """
-    placed = keep(placed_nodes(nodes, config))
+    placed = keep(placed_nodes(keep(nodes, "nodes"), config))  # files are read once, not for each use of their nodes
     parts = keep(primitives(placed, config))
     found = classified_symbols(symbols(placed, parts, config), cache, config, classifier)
     top = found.where("NOT in_symbol")

@@ -8,39 +8,46 @@ from __future__ import annotations
 import contextlib
 import io
 from collections.abc import Iterator
+from types import SimpleNamespace
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 NODES = "scene_id string, node_id long, parent_id long, depth int, path array<long>, ord long, tag string, type string, layer string, attrs map<string,string>, lndata map<string,string>, error string"
+#: Rows of nodes that are passed on together; those of one file stay together.
+MOST_ROWS = 10_000
 
 
 def scene_nodes(content: bytes, scene_id: str) -> list[tuple]:
     """The scene's layers and items as rows, parents before children, numbered in document order.
 
-    A pull scan: elements are dropped as soon as they end, so a large file never stands in memory as a tree; only its
+    A scan without a tree: elements are told as they begin and end, so a large file never stands in memory; only its
     rows do. ``path``: the numbers from the scene down to the node itself, so that what goes down a tree needs no loop.
     """
     rows: list[tuple] = []
     styles: dict[int, dict] = {}
     open_: list[tuple[str, list[int] | None, str | None]] = []  # tag, path (None: no node) and layer of what has begun
-    for event, element in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
-        if event == "end":
-            element.clear()
-            open_.pop()
-            continue
-        tag, path = element.tag, None
+
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        path = None
         parent, above, layer = open_[-1] if open_ else ("", None, None)
         is_scene = tag == "scene" and not rows and len(open_) < 2
         if is_scene or above is not None and tag != "lndata" and (parent != "item" or tag == "item"):
             number = len(rows)
-            layer, path = element.get("n") if tag == "layer" else layer, [*(above or ()), number]
-            rows.append((scene_id, number, above[-1] if above else None, len(path) - 1, path, number, tag, element.get("type"), layer, dict(element.attrib)))
+            layer, path = attributes.get("n") if tag == "layer" else layer, [*(above or ()), number]
+            rows.append((scene_id, number, above[-1] if above else None, len(path) - 1, path, number, tag, attributes.get("type"), layer, attributes))
         elif above is not None and tag == "lndata":
-            styles.setdefault(above[-1], dict(element.attrib))
+            styles.setdefault(above[-1], attributes)
         open_.append((tag, path, layer))
+
+    parser = ElementTree.XMLParser(target=SimpleNamespace(start=start, end=lambda _: open_.pop(), close=lambda: None))
+    parser.feed(content or b"")
+    parser.close()
     if not rows:
         raise ValueError("no scene element")
     return [(*r, styles.get(r[1]), None) for r in rows]
@@ -69,19 +76,30 @@ def scene_extras(content: bytes) -> tuple[dict, str | None]:
 def parse_scenes(files: DataFrame, id_column: str = "path", content_column: str = "content") -> DataFrame:
     """NODES of every file; a file that is no scene gives one row with its error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODES.split(", ")]
-        for frame in frames:
-            rows = []
-            for scene, content in zip(frame["scene_id"], frame["content"], strict=True):
+    target = to_arrow_schema(StructType.fromDDL(NODES))
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        for k, f in enumerate(target):
+            if pa.types.is_map(f.type):
+                columns[k] = [None if v is None else list(v.items()) for v in columns[k]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for scene, content in zip(b["scene_id"].to_pylist(), b["content"], strict=True):
                 try:
-                    rows += scene_nodes(content, scene)
+                    rows += scene_nodes(content.as_py(), scene)
                 except (ElementTree.ParseError, ValueError) as e:
                     rows.append((scene, *[None] * 10, str(e)))
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
+                if len(rows) >= MOST_ROWS:
+                    yield out(rows)
+                    rows = []
+        if rows:
+            yield out(rows)
 
-    return files.select(F.col(id_column).alias("scene_id"), F.col(content_column).cast("binary").alias("content")).mapInPandas(run, NODES)
+    return files.select(F.col(id_column).alias("scene_id"), F.col(content_column).cast("binary").alias("content")).mapInArrow(run, NODES)
 
 
 def parse_extras(files: DataFrame, id_column: str = "path", content_column: str = "content") -> DataFrame:
