@@ -224,6 +224,21 @@ def test_segments_are_counted_as_they_are_fitted():
     assert got == sorted((g, a, b, phase, len(path)) for g, p in enumerate(parts) for a, b, phase, path in kernels.hybrid_path(p))
 
 
+def test_slides_stand_still():
+    """Poses that follow themselves at one place take no time and stop nothing, wherever they are in a slide."""
+    moving = np.array([[0, 0, 0.1], [9, 1, 0.5], [5, 8, 2.0], [9, 9, 3.0], [2, 4, 1.0]])
+    want = kernels.sliding_path(moving)
+    for k in range(len(moving)):
+        still = np.insert(moving, k, moving[k] + [0, 0, 0.2], axis=0)
+        assert np.allclose(kernels.sliding_path(still), want)
+    assert kernels.sliding_path(moving[[0, 0, 0, 0]]).shape == (0, 4)
+    parts = [np.vstack([[[-30, 0, 2.5]], moving[[0, 1, 1, 2, 3, 3, 4]]]), moving[[0, 0, 0, 0, 0]], moving[[0, 1, 1, 1]]]
+    group = np.repeat(np.arange(3), [len(p) for p in parts])
+    found = kernels.hybrid_sizes(group, np.vstack(parts))
+    got = sorted(zip(group[found[0]].tolist(), *(v.tolist() for v in found[1:3]), np.where(found[3], "normal", "post").tolist(), found[4].tolist(), strict=True))
+    assert got == sorted((g, a, b, phase, len(path)) for g, p in enumerate(parts) for a, b, phase, path in kernels.hybrid_path(p))
+
+
 def test_clothoids_of_many_pairs_are_those_of_each():
     random = np.random.default_rng(2)
     p, q = random.random((60, 2)) * 50, random.random((60, 2)) * 50
