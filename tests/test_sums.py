@@ -29,3 +29,21 @@ def test_ties_round_as_stored(spark, tmp_path, name):
     cursor = c.execute(polylines.ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(map(tuple, polylines.QUERIES[name](spark, str(tmp_path)).select(*names).collect())) == sorted(cursor.fetchall())
+
+
+# fmt: off
+RESAMPLED = [
+    (63926, 4, 1260, 947, 47.0, 3052.63), (63926, 4, 21260, 1947, 47.0, 3052.63), (63926, 4, 41260, 2947, 47.0, 3052.63), (63926, 4, 61260, 3947, 47.0, 3052.63), (63926, 4, 81260, 4947, 47.0, 3052.63), (63926, 4, 101260, 5947, 47.0, 3052.63),
+    (63926, 3, 18847, 920, 10.0, 65517.37), (63926, 3, 38847, 1920, 10.0, 65517.37), (63926, 3, 58847, 2920, 10.0, 65517.37), (63926, 3, 78847, 3920, 10.0, 65517.37), (63926, 3, 98847, 4920, 10.0, 65517.37), (63926, 3, 118847, 5920, 10.0, 65517.37),
+]
+# fmt: on
+
+
+def test_resampled_ties_round_as_in_sql(spark, tmp_path):
+    """SQL adds the first point to the sum of the others, whatever its threads."""
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    pq.write_table(pa.table([pa.array(v) for v in zip(*RESAMPLED, strict=True)], names=columns), tmp_path / "lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = c.execute(polylines.ORACLE_SQL["resample_polyline"]).fetchall()
+    assert want == [tuple(r) for r in polylines.QUERIES["resample_polyline"](spark, str(tmp_path)).collect()]
